@@ -62,11 +62,13 @@ def bh_adjust(spark: SparkSession, folder: str) -> DataFrame:
     return ranktests.adjust_bh(_tests(spark, folder), ["name"])
 
 
-@query(with_sql(_P_VALUES, _ADJUSTED, """, kept AS (SELECT *, -LOG10(p_adjusted) AS neglog FROM adjusted WHERE p_adjusted < 0.02)
-SELECT name, test, ROUND(p_adjusted, 6) AS p_adjusted, ROUND(neglog, 6) AS neglog_p,
+_KEPT = "kept AS (SELECT *, -LOG10(p_adjusted) AS neglog FROM adjusted WHERE p_adjusted < 0.02)"
+
+
+@query(with_sql(_P_VALUES, _ADJUSTED, _KEPT, """SELECT name, test, ROUND(p_adjusted, 6) AS p_adjusted, ROUND(neglog, 6) AS neglog_p,
   ROUND(0.4 + 0.6 * (neglog - (SELECT MIN(neglog) FROM kept)) / ((SELECT MAX(neglog) FROM kept) - (SELECT MIN(neglog) FROM kept)), 6) AS alpha_val,
   ROUND(4 + 4 * (neglog - (SELECT MIN(neglog) FROM kept)) / ((SELECT MAX(neglog) FROM kept) - (SELECT MIN(neglog) FROM kept)), 6) AS size_val
-FROM kept""").replace("), , kept", "), kept").replace(") , kept", "), kept"))
+FROM kept"""))
 def rescaled_significance(spark: SparkSession, folder: str) -> DataFrame:
     kept = ranktests.significant(ranktests.adjust_bh(_tests(spark, folder), ["name"]), level=0.02)
     scaled = summaries.rescale(kept, "neglog_p", {"alpha_val": (0.4, 1), "size_val": (4, 8)})
