@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnkit.functions.dates import week_to_date
@@ -54,31 +54,33 @@ def crossing_points(
 ) -> DataFrame:
     """x at which each curve reaches each target probability: (curve, probability, threshold).
 
-    Points are ordered by p, equal p are merged by their mean x, and x is interpolated linearly in p. Outside
-    the range of p the nearest end is taken (``clamp``) or NULL (``none``); a flat curve gives NULL. The curve
-    is shuffled once; ties, neighbours and the final aggregate share that partitioning.
+    Equal p are merged by their mean x, and x is interpolated linearly in p between the nearest points on
+    either side of the target. Outside the range of p the nearest end is taken (``clamp``) or NULL (``none``);
+    a flat curve gives NULL. The neighbours are a maximum and a minimum, so nothing is sorted, and one shuffle
+    by curve serves both aggregations.
     """
     if extrapolate not in ("clamp", "none"):
         raise ValueError("extrapolate must be clamp or none")
     points = draws.filter(F.col(p).isNotNull()).select(*curve, F.col(x).alias("_x"), F.col(p).alias("_p"))
-    tied = Window.partitionBy(*curve, "_p")
-    along = Window.partitionBy(*curve).orderBy("_p", "_x")
-    points = points.withColumn("_m", F.avg("_x").over(tied))
-    points = points.withColumns({"_np": F.lead("_p").over(along), "_nm": F.lead("_m").over(along)})
-    low, high = F.col("_p"), F.col("_np")
+    merged = points.repartition(*curve).groupBy(*curve, "_p").agg(F.avg("_x").alias("_m"))
     cells = []
     for i, target in enumerate(targets):
-        inside = (low < high) & (low <= target) & (high >= target)
-        at = F.col("_m") + (F.lit(float(target)) - low) * F.try_divide(F.col("_nm") - F.col("_m"), high - low)
-        cells.append(F.max(F.when(inside, at)).alias(f"_t{i}"))
+        below = F.when(F.col("_p") <= target, F.col("_p"))
+        above = F.when(F.col("_p") >= target, F.col("_p"))
+        cells += [
+            F.max(below).alias(f"_p0_{i}"), F.max_by("_m", below).alias(f"_x0_{i}"),
+            F.min(above).alias(f"_p1_{i}"), F.min_by("_m", above).alias(f"_x1_{i}"),
+        ]
     ends = [
         F.min("_p").alias("_lo"), F.max("_p").alias("_hi"),
         F.min_by("_m", "_p").alias("_at_lo"), F.max_by("_m", "_p").alias("_at_hi"),
     ]
-    curves = points.groupBy(*curve).agg(*cells, *ends)
+    curves = merged.groupBy(*curve).agg(*cells, *ends)
     entries = []
     for i, target in enumerate(targets):
-        value = F.col(f"_t{i}")
+        p0, p1, x0, x1 = (F.col(f"_{c}_{i}") for c in ("p0", "p1", "x0", "x1"))
+        slope = F.try_divide(x1 - x0, p1 - p0)
+        value = F.when(p0 == p1, x0).otherwise(x0 + (F.lit(float(target)) - p0) * slope)
         if extrapolate == "clamp":
             value = (
                 F.when(F.col("_lo") > target, F.col("_at_lo")).when(F.col("_hi") < target, F.col("_at_hi"))

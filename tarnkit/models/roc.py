@@ -14,6 +14,7 @@ from tarnkit.functions.semantics import count_true, recode
 from tarnkit.operators.joins import expand_grid
 from tarnkit.operators.ordering import running
 from tarnkit.operators.quantiles import group_quantiles, small_group_quantiles, value_counts
+from tarnkit.session import cut
 
 FIT = ("model", "imp")
 
@@ -36,7 +37,7 @@ def auc(
 ) -> DataFrame:
     """Area under the ROC curve per fit, ties counted half; NULL when only one class is present."""
     counts = _score_counts(df, keys, truth, score, positive)
-    below = running(counts, keys, score, sums={"_neg_through": F.col("neg")}, pieces=pieces)
+    below = running(counts, keys, score, sums={"_neg_through": F.col("neg")}, pieces=pieces, weigh=df)
     wins = F.col("pos") * (F.col("_neg_through") - F.col("neg") / F.lit(2.0))
     summed = below.groupBy(*keys).agg(F.sum(wins).alias("_w"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     pairs = F.col("_p").cast("double") * F.col("_n")
@@ -60,7 +61,7 @@ def roc_curve(
     cumulative = running(
         counts, keys, score,
         sums={"_tp": F.col("pos"), "_fp": F.col("neg")}, totals={"_p": F.col("pos"), "_n": F.col("neg")},
-        descending=True, pieces=pieces,
+        descending=True, pieces=pieces, weigh=df,
     )
     curve = cumulative.select(
         *keys,
@@ -169,7 +170,7 @@ def roc_bands(
     Averaging over imputations can break the monotone relation; a running minimum restores it.
     """
     probabilities = probabilities or {"lower": 0.25, "upper": 0.75, "sensitivity": 0.5}
-    complete = curve.filter(F.col("specificity").isNotNull())
+    complete = cut(curve.filter(F.col("specificity").isNotNull()))
     medians = group_quantiles(complete, ["model", "imp", "specificity"], "sensitivity", {"_m": 0.5}, pieces)
     bands = medians.groupBy("model", "specificity").agg(*small_group_quantiles("_m", probabilities))
     falling = running(

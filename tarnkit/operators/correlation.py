@@ -13,6 +13,7 @@ from tarnkit.functions.tails import t_p
 from tarnkit.operators.joins import equi_join
 from tarnkit.operators.quantiles import group_quantiles, midranks
 from tarnkit.operators.reshape import longer
+from tarnkit.session import cut
 
 
 def pearson(x, y) -> Column:
@@ -65,8 +66,15 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str], per: int = 150, p_value
     return pairs.withColumn("p_value", t_p("t", freedom.cast("double"))) if p_values else pairs
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, pieces: int | None = None) -> DataFrame:
-    """Spearman correlation per group of ``keys``; NULL as soon as one value is missing."""
+def spearman(
+    df: DataFrame, keys: Sequence[str], x: str, y: str, pieces: int | None = None, stored: bool = False
+) -> DataFrame:
+    """Spearman correlation per group of ``keys``; NULL as soon as one value is missing.
+
+    The table is read several times; say ``stored`` if it already is a stored table.
+    """
+    df = df.select(*keys, x, y)
+    df = df if stored else cut(df)
     ranked = midranks(midranks(df, keys, x, "_rx", pieces), keys, y, "_ry", pieces)
     complete = F.count(F.when(F.col(x).isNull() | F.col(y).isNull(), 1)) == 0
     return ranked.groupBy(*keys).agg(

@@ -49,10 +49,11 @@ def order_number(df: DataFrame, name: str, descending: bool = False) -> Column:
 def quantile_splits(df: DataFrame, column: str, pieces: int) -> tuple[list[float], list[float]]:
     """Split points holding about equal row counts, and the values too frequent to share a piece.
 
-    The only action of this module: it returns at most ``pieces`` numbers to the driver.
+    The only action of this module: one scan of one column, which returns at most ``pieces`` numbers.
     """
     probabilities = [i / pieces for i in range(1, pieces)]
-    points = df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", probabilities, 0.5 / pieces)
+    sketch = F.percentile_approx(F.col(column).cast("double"), probabilities, 8 * pieces)
+    points = df.agg(sketch.alias("points")).first()["points"] or []
     hot = sorted({a for a, b in zip(points, points[1:]) if a == b})
     splits = set(points) | {math.nextafter(v, math.inf) for v in hot}
     return sorted(s for s in splits if math.isfinite(s)), hot
@@ -66,15 +67,22 @@ def _bucketed(df: DataFrame, column: str, output: str, splits: Sequence[float])
     return cut.transform(df.withColumn(number, F.col(column).cast("double"))).drop(number)
 
 
-def in_pieces(df: DataFrame, order: Column, ties: Sequence[str] = (), pieces: int | None = None) -> DataFrame:
+def in_pieces(
+    df: DataFrame,
+    order: Column,
+    ties: Sequence[str] = (),
+    pieces: int | None = None,
+    weigh: DataFrame | None = None,
+) -> DataFrame:
     """Add ``_order``, ``_piece`` and ``_part``; (piece, part, order, ties) sorts like (order, ties).
 
     A value frequent enough to fill a piece gets a piece of its own, subdivided into parts by the first
-    tie-break column when that is a number, date or timestamp.
+    tie-break column when that is a number, date or timestamp. Split points come from ``weigh``, a cheaper
+    table with the same order column, if given; they decide the balance of the pieces, not the result.
     """
     pieces = pieces or shuffle_pieces(df.sparkSession)
     df = df.withColumn(_ORDER, order)
-    splits, hot = quantile_splits(df, _ORDER, pieces)
+    splits, hot = quantile_splits(df if weigh is None else weigh.withColumn(_ORDER, order), _ORDER, pieces)
     df = _bucketed(df, _ORDER, _PIECE, splits)
     if hot and ties and _is_ordinal(df, ties[0]):
         df = df.withColumn("_tie", order_number(df, ties[0]))
@@ -101,6 +109,7 @@ def running(
     peers: Mapping[str, Column] | None = None,
     descending: bool = False,
     pieces: int | None = None,
+    weigh: DataFrame | None = None,
 ) -> DataFrame:
     """Cumulative sums, minima and maxima within ``keys`` in ascending order, the row itself included.
 
@@ -113,7 +122,7 @@ def running(
     if peers and ties:
         raise ValueError("peers are rows of equal order, so there can be no tie-break")
     inputs = {f"_in_{n}": col for group in (sums, mins, maxs, totals, peers) for n, col in group.items()}
-    rows = in_pieces(df, order_number(df, order, descending), ties, pieces).withColumns(inputs)
+    rows = in_pieces(df, order_number(df, order, descending), ties, pieces, weigh).withColumns(inputs)
 
     combine = {f"_in_{n}": F.sum for n in (*sums, *totals)} | {f"_in_{n}": F.min for n in mins}
     combine |= {f"_in_{n}": F.max for n in maxs}

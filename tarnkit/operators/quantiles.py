@@ -34,7 +34,7 @@ def group_quantiles(
     keys = list(keys)
     cumulative = running(
         value_counts(df, keys, value), keys, value, sums={"_through": F.col("n")}, totals={"_all": F.col("n")},
-        pieces=pieces,
+        pieces=pieces, weigh=df,
     )
     picks = {}
     for name, p in probabilities.items():
@@ -70,7 +70,7 @@ def value_midranks(
     counts = {"n": F.count(F.lit(1)), **(counts or {})}
     cumulative = running(
         value_counts(df, keys, value, counts), keys, value,
-        sums={"_through": F.col("n")}, totals={"total": F.col("n")}, pieces=pieces,
+        sums={"_through": F.col("n")}, totals={"total": F.col("n")}, pieces=pieces, weigh=df,
     )
     midrank = F.col("_through") - (F.col("n") - 1) / F.lit(2.0)
     return cumulative.withColumn("midrank", midrank).drop("_through")

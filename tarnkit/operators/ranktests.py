@@ -13,19 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnkit.functions.tails import chi2_p, normal_p
-from tarnkit.operators.joins import equi_join
+from tarnkit.operators.joins import equi_join, small_side
 from tarnkit.operators.ordering import running
 from tarnkit.operators.quantiles import value_counts
+from tarnkit.session import cut
 
 
 def rank_sums(
     df: DataFrame, variable: str = "name", value: str = "value", group: str = "location", pieces: int | None = None
 ) -> DataFrame:
     """(variable, group): ``n``, ``rank_sum`` and the group's share ``ties`` of the tie term sum(t^3 - t)."""
-    counts = value_counts(df.filter(F.col(group).isNotNull()), [variable, group], value)
+    grouped = F.count(F.when(F.col(group).isNotNull(), 1))
+    counts = value_counts(df, [variable, group], value, {"n": grouped})
     ranked = running(
-        counts, [variable], value, sums={"_through": F.col("n")}, peers={"_t": F.col("n")}, pieces=pieces
-    )
+        counts, [variable], value, sums={"_through": F.col("n")}, peers={"_t": F.col("n")}, pieces=pieces, weigh=df
+    ).filter(F.col("n") > 0)
     t = F.col("_t").cast("double")
     midrank = F.col("_through") - (t - 1) / 2
     return ranked.groupBy(variable, group).agg(
@@ -70,14 +72,14 @@ def dunn_pairs(
     """
     if alternative not in ("one_sided", "two_sided"):
         raise ValueError("alternative must be one_sided or two_sided")
-    sums = rank_sums(df, variable, value, group, pieces)
+    sums = cut(rank_sums(df, variable, value, group, pieces))
     whole = sums.groupBy(variable).agg(F.sum("n").cast("double").alias("_N"), F.sum("ties").alias("_T"))
     mean_ranks = sums.select(
         variable, F.col(group).alias("group_1"), F.col("n").alias("_n1"), (F.col("rank_sum") / F.col("n")).alias("_m1")
     )
     others = mean_ranks.withColumnsRenamed({"group_1": "group_2", "_n1": "_n2", "_m1": "_m2"})
-    pairs = mean_ranks.join(others, variable).filter(F.col("group_1") < F.col("group_2"))
-    pairs = equi_join(pairs, whole, variable, "inner")
+    pairs = mean_ranks.join(small_side(others), variable).filter(F.col("group_1") < F.col("group_2"))
+    pairs = equi_join(pairs, small_side(whole), variable, "inner")
     n = F.col("_N")
     variance = (n * (n + 1) / 12 - F.col("_T") / (12 * (n - 1))) * (F.lit(1.0) / F.col("_n1") + F.lit(1.0) / F.col("_n2"))
     z = F.when((n > 1) & (variance > 0), (F.col("_m1") - F.col("_m2")) / F.sqrt(variance))
@@ -93,11 +95,14 @@ def adjust_bh(
     p: str = "p_value",
     name: str = "p_adjusted",
     pieces: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Benjamini-Hochberg step-up adjustment within groups; NULL p-values do not count.
 
-    Equal p-values share the largest of their ranks, which is what the running minimum gives them anyway.
+    Equal p-values share the largest of their ranks, which is what the running minimum gives them anyway. The table of tests is
+    read several times; say ``stored`` if it already is a stored table.
     """
+    df = df if stored else cut(df)
     present = F.when(F.col(p).isNotNull(), F.lit(1).cast("bigint"))
     ranked = running(df, keys, p, sums={"_rank": present}, totals={"_m": present}, pieces=pieces)
     raised = ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_rank"))

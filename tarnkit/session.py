@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -35,6 +35,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint a derived table that is about to be read several times.
+
+    It is computed once, its lineage ends on shared storage, and every later pass sees the same values.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def shuffle_pieces(spark: SparkSession) -> int:
     """How many ordered pieces a column is cut into: one per shuffle partition, within reason."""
     return max(4, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
