@@ -64,7 +64,8 @@ def _bucketed(df: DataFrame, column: str, output: str, splits: Sequence[float])
         return df.withColumn(output, F.lit(0.0))
     number = f"{output}_in"
     cut = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=number, outputCol=output, handleInvalid="keep")
-    return cut.transform(df.withColumn(number, F.col(column).cast("double"))).drop(number)
+    placed = cut.transform(df.withColumn(number, F.col(column).cast("double"))).drop(number)
+    return placed.withColumn(output, F.coalesce(output, F.lit(len(splits) + 2.0)))  # missing after everything
 
 
 def in_pieces(
