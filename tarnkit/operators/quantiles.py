@@ -49,7 +49,8 @@ def group_quantiles(
     def between(name: str, p: float) -> Column:
         at = (F.col("_all") - 1) * F.lit(float(p))
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        return (low + (at - F.floor(at)) * (high - low)).alias(name)
+        share = at - F.floor(at)
+        return (low * (1 - share) + high * share).alias(name)
 
     return picked.select(*keys, *[between(n, p) for n, p in probabilities.items()])
 
