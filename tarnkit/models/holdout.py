@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnkit.operators.joins import lookup_join
+from tarnkit.session import cut
 
 ERROR_METRICS = ("rmse", "mae", "brier", "log_loss")
 
@@ -33,9 +34,9 @@ def split_sizes(df: DataFrame, columns: Sequence[str], prefix: str = "hold_") ->
     held = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
     ])).alias("h"))
-    sizes = held.select("h.*").filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
+    sizes = cut(held.select("h.*").filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("n_test")
-    )
+    ))
     whole = sizes.groupBy("column").agg(F.sum("n_test").alias("_n"))
     joined = lookup_join(sizes, whole, "column", "inner")
     return joined.select(
@@ -46,6 +47,7 @@ def split_sizes(df: DataFrame, columns: Sequence[str], prefix: str = "hold_") ->
 def class_weights(df: DataFrame, truth: str, keys: Sequence[str] = (), name: str = "weight") -> DataFrame:
     """Add weights that give the two classes half of the total weight each, per group of ``keys``."""
     per_class = df.filter(F.col(truth).isNotNull()).groupBy(*keys, truth).agg(F.count(F.lit(1)).alias("_n_class"))
+    per_class = cut(per_class)
     if keys:
         whole = per_class.groupBy(*keys).agg(F.sum("_n_class").alias("_n"))
         per_class = lookup_join(per_class, whole, list(keys), "inner", null_safe=True)

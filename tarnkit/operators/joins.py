@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnkit.session import cut
+
 BROADCAST_ROWS = 100_000
 
 
@@ -38,19 +40,22 @@ def equi_join(
     how: str = "left",
     null_safe: bool | Sequence[str] = False,
 ) -> DataFrame:
-    """Join on equal keys; a mapping joins differently named keys. Keeps the left key columns only.
+    """Join on equal keys; a mapping joins differently named keys. Keeps the left key columns only; another
+    column found on both sides comes from the right as ``<name>_y``.
 
     ``null_safe`` (all keys, or a list of left key names) lets a missing key match a missing key.
     """
     pairs = _key_pairs(on)
     safe = [p[0] for p in pairs] if null_safe is True else list(null_safe or [])
-    renamed = right.withColumnsRenamed({r: f"_r_{r}" for _, r in pairs})
+    keys = {r for _, r in pairs}
+    both = [c for c in right.columns if c in left.columns and c not in keys]
+    renamed = right.withColumnsRenamed({r: f"_r_{r}" for r in keys} | {c: f"{c}_y" for c in both})
     condition = None
     for l, r in pairs:
         other = F.col(f"_r_{r}")
         term = F.col(l).eqNullSafe(other) if l in safe else F.col(l) == other
         condition = term if condition is None else condition & term
-    return left.join(renamed, condition, how).drop(*[f"_r_{r}" for _, r in pairs])
+    return left.join(renamed, condition, how).drop(*[f"_r_{r}" for r in keys])
 
 
 def lookup_join(
@@ -60,9 +65,14 @@ def lookup_join(
     how: str = "left",
     null_safe: bool | Sequence[str] = False,
     rows: int = BROADCAST_ROWS,
+    derived: bool = False,
 ) -> DataFrame:
-    """Equi-join with a side expected to be small; broadcast only after counting it."""
-    return equi_join(left, small_side(right, rows), on, how, null_safe)
+    """Equi-join with a side expected to be small; broadcast only after counting it.
+
+    Say ``derived`` when the small side is computed from large tables: it is then stored first, so that
+    counting and joining do not compute it twice.
+    """
+    return equi_join(left, small_side(cut(right) if derived else right, rows), on, how, null_safe)
 
 
 def keep_matching(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -76,7 +86,7 @@ def flag_matching(
     """All rows, with a flag telling whether the key occurs in the other table."""
     keys = [k for k, _ in _key_pairs(on)]
     present = right.select(*keys).distinct().withColumn("_present", F.lit(True))
-    joined = lookup_join(left, present, keys, "left", rows=rows)
+    joined = lookup_join(left, present, keys, "left", rows=rows, derived=True)
     return joined.withColumn(name, F.col("_present").isNotNull()).drop("_present")
 
 

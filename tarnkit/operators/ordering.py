@@ -16,6 +16,7 @@ groups x pieces (x span) and are found with map-side aggregation or a pre-shuffl
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -46,17 +47,18 @@ def order_number(df: DataFrame, name: str, descending: bool = False) -> Column:
     return -column if descending else column
 
 
-def quantile_splits(df: DataFrame, column: str, pieces: int) -> tuple[list[float], list[float]]:
-    """Split points holding about equal row counts, and the values too frequent to share a piece.
+def quantile_splits(df: DataFrame, column: str, pieces: int) -> tuple[list[float], dict[float, int]]:
+    """Split points holding about equal row counts, and the values too frequent to share a piece with the
+    number of pieces each of them fills.
 
     The only action of this module: one scan of one column, which returns at most ``pieces`` numbers.
     """
     probabilities = [i / pieces for i in range(1, pieces)]
     sketch = F.percentile_approx(F.col(column).cast("double"), probabilities, 8 * pieces)
     points = df.agg(sketch.alias("points")).first()["points"] or []
-    hot = sorted({a for a, b in zip(points, points[1:]) if a == b})
-    splits = set(points) | {math.nextafter(v, math.inf) for v in hot}
-    return sorted(s for s in splits if math.isfinite(s)), hot
+    points = [v for v in points if math.isfinite(v)]
+    hot = {v: n + 1 for v, n in Counter(points).items() if n > 1}
+    return sorted({*points, *(math.nextafter(v, math.inf) for v in hot)}), hot
 
 
 def _bucketed(df: DataFrame, column: str, output: str, splits: Sequence[float]) -> DataFrame:
@@ -77,20 +79,27 @@ def in_pieces(
 ) -> DataFrame:
     """Add ``_order``, ``_piece`` and ``_part``; (piece, part, order, ties) sorts like (order, ties).
 
-    A value frequent enough to fill a piece gets a piece of its own, subdivided into parts by the first
-    tie-break column when that is a number, date or timestamp. Split points come from ``weigh``, a cheaper
+    A value frequent enough to fill a piece gets a piece of its own, subdivided at quantiles of the first
+    tie-break column among its rows when that is a number, date or timestamp. Split points come from ``weigh``, a cheaper
     table with the same order column, if given; they decide the balance of the pieces, not the result.
     """
     pieces = pieces or shuffle_pieces(df.sparkSession)
     df = df.withColumn(_ORDER, order)
     splits, hot = quantile_splits(df if weigh is None else weigh.withColumn(_ORDER, order), _ORDER, pieces)
     df = _bucketed(df, _ORDER, _PIECE, splits)
-    if hot and ties and _is_ordinal(df, ties[0]):
-        df = df.withColumn("_tie", order_number(df, ties[0]))
-        tie_splits, _ = quantile_splits(df, "_tie", pieces)
-        df = _bucketed(df, "_tie", _PART, tie_splits).drop("_tie")
-        return df.withColumn(_PART, F.when(F.col(_ORDER).cast("double").isin(hot), F.col(_PART)).otherwise(0.0))
-    return df.withColumn(_PART, F.lit(0.0))
+    if not (hot and ties and _is_ordinal(df, ties[0])):
+        return df.withColumn(_PART, F.lit(0.0))
+    is_hot = F.expr(f"array({', '.join(str(s in hot).lower() for s in [None, *splits, None, None])})")
+    df = df.withColumn("_hot", is_hot[F.col(_PIECE).cast("int")])
+    tie = order_number(df, ties[0]).cast("double")
+    ends = df.filter("_hot").agg(F.min(tie), F.max(tie)).first()
+    if ends[0] is None:
+        return df.drop("_hot").withColumn(_PART, F.lit(0.0))
+    share = (tie - F.lit(ends[0])) / F.lit(max(ends[1] - ends[0], 1e-300))
+    df = df.withColumn("_place", F.col(_PIECE) + F.least(share, F.lit(1.0)) * 0.999)
+    points, _ = quantile_splits(df.filter("_hot"), "_place", sum(hot.values()))
+    df = _bucketed(df, "_place", _PART, points)
+    return df.withColumn(_PART, F.when(F.col("_hot"), F.col(_PART)).otherwise(0.0)).drop("_hot", "_place")
 
 
 def _drop_marks(df: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def zscores(df: DataFrame, columns: Sequence[str], prefix: str = "s_", by: Seque
         F.struct(F.avg(c).alias("center"), F.stddev_samp(c).alias("scale")).alias(f"_k_{c}") for c in columns
     ]
     if by:
-        joined = lookup_join(df, df.groupBy(*by).agg(*stats), by, "left", null_safe=True)
+        joined = lookup_join(df, df.groupBy(*by).agg(*stats), by, "left", null_safe=True, derived=True)
     else:
         whole = df.agg(*stats).select(F.struct(*[f"_k_{c}" for c in columns])).scalar()
         joined = df.withColumn("_k", whole).select("*", "_k.*").drop("_k")

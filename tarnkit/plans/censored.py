@@ -81,7 +81,7 @@ def detection_summary(spark: SparkSession, folder: str) -> DataFrame:
 def sites_with_detections(spark: SparkSession, folder: str) -> DataFrame:
     table = samples(spark, folder)
     often = detections.groups_with_detections(table, ["site"], "grab", "grab_lod", at_least=3)
-    return joins.lookup_join(table.select("site", "sample_date", "grab"), often, "site", "inner")
+    return joins.lookup_join(table.select("site", "sample_date", "grab"), often, "site", "inner", derived=True)
 
 
 @query(with_sql(SAMPLES, """SELECT site, year, COUNT(*) AS n_detects, CAST(COALESCE(SUM(same), 0) AS BIGINT) AS same_week,

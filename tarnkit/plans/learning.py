@@ -22,7 +22,7 @@ _FEATURES = ("marker", "total", "tn", "tp", "mean_temp")
 def _training_table(spark: SparkSession, folder: str) -> DataFrame:
     """Samples with weather, a numeric row key, and the binary response."""
     weather = daily(spark, folder).select("region", "date_time", "mean_temp")
-    table = lookup_join(samples(spark, folder), weather, {"sample_date": "date_time", "region": "region"}, "left")
+    table = lookup_join(samples(spark, folder), weather, {"sample_date": "date_time", "region": "region"}, "left", derived=True)
     return table.withColumns({
         "row_id": F.col("site") * 100000 + F.unix_date("sample_date"),
         "truth": C.detection_label("passive", "passive_lod"),

@@ -242,7 +242,7 @@ FROM samples s LEFT JOIN daily d ON s.sample_date = d.date_time AND s.region = d
 def site_climate_join(spark: SparkSession, folder: str) -> DataFrame:
     weather = daily(spark, folder).drop("total_precip")
     table = samples(spark, folder).select("site", "sample_date", "region")
-    return joins.lookup_join(table, weather, {"sample_date": "date_time", "region": "region"}, "left")
+    return joins.lookup_join(table, weather, {"sample_date": "date_time", "region": "region"}, "left", derived=True)
 
 
 @query(with_sql(SAMPLES, """SELECT s.site, s.sample_date, s.grab, d.n AS n_same_grab FROM samples s
@@ -250,7 +250,7 @@ LEFT JOIN (SELECT grab, COUNT(*) AS n FROM samples GROUP BY 1) d ON s.grab IS NO
 def null_safe_join(spark: SparkSession, folder: str) -> DataFrame:
     table = samples(spark, folder).select("site", "sample_date", "grab")
     counts = table.groupBy("grab").agg(F.count(F.lit(1)).alias("n_same_grab"))
-    return joins.lookup_join(table, counts, "grab", "left", null_safe=True)
+    return joins.lookup_join(table, counts, "grab", "left", null_safe=True, derived=True)
 
 
 @query("""SELECT s_suppkey, s_acctbal, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey""")

@@ -41,6 +41,16 @@ def test_pieces_follow_the_order_and_split_hot_groups_and_values(skewed):
     assert max(sizes.values()) < 3000 / 8 * 2
 
 
+def test_a_hot_value_is_split_even_when_ties_follow_the_order(spark):
+    rows = [(i, 5 if i < 400 else 6 if i < 800 else 7 + i % 3) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id bigint, v int")
+    placed = in_pieces(df, order_number(df, "v"), ["id"], pieces=12)
+    sizes = [r["count"] for r in placed.groupBy("_piece", "_part").count().collect()]
+    assert max(sizes) <= 1200 / 12 * 2 and len(sizes) <= 24
+    got = {r["id"]: r["position"] for r in positions(df, [], "v", ["id"], pieces=12).collect()}
+    assert [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))] == sorted(got, key=got.get)
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_positions(skewed, descending):
     df, rows = skewed
