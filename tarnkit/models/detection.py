@@ -9,10 +9,11 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnkit.operators.joins import small_side
+
 
 def poisson_weight(key: str, seed: int) -> Column:
     """Bootstrap weight: a Poisson(1) number from a seeded hash of the row key, repeatable on any executor."""
@@ -64,16 +65,50 @@ def bootstrap_models(
         rows.unpersist()
 
 
+_SEASON = ("sin1", "cos1", "sin2", "cos2")
+
+
+def coefficient_tables(spark: SparkSession, models: Sequence[PipelineModel]) -> tuple[DataFrame, DataFrame]:
+    """The replicates' coefficients as tables: (draw, location, base, slope, season terms) and (draw, year, effect).
+
+    Their size is the number of model parameters, which the fitted models already hold on the driver.
+    """
+    by_location, by_year = [], []
+    for draw, model in enumerate(models, 1):
+        locations, years = model.stages[0].labelsArray
+        weights, intercept = model.stages[-1].coefficients.toArray(), float(model.stages[-1].intercept)
+        n, m = len(locations) + 1, len(years) + 1  # one slot each for unseen labels
+        if len(weights) != 2 * n + m + 5:
+            raise ValueError("the pipeline does not have the expected layout")
+        season = [float(w) for w in weights[n + m : n + m + 4]]
+        common, deviations = float(weights[n + m + 4]), weights[n + m + 5 :]
+        for i, name in enumerate(locations):
+            by_location.append((draw, name, intercept + float(weights[i]), common + float(deviations[i]), *season))
+        by_year += [(draw, name, float(weights[n + j])) for j, name in enumerate(years)]
+    terms = ", ".join(f"_b_{t} double" for t in _SEASON)
+    return (
+        spark.createDataFrame(by_location, f"draw int, _location string, _base double, _slope double, {terms}"),
+        spark.createDataFrame(by_year, "_draw int, _year string, _effect double"),
+    )
+
+
 def draws_on_grid(
     models: Sequence[PipelineModel], grid: DataFrame, location: str, year: str, week: str, x: str
 ) -> DataFrame:
-    """The draws table (location, year, week, draw, x, p): each replicate evaluated on the whole grid."""
-    prepared = with_season(grid, week)
-    result = None
-    for draw, model in enumerate(models, 1):
-        scored = model.transform(prepared).select(
-            F.col(location).alias("location"), F.col(year).alias("year"), F.col(week).alias("week"),
-            F.lit(draw).alias("draw"), F.col(x).alias("x"), vector_to_array("_probability")[1].alias("p"),
-        )
-        result = scored if result is None else result.unionByName(scored)
-    return result
+    """The draws table (location, year, week, draw, x, p): all replicates evaluated on the whole grid.
+
+    The grid is joined with the coefficients, so thousands of replicates are one plan of two small-side joins
+    and an expression.
+    """
+    by_location, by_year = coefficient_tables(grid.sparkSession, models)
+    cells = with_season(grid, week)
+    cells = cells.join(small_side(by_location), F.col(location).cast("string") == F.col("_location"))
+    same_year = (F.col(year).cast("string") == F.col("_year")) & (F.col("draw") == F.col("_draw"))
+    cells = cells.join(small_side(by_year), same_year)
+    logit = F.col("_base") + F.col("_effect") + F.col("_slope") * F.col(x)
+    for term in _SEASON:
+        logit = logit + F.col(f"_b_{term}") * F.col(f"_{term}")
+    return cells.select(
+        F.col(location).alias("location"), F.col(year).alias("year"), F.col(week).alias("week"), "draw",
+        F.col(x).alias("x"), (1 / (1 + F.exp(-logit))).alias("p"),
+    )

@@ -57,12 +57,12 @@ def _start_values(df: DataFrame, numbers: Sequence[str], texts: Sequence[str]) -
     return start
 
 
-def _learner(column: str, text: bool, inputs: Sequence[str], texts: Sequence[str], trees: int, depth: int, seed: int) -> Pipeline:
+def _learner(column: str, text: bool, inputs: Sequence[str], texts: Sequence[str], trees: int, depth: int, bins: int, seed: int) -> Pipeline:
     coded = [c for c in inputs if c in texts]
     stages = [StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep") for c in coded]
     assembled = [f"_i_{c}" if c in coded else c for c in inputs]
     stages.append(VectorAssembler(inputCols=assembled, outputCol="_features", handleInvalid="error"))
-    common = dict(featuresCol="_features", numTrees=trees, maxDepth=depth, seed=seed, predictionCol="_prediction")
+    common = dict(featuresCol="_features", numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, predictionCol="_prediction")
     if text:
         stages.append(StringIndexer(inputCol=column, outputCol="_label", stringOrderType="alphabetAsc"))
         stages.append(RandomForestClassifier(labelCol="_label", **common))
@@ -80,6 +80,7 @@ def impute_once(
     trees: int = 100,
     depth: int = 8,
     k: int = 5,
+    bins: int = 32,
     seed: int = 1,
     pieces: int | None = None,
 ) -> DataFrame:
@@ -87,7 +88,8 @@ def impute_once(
 
     Every incomplete column starts from its median or mode. Columns are then re-predicted in turn, from the
     least incomplete on, each from all others by a forest grown on the rows where it is observed. A number is
-    replaced by a nearby donor's observed value, a text by the predicted class. ``predictors`` must be complete.
+    replaced by a nearby donor's observed value, a text by the predicted class. ``predictors`` must be complete;
+    ``bins`` must exceed the number of different texts in any text column.
     The working table is checkpointed after each column: its lineage would otherwise hold every forest so far.
     """
     ensure_checkpoint_dir(df.sparkSession)
@@ -106,7 +108,7 @@ def impute_once(
             gap, text = F.col(f"_gap_{column}"), column in texts
             inputs = [c for c in (*predictors, *columns) if c != column]
             fitted = _learner(
-                column, text, inputs, [*texts], trees, depth, seed * 1000 + sweep * 100 + number
+                column, text, inputs, texts, trees, depth, bins, seed * 1000 + sweep * 100 + number
             ).fit(work.filter(~gap))
             if text:
                 labels = fitted.stages[-2].labels

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tarnkit.operators import correlation, quantiles, ranktests, reshape, scaling, summaries, timeseries
 from tarnkit.operators.ordering import positions
+from tarnkit.operators.selectors import rename
 from tarnkit.plans.bindings import DAILY, MEASURES, SAMPLES, daily, samples, with_sql
 from tarnkit.plans.registry import query
 from tarnkit.sources.tables import read_table
+from tarnkit.study import predict
 
 _LONG_LINES = "long AS (" + " UNION ALL ".join(
     f"SELECT l_linenumber AS location, '{c}' AS name, {c} AS value FROM lineitem" for c in MEASURES) + ")"
@@ -196,3 +198,32 @@ def top_k_ties(spark: SparkSession, folder: str) -> DataFrame:
 def first_rows(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
     return summaries.first_row(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+_MODEL_ROWS = """prepared AS (SELECT site AS location, sample_date, CAST(year(sample_date) AS INT) AS year, tn,
+    CASE WHEN marker IS NULL OR marker > marker_lod THEN 'none' ELSE 'left' END AS cens_mcye,
+    LOG10(CASE WHEN marker < marker_lod THEN marker_lod ELSE marker END) AS mcye,
+    LOG10(CASE WHEN total < total_lod THEN total_lod ELSE total END) AS total_cyano,
+    CASE WHEN passive > passive_lod THEN 1 WHEN passive <= passive_lod THEN 0 END AS passive_mclr_binary FROM samples),
+lagged AS (SELECT *, LAG(mcye) OVER w AS lag_mcye, COALESCE(LAG(cens_mcye) OVER w, 'none') AS cens_lag_mcye
+  FROM prepared WINDOW w AS (PARTITION BY location ORDER BY sample_date))"""
+
+
+@query(with_sql(SAMPLES, _MODEL_ROWS, """SELECT location, sample_date, CAST(location AS VARCHAR) || '.' || CAST(year AS VARCHAR) AS location_year,
+  CAST(week(sample_date) AS INT) AS week_of_year, cens_mcye, cens_lag_mcye, ROUND(mcye / total_cyano, 6) AS ratio, passive_mclr_binary,
+  ROUND((mcye - (SELECT AVG(mcye) FROM lagged)) / (SELECT STDDEV_SAMP(mcye) FROM lagged), 6) AS s_mcye,
+  ROUND((lag_mcye - (SELECT AVG(lag_mcye) FROM lagged)) / (SELECT STDDEV_SAMP(lag_mcye) FROM lagged), 6) AS s_lag_mcye,
+  ROUND((tn - (SELECT AVG(tn) FROM lagged)) / (SELECT STDDEV_SAMP(tn) FROM lagged), 6) AS s_tn
+FROM lagged WHERE passive_mclr_binary IS NOT NULL"""))
+def model_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The preparation chain of the detection model: flags, limits, logs, lags, z-scores, filter."""
+    named = rename(samples(spark, folder), {
+        "location": "site", "mcye_ndaf": "marker", "lod_mcye_ndaf": "marker_lod", "total_cyano": "total",
+        "lod_total_cyano": "total_lod", "passive_mclr": "passive", "passive_mclr_lod": "passive_lod",
+    })
+    dated = named.withColumns({"year": F.year("sample_date"), "week": F.dayofyear("sample_date")})
+    rows, _ = predict.model_table(dated, ["mcye", "lag_mcye", "tn"])
+    return rows.select(
+        "location", "sample_date", "location_year", "week_of_year", "cens_mcye", "cens_lag_mcye", "ratio",
+        "passive_mclr_binary", "s_mcye", "s_lag_mcye", "s_tn",
+    )

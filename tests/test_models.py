@@ -296,6 +296,11 @@ def test_detection_draws_rise_with_the_predictor(spark):
     models = detection.bootstrap_models(df, "id", F.col("truth") == "detected", "location", "year", "week", "x", replicates=2)
     grid = draws.prediction_grid(df, ["location", "year"], {"week": ("week", 2), "x": ("x", 6)})
     table = detection.draws_on_grid(models, grid, "location", "year", "week", "x")
+    for draw, model in enumerate(models, 1):
+        direct = model.transform(detection.with_season(grid, "week")).collect()
+        expected = {(r["location"], r["year"], r["week"], r["x"]): r["_probability"][1] for r in direct}
+        mine = table.filter(F.col("draw") == draw).collect()
+        assert all(r["p"] == pytest.approx(expected[r["location"], r["year"], r["week"], r["x"]]) for r in mine)
     assert table.count() == 2 * 4 * 2 * 6 and table.filter("p < 0 or p > 1").count() == 0
     ends = table.groupBy("location", "year", "week", "draw").agg(F.min_by("p", "x").alias("lo"), F.max_by("p", "x").alias("hi"))
     assert ends.filter("hi <= lo").count() == 0
