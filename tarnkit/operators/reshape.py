@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 def longer(
     df: DataFrame, ids: Sequence[str], columns: Sequence[str] | None = None, name: str = "name", value: str = "value"
 ) -> DataFrame:
-    """Wide to long; NULL values keep their rows."""
+    """Wide to long; NULL values keep their rows. The columns share one type.
+
+    Written as ``inline``: Spark then recognises two uses of the long table as the same shuffle and reads it
+    once, which it does not for ``unpivot``.
+    """
     columns = list(columns) if columns is not None else [c for c in df.columns if c not in set(ids)]
-    return df.unpivot([F.col(i) for i in ids], [F.col(c) for c in columns], name, value)
+    entries = [F.struct(F.lit(c).alias(name), F.col(c).alias(value)) for c in columns]
+    return df.select(*ids, F.inline(F.array(*entries)))
 
 
 def longer_paired(

@@ -97,6 +97,7 @@ def model_table(table: DataFrame, scaled: Sequence[str] = N.SCALED) -> tuple[Dat
         {(f"cens_lag_{c[5:]}" if c.startswith("cens_") else f"lag_{c}"): (c, 1) for c in columns},
     )
     lagged = cleaning.fill_nulls(lagged, {"cens_lag_mcye": "none", "cens_lag_total_cyano": "none"})
+    lagged = cut(lagged)
     constants = scaling.scaling_constants(lagged, list(scaled))
     scored = scaling.zscores(lagged, list(scaled))
     return scored.filter(F.col("passive_mclr_binary").isNotNull()), constants
