@@ -65,6 +65,7 @@ def bootstrap_models(
         rows.unpersist()
 
 
+COEFFICIENT_ROWS = 1_000_000  # rows of a few numbers, well under 200 MB
 _SEASON = ("sin1", "cos1", "sin2", "cos2")
 
 
@@ -102,9 +103,9 @@ def draws_on_grid(
     """
     by_location, by_year = coefficient_tables(grid.sparkSession, models)
     cells = with_season(grid, week)
-    cells = cells.join(small_side(by_location), F.col(location).cast("string") == F.col("_location"))
+    cells = cells.join(small_side(by_location, COEFFICIENT_ROWS), F.col(location).cast("string") == F.col("_location"))
     same_year = (F.col(year).cast("string") == F.col("_year")) & (F.col("draw") == F.col("_draw"))
-    cells = cells.join(small_side(by_year), same_year)
+    cells = cells.join(small_side(by_year, COEFFICIENT_ROWS), same_year)
     logit = F.col("_base") + F.col("_effect") + F.col("_slope") * F.col(x)
     for term in _SEASON:
         logit = logit + F.col(f"_b_{term}") * F.col(f"_{term}")

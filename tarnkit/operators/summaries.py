@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnkit.operators.joins import equi_join
+from tarnkit.operators.joins import equi_join, lookup_join
 from tarnkit.operators.ordering import running
 from tarnkit.operators.quantiles import group_quantiles, small_group_quantiles, value_counts
 from tarnkit.operators.reshape import longer, wider
@@ -58,7 +58,7 @@ def two_stage_quantiles(
 def percent_of_max(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Value as a percentage of the largest value of its group."""
     top = df.groupBy(*keys).agg(F.max(value).alias("_top"))
-    joined = equi_join(df, top, keys, "left", null_safe=True)
+    joined = lookup_join(df, top, keys, "left", null_safe=True, derived=True)
     return joined.withColumn(name, F.try_divide(100 * F.col(value), F.col("_top"))).drop("_top")
 
 
@@ -77,7 +77,7 @@ def top_with_ties(
     before = F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1))
     reached = best.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < n)
     edge = reached.groupBy(*keys).agg((F.min if largest else F.max)(value).alias("_edge"))
-    rows = equi_join(df, edge, keys, "inner", null_safe=True) if keys else df.withColumn("_edge", edge.scalar())
+    rows = lookup_join(df, edge, keys, "inner", null_safe=True, derived=True) if keys else df.withColumn("_edge", edge.scalar())
     return rows.filter(column >= F.col("_edge") if largest else column <= F.col("_edge")).drop("_edge")
 
 

@@ -11,6 +11,7 @@ from tarnkit.functions.semantics import divide, in_order
 from tarnkit.operators import detections, joins
 from tarnkit.plans.bindings import SAMPLES, samples, with_sql
 from tarnkit.plans.registry import query
+from tarnkit.session import cut
 from tarnkit.sources.tables import read_table
 
 
@@ -79,7 +80,7 @@ def detection_summary(spark: SparkSession, folder: str) -> DataFrame:
   SELECT site, COUNT(*) FILTER (WHERE grab > grab_lod) AS n_detections FROM samples GROUP BY 1
   HAVING COUNT(*) FILTER (WHERE grab > grab_lod) >= 3) g ON s.site = g.site"""))
 def sites_with_detections(spark: SparkSession, folder: str) -> DataFrame:
-    table = samples(spark, folder)
+    table = cut(samples(spark, folder))
     often = detections.groups_with_detections(table, ["site"], "grab", "grab_lod", at_least=3)
     return joins.lookup_join(table.select("site", "sample_date", "grab"), often, "site", "inner", derived=True)
 
@@ -92,7 +93,7 @@ FROM (SELECT site, year, event, same, LAG(same) OVER w AS prev1, LAG(same, 2) OV
   WINDOW w AS (PARTITION BY site, year ORDER BY sample_date))
 WHERE event GROUP BY 1, 2"""))
 def paired_detections(spark: SparkSession, folder: str) -> DataFrame:
-    table = samples(spark, folder).withColumn("year", F.year("sample_date"))
+    table = cut(samples(spark, folder)).withColumn("year", F.year("sample_date"))
     return detections.paired_detections(
         table, ["site", "year"], "sample_date", ("grab", "grab_lod"), ("passive", "passive_lod")
     )

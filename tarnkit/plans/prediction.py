@@ -9,6 +9,7 @@ from tarnkit.models import holdout, importance, roc
 from tarnkit.operators.joins import expand_grid
 from tarnkit.plans.bindings import IMPORTANCE, SCORES, importance as importance_table, samples, SAMPLES, scores, with_sql
 from tarnkit.plans.registry import query
+from tarnkit.session import cut
 
 
 @query(with_sql(SCORES, """SELECT model, imp, row_id, truth, ROUND(CASE WHEN COUNT(*) OVER t > 0 THEN 0.5 * COUNT(*) OVER f / COUNT(*) OVER t END, 6) AS weight
@@ -59,7 +60,7 @@ aucs AS (SELECT model, imp, CASE WHEN np > 0 AND nn > 0 THEN (rp - np * (np + 1)
 
 @query(with_sql(SCORES, _RANKED_SCORES, "SELECT model, imp, ROUND(auc, 6) AS auc FROM aucs"))
 def auc_by_model(spark: SparkSession, folder: str) -> DataFrame:
-    return roc.auc(scores(spark, folder))
+    return roc.auc(cut(scores(spark, folder)))
 
 
 _CURVE = """counts AS (SELECT model, imp, score, COUNT(*) FILTER (WHERE truth = 'detected') AS pos,
@@ -76,7 +77,7 @@ curve AS (SELECT model, imp, score AS threshold, CASE WHEN np > 0 THEN tp / np::
 @query(with_sql(SCORES, _CURVE, """SELECT model, imp, ROUND(threshold, 6) AS threshold, ROUND(sensitivity, 6) AS sensitivity,
   ROUND(specificity, 6) AS specificity FROM curve WHERE threshold > 0"""))
 def roc_points(spark: SparkSession, folder: str) -> DataFrame:
-    return roc.roc_curve(scores(spark, folder), min_threshold=0.0)
+    return roc.roc_curve(cut(scores(spark, folder)), min_threshold=0.0)
 
 
 _LOOKUP = """lookup AS (SELECT model, imp, row_id, CASE WHEN np > 0 THEN tp / np END AS sensitivity,
@@ -91,7 +92,7 @@ _LOOKUP = """lookup AS (SELECT model, imp, row_id, CASE WHEN np > 0 THEN tp / np
 @query(with_sql(SCORES, _LOOKUP, """SELECT model, imp, row_id, ROUND(sensitivity, 6) AS sensitivity,
   ROUND(specificity, 6) AS specificity, ROUND(fpr, 6) AS fpr FROM lookup"""))
 def sens_spec_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    return roc.sens_spec_lookup(scores(spark, folder))
+    return roc.sens_spec_lookup(cut(scores(spark, folder)))
 
 
 _LEVELS = [0.25, 0.5, 0.75, 0.9]
@@ -101,13 +102,13 @@ _LEVELS = [0.25, 0.5, 0.75, 0.9]
     f"SELECT model, imp, {s}::DOUBLE AS specificity, ROUND(MAX(sensitivity), 6) AS sensitivity, ROUND(1 - {s}::DOUBLE, 6) AS fpr "
     f"FROM lookup WHERE specificity >= {s}::DOUBLE GROUP BY 1, 2" for s in _LEVELS)))
 def sens_at_spec(spark: SparkSession, folder: str) -> DataFrame:
-    return roc.sensitivity_at(roc.sens_spec_lookup(scores(spark, folder)), ["model", "imp"], _LEVELS)
+    return roc.sensitivity_at(roc.sens_spec_lookup(cut(scores(spark, folder))), ["model", "imp"], _LEVELS)
 
 
 @query(with_sql(SCORES, _RANKED_SCORES, """SELECT model, ROUND(QUANTILE_CONT(auc, 0.025), 3) AS min, ROUND(MEDIAN(auc), 3) AS auc,
   ROUND(QUANTILE_CONT(auc, 0.975), 3) AS max, CASE model WHEN 'hold_2024' THEN 'Year 2024' ELSE model END AS location FROM aucs GROUP BY model"""))
 def auc_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return roc.auc_summary(roc.auc(scores(spark, folder)), labels={"hold_2024": "Year 2024"})
+    return roc.auc_summary(roc.auc(cut(scores(spark, folder))), labels={"hold_2024": "Year 2024"})
 
 
 _BANDS = """med AS (SELECT model, imp, specificity, MEDIAN(sensitivity) AS m FROM curve
@@ -119,7 +120,7 @@ bands AS (SELECT model, specificity, QUANTILE_CONT(m, 0.25) AS l, QUANTILE_CONT(
   CASE WHEN model LIKE '%2024' THEN 'Tested on 2024' ELSE 'Tested on Location' END AS model_type
 FROM bands WINDOW w AS (PARTITION BY model ORDER BY specificity ROWS UNBOUNDED PRECEDING)"""))
 def roc_bands(spark: SparkSession, folder: str) -> DataFrame:
-    return roc.roc_bands(roc.roc_curve(scores(spark, folder)))
+    return roc.roc_bands(roc.roc_curve(cut(scores(spark, folder))))
 
 
 @query(with_sql(SCORES, """SELECT model, imp, COUNT(*) AS n, ROUND(AVG(CAST((score >= 0.4) = (truth = 'detected') AS INT)), 6) AS accuracy,
@@ -151,7 +152,7 @@ tops AS (SELECT 'grab' AS target, * FROM first UNION ALL SELECT 'passive', * FRO
 @query(with_sql(IMPORTANCE, _summary_sql("importance", "one"), _summary_sql("other_importance", "two"), _TOPS, """SELECT target, variable, ROUND(avg_importance, 6) AS avg_importance,
   CASE WHEN variable IN (SELECT variable FROM first INTERSECT SELECT variable FROM second) THEN 'Shared predictor' ELSE 'Not shared' END AS shared FROM tops"""))
 def top_predictors_shared(spark: SparkSession, folder: str) -> DataFrame:
-    table = importance_table(spark, folder)
+    table = cut(importance_table(spark, folder))
     on_location = F.col("model_type") != "Tested on 2024"
     first = importance.importance_summary(table.drop("other_importance")).filter(on_location)
     second = importance.importance_summary(

@@ -14,6 +14,7 @@ from tarnkit.plans.bindings import (
     DAILY, MEASURES, SAMPLES, SCORES, STATIONS, daily, samples, scores, stations, with_sql,
 )
 from tarnkit.plans.registry import query
+from tarnkit.session import cut
 from tarnkit.sources.tables import read_table
 
 _CHEM = ", ".join(f"ROUND(MEDIAN({c}), 3) AS median_{c}, ROUND(STDDEV_SAMP({c}), 3) AS sd_{c}" for c in MEASURES)
@@ -211,7 +212,7 @@ def rolling_climate(spark: SparkSession, folder: str) -> DataFrame:
         "temp_7d_mean": ("mean", "mean_temp", 7),
         "temp_3d_avgmax": ("mean", "max_temp", 3),
     }
-    rolled = timeseries.rolling(daily(spark, folder), ["region"], "date_time", frames)
+    rolled = timeseries.rolling(cut(daily(spark, folder)), ["region"], "date_time", frames)
     return rolled.select("region", "date_time", *frames)
 
 
@@ -228,7 +229,7 @@ def rolling_climate_days(spark: SparkSession, folder: str) -> DataFrame:
   COALESCE(LAG(CASE WHEN marker IS NULL OR marker > marker_lod THEN 'none' ELSE 'left' END) OVER w, 'none') AS cens_lag
 FROM samples WINDOW w AS (PARTITION BY site ORDER BY sample_date)"""))
 def lagged_predictors(spark: SparkSession, folder: str) -> DataFrame:
-    table = samples(spark, folder).withColumn("_cens", C.censoring("marker", "marker_lod"))
+    table = cut(samples(spark, folder)).withColumn("_cens", C.censoring("marker", "marker_lod"))
     lagged = timeseries.lags(
         table, ["site"], "sample_date",
         {"lag_marker": ("marker", 1), "lag2_tn": ("tn", 2), "cens_lag": ("_cens", 1)},
@@ -264,7 +265,7 @@ def site_lookup_join(spark: SparkSession, folder: str) -> DataFrame:
 @query(with_sql(SAMPLES, """SELECT site, sample_date,
   site IN (SELECT site FROM samples WHERE grab > grab_lod) AS grab_site FROM samples"""))
 def shared_flag(spark: SparkSession, folder: str) -> DataFrame:
-    table = samples(spark, folder)
+    table = cut(samples(spark, folder))
     found = table.filter(C.detected("grab", "grab_lod")).select("site")
     return joins.flag_matching(table.select("site", "sample_date"), found, "site", "grab_site")
 

@@ -10,6 +10,7 @@ from tarnkit.operators.ordering import positions
 from tarnkit.operators.selectors import rename
 from tarnkit.plans.bindings import DAILY, MEASURES, SAMPLES, daily, samples, with_sql
 from tarnkit.plans.registry import query
+from tarnkit.session import cut
 from tarnkit.sources.tables import read_table
 from tarnkit.study import predict
 
@@ -114,7 +115,7 @@ _SITE_MEDIANS = "grouped AS (" + " UNION ALL ".join(
 @query(with_sql(SAMPLES, _SITE_MEDIANS, _SPEARMAN))
 def detection_correlation(spark: SparkSession, folder: str) -> DataFrame:
     return correlation.detection_correlation(
-        samples(spark, folder), "site", ["tn", "tp", "marker"], "passive", "passive_lod"
+        cut(samples(spark, folder)), "site", ["tn", "tp", "marker"], "passive", "passive_lod"
     )
 
 
@@ -134,7 +135,7 @@ lagged AS (SELECT d.region, mean_temp - mu AS x, """ + ", ".join(
 @query(with_sql(DAILY, _ACF, "SELECT region, 0 AS lag, 1.0::DOUBLE AS acf FROM lagged GROUP BY 1 UNION ALL " + " UNION ALL ".join(
     f"SELECT region, {k} AS lag, ROUND(SUM(x * x{k}) / SUM(x * x), 6) AS acf FROM lagged GROUP BY 1" for k in (1, 2, 3))))
 def residual_acf(spark: SparkSession, folder: str) -> DataFrame:
-    return timeseries.autocorrelation(daily(spark, folder), ["region"], "date_time", "mean_temp", 3)
+    return timeseries.autocorrelation(cut(daily(spark, folder)), ["region"], "date_time", "mean_temp", 3)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(
@@ -217,7 +218,7 @@ lagged AS (SELECT *, LAG(mcye) OVER w AS lag_mcye, COALESCE(LAG(cens_mcye) OVER
 FROM lagged WHERE passive_mclr_binary IS NOT NULL"""))
 def model_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The preparation chain of the detection model: flags, limits, logs, lags, z-scores, filter."""
-    named = rename(samples(spark, folder), {
+    named = rename(cut(samples(spark, folder)), {
         "location": "site", "mcye_ndaf": "marker", "lod_mcye_ndaf": "marker_lod", "total_cyano": "total",
         "lod_total_cyano": "total_lod", "passive_mclr": "passive", "passive_mclr_lod": "passive_lod",
     })
