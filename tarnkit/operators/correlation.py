@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tarnkit.functions.censoring import detected
 from tarnkit.functions.tails import t_p
 from tarnkit.operators.joins import equi_join
-from tarnkit.operators.quantiles import group_quantiles, midranks
+from tarnkit.operators.ordering import midranks
+from tarnkit.operators.quantiles import group_quantiles
 from tarnkit.operators.reshape import longer
 from tarnkit.session import cut
 

@@ -6,7 +6,7 @@ whole table, and windows run over (group, piece), so that no window partition ho
 ``rows / pieces`` rows, however the rows are spread over groups. What a piece needs to know about earlier
 pieces of its group arrives as extra rows unioned into it:
 
-* ``running``: one header row with the totals of all earlier pieces (sums, minima, maxima);
+* ``running``, ``midranks``: one header row with the totals of all earlier pieces (sums, minima, maxima);
 * ``trailing``: the last ``span`` rows before the piece, for lags and trailing frames.
 
 Both give exactly what the plain window gives. Headers and carried rows are bounded by
@@ -158,7 +158,7 @@ def running(
     outputs |= {n: F.min(f"_in_{n}").over(local) for n in mins}
     outputs |= {n: F.max(f"_in_{n}").over(local) for n in maxs}
     outputs |= {n: F.max(f"_in_{n}").over(local) for n in totals}
-    equal = Window.partitionBy(*keys, _PIECE, _PART, _KIND, _ORDER)
+    equal = in_order.rangeBetween(Window.currentRow, Window.currentRow)
     outputs |= {n: F.sum(f"_in_{n}").over(equal) for n in peers}
     result = mixed.withColumns(outputs).filter(F.col(_KIND) == 1)
     return _drop_marks(result.drop(*inputs))
@@ -171,6 +171,39 @@ def positions(
     return running(df, keys, order, ties, sums={name: F.lit(1).cast("bigint")}, **options)
 
 
+def midranks(
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "midrank", pieces: int | None = None
+) -> DataFrame:
+    """Average rank of every row within its group; NULL for NULL values.
+
+    Rows are shuffled once and nothing is joined back. Rows of a value with a piece of its own all get the
+    middle of that piece, so they may be spread over parts in any way; they are by the task that read them.
+    """
+    keys = list(keys)
+    rows = df.withColumn(_ORDER, order_number(df, value))
+    splits, hot = quantile_splits(rows, _ORDER, pieces or shuffle_pieces(df.sparkSession))
+    counts = ", ".join(str(hot.get(s, 1)) for s in [None, *splits, None, None])
+    parts = F.expr(f"array({counts})")[F.col(_PIECE).cast("int")]
+    rows = _bucketed(rows, _ORDER, _PIECE, splits)
+    per_piece = rows.groupBy(*keys, _PIECE).agg(F.count(_ORDER).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    header = per_piece.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(
+        *keys, _PIECE, "_before", "_n", (parts > 1).alias("_own"), F.lit(0).alias(_KIND),
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias(_PART),
+    )
+    spread = rows.withColumn(_PART, F.pmod(F.spark_partition_id(), parts)).withColumn(_KIND, F.lit(1))
+    mixed = spread.unionByName(header, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, _PIECE, _PART).orderBy(_KIND, _ORDER)
+    facts = {c: F.max(c).over(inside) for c in ("_before", "_n", "_own")} | {
+        "_rank": F.rank().over(inside) - 1,
+        "_peers": F.count(F.lit(1)).over(inside.rangeBetween(Window.currentRow, Window.currentRow)),
+    }
+    within = F.when(F.col("_own"), (F.col("_n") + 1) / 2).otherwise(F.col("_rank") + (F.col("_peers") - 1) / 2)
+    ranked = mixed.withColumns(facts).filter(F.col(_KIND) == 1)
+    ranked = ranked.withColumn(name, F.when(F.col(_ORDER).isNotNull(), F.col("_before") + within))
+    return _drop_marks(ranked.drop("_before", "_n", "_own", "_rank", "_peers"))
+
+
 def trailing(
     df: DataFrame,
     keys: Sequence[str],

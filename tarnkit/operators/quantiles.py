@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnkit.operators.joins import equi_join
 from tarnkit.operators.ordering import running
 
 
@@ -75,12 +74,3 @@ def value_midranks(
     )
     midrank = F.col("_through") - (F.col("n") - 1) / F.lit(2.0)
     return cumulative.withColumn("midrank", midrank).drop("_through")
-
-
-def midranks(
-    df: DataFrame, keys: Sequence[str], value: str, name: str = "midrank", pieces: int | None = None
-) -> DataFrame:
-    """Average rank of every row within its group; NULL for NULL values."""
-    keys = list(keys)
-    ranks = value_midranks(df, keys, value, pieces=pieces).select(*keys, value, F.col("midrank").alias(name))
-    return equi_join(df, ranks, [*keys, value], "left", null_safe=keys)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnkit.operators import correlation, quantiles, ranktests, reshape, scaling, summaries, timeseries
-from tarnkit.operators.ordering import positions
+from tarnkit.operators import correlation, ordering, quantiles, ranktests, reshape, scaling, summaries, timeseries
 from tarnkit.operators.selectors import rename
 from tarnkit.plans.bindings import DAILY, MEASURES, SAMPLES, daily, samples, with_sql
 from tarnkit.plans.registry import query
@@ -123,7 +122,7 @@ def detection_correlation(spark: SparkSession, folder: str) -> DataFrame:
   + (COUNT(*) OVER (PARTITION BY event_type, value) - 1) / 2.0::DOUBLE AS midrank FROM events""")
 def midranks(spark: SparkSession, folder: str) -> DataFrame:
     events = read_table(spark, folder, "events").select("event_id", "event_type", "value")
-    return quantiles.midranks(events, ["event_type"], "value")
+    return ordering.midranks(events, ["event_type"], "value")
 
 
 _ACF = """m AS (SELECT region, AVG(mean_temp) AS mu FROM daily GROUP BY 1),
@@ -184,7 +183,7 @@ def cumulative_stats(spark: SparkSession, folder: str) -> DataFrame:
 def sorted_positions(spark: SparkSession, folder: str) -> DataFrame:
     """The place of every row in a whole-table sort, without one task holding the table."""
     events = read_table(spark, folder, "events").select("event_id", "value")
-    return positions(events, [], "value", ["event_id"], descending=True)
+    return ordering.positions(events, [], "value", ["event_id"], descending=True)
 
 
 @query("""SELECT * EXCLUDE (r) FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnkit.operators import quantiles, timeseries
-from tarnkit.operators.ordering import in_pieces, order_number, positions, running, trailing
+from tarnkit.operators.ordering import in_pieces, midranks, order_number, positions, running, trailing
 
 
 @pytest.fixture(scope="module")
@@ -134,7 +134,7 @@ def test_quantiles_agree_with_spark_percentile(spark):
 
 def test_midranks_sum_and_ties(skewed):
     df, rows = skewed
-    got = {r["id"]: r["midrank"] for r in quantiles.midranks(df, ["g"], "v", pieces=8).collect()}
+    got = {r["id"]: r["midrank"] for r in midranks(df, ["g"], "v", pieces=8).collect()}
     for members in by_group(rows).values():
         n = len(members)
         assert sum(got[r[0]] for r in members) == pytest.approx(n * (n + 1) / 2)
@@ -142,6 +142,14 @@ def test_midranks_sum_and_ties(skewed):
         assert len(hot) == 1
 
 
+def test_midranks_of_missing_values_are_missing(spark):
+    rows = [("a", 3.0), ("a", None), ("a", 1.0), ("a", 3.0), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = sorted((r["g"], r["v"] or 0, r["midrank"]) for r in midranks(df, ["g"], "v", pieces=3).collect() if r["v"])
+    assert got == [("a", 1.0, 1.0), ("a", 3.0, 2.5), ("a", 3.0, 2.5)]
+    assert midranks(df, ["g"], "v", pieces=3).filter("v is null and midrank is null").count() == 2
+
+
 def test_rolling_needs_full_windows_and_skips_missing(spark):
     rows = [("a", i, None if i == 2 else float(i)) for i in range(1, 6)] + [("b", 1, 1.0)]
     df = spark.createDataFrame(rows, "g string, d int, v double")
