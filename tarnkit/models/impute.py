@@ -42,7 +42,7 @@ def match_donors(
         F.array_sort(F.collect_list(F.struct(F.abs(F.col("_dp") - F.col("_p")), "_at", observed))).alias("_c")
     )
     lists = near.select(F.col("_p").alias(prediction), F.slice(F.col(f"_c.{observed}"), 1, k).alias("_c"))
-    joined = equi_join(recipients.select(key, prediction), lists, prediction, "inner")
+    joined = lookup_join(recipients.select(key, prediction), lists, prediction, "inner", derived=True)
     pick = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.size("_c")).cast("int") + 1
     return joined.select(key, F.element_at("_c", pick).alias(observed))
 

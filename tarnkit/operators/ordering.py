@@ -1,9 +1,10 @@
 """Order-dependent work on groups of any size.
 
 ``Window.partitionBy(group)`` puts a whole group into one task. When one group may hold a third of all
-rows that task is the job. Here the ordering column is cut into *pieces* at approximate quantiles of the
-whole table, and windows run over (group, piece), so that no window partition holds more than about
-``rows / pieces`` rows, however the rows are spread over groups. What a piece needs to know about earlier
+rows that task is the job. Here the ordering column of such big groups is cut into *pieces* at approximate
+quantiles, and windows run over (group, piece), so that no window partition holds more than about
+``rows / pieces`` rows, however the rows are spread over groups. Where no group is big, the window is a plain
+one. What a piece needs to know about earlier
 pieces of its group arrives as extra rows unioned into it:
 
 * ``running``, ``midranks``: one header row with the totals of all earlier pieces (sums, minima, maxima);
@@ -23,7 +24,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
+from tarnkit.operators.joins import equi_join
 from tarnkit.session import shuffle_pieces
 
 _ORDER, _PIECE, _PART, _KIND = "_order", "_piece", "_part", "_kind"
@@ -49,9 +52,7 @@ def order_number(df: DataFrame, name: str, descending: bool = False) -> Column:
 
 def quantile_splits(df: DataFrame, column: str, pieces: int) -> tuple[list[float], dict[float, int]]:
     """Split points holding about equal row counts, and the values too frequent to share a piece with the
-    number of pieces each of them fills.
-
-    The only action of this module: one scan of one column, which returns at most ``pieces`` numbers.
+    number of pieces each of them fills. One scan of one column, which returns at most ``pieces`` numbers.
     """
     probabilities = [i / pieces for i in range(1, pieces)]
     sketch = F.percentile_approx(F.col(column).cast("double"), probabilities, 8 * pieces)
@@ -70,36 +71,62 @@ def _bucketed(df: DataFrame, column: str, output: str, splits: Sequence[float])
     return placed.withColumn(output, F.coalesce(output, F.lit(len(splits) + 2.0)))  # missing after everything
 
 
+def big_groups(df: DataFrame, keys: Sequence[str], pieces: int) -> DataFrame | None:
+    """Keys of the groups with more than 1/pieces of all rows, or None. There are fewer than ``pieces``."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    found = counts.filter(F.col("_n") * pieces > total).select(*keys).collect()
+    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
+    return df.sparkSession.createDataFrame(found, schema) if found else None
+
+
+def _mark_big(df: DataFrame, keys: Sequence[str], big: DataFrame | None) -> DataFrame:
+    if big is None:
+        return df.withColumn("_big", F.lit(True))
+    marked = equi_join(df, F.broadcast(big.withColumn("_found", F.lit(True))), keys, "left", null_safe=True)
+    return marked.withColumn("_big", F.col("_found").isNotNull()).drop("_found")
+
+
 def in_pieces(
     df: DataFrame,
+    keys: Sequence[str],
     order: Column,
     ties: Sequence[str] = (),
     pieces: int | None = None,
     weigh: DataFrame | None = None,
-) -> DataFrame:
-    """Add ``_order``, ``_piece`` and ``_part``; (piece, part, order, ties) sorts like (order, ties).
+) -> tuple[DataFrame, bool]:
+    """Add ``_order``, ``_piece`` and ``_part``; within keys, (piece, part, order, ties) sorts like (order, ties).
 
+    Only groups with more than 1/pieces of all rows are cut; the second result tells whether there are any.
     A value frequent enough to fill a piece gets a piece of its own, subdivided at quantiles of the first
-    tie-break column among its rows when that is a number, date or timestamp. Split points come from ``weigh``, a cheaper
-    table with the same order column, if given; they decide the balance of the pieces, not the result.
+    tie-break column among its rows when that is a number, date or timestamp. Group sizes and split points
+    come from ``weigh``, a cheaper table with the same keys and order column, if given; they decide the
+    balance of the pieces, not the result.
     """
     pieces = pieces or shuffle_pieces(df.sparkSession)
+    weigh = df if weigh is None else weigh
     df = df.withColumn(_ORDER, order)
-    splits, hot = quantile_splits(df if weigh is None else weigh.withColumn(_ORDER, order), _ORDER, pieces)
+    big = big_groups(weigh, keys, pieces) if keys else None
+    if keys and big is None:
+        return df.withColumns({_PIECE: F.lit(0.0), _PART: F.lit(0.0)}), False
+    df = _mark_big(df, keys, big)
+    splits, hot = quantile_splits(_mark_big(weigh.withColumn(_ORDER, order), keys, big).filter("_big"), _ORDER, pieces)
     df = _bucketed(df, _ORDER, _PIECE, splits)
+    df = df.withColumn(_PIECE, F.when(F.col("_big"), F.col(_PIECE)).otherwise(0.0))
     if not (hot and ties and _is_ordinal(df, ties[0])):
-        return df.withColumn(_PART, F.lit(0.0))
+        return df.withColumn(_PART, F.lit(0.0)).drop("_big"), True
     is_hot = F.expr(f"array({', '.join(str(s in hot).lower() for s in [None, *splits, None, None])})")
-    df = df.withColumn("_hot", is_hot[F.col(_PIECE).cast("int")])
+    df = df.withColumn("_hot", F.col("_big") & is_hot[F.col(_PIECE).cast("int")])
     tie = order_number(df, ties[0]).cast("double")
     ends = df.filter("_hot").agg(F.min(tie), F.max(tie)).first()
     if ends[0] is None:
-        return df.drop("_hot").withColumn(_PART, F.lit(0.0))
+        return df.drop("_hot", "_big").withColumn(_PART, F.lit(0.0)), True
     share = (tie - F.lit(ends[0])) / F.lit(max(ends[1] - ends[0], 1e-300))
     df = df.withColumn("_place", F.col(_PIECE) + F.least(share, F.lit(1.0)) * 0.999)
     points, _ = quantile_splits(df.filter("_hot"), "_place", sum(hot.values()))
     df = _bucketed(df, "_place", _PART, points)
-    return df.withColumn(_PART, F.when(F.col("_hot"), F.col(_PART)).otherwise(0.0)).drop("_hot", "_place")
+    df = df.withColumn(_PART, F.when(F.col("_hot"), F.col(_PART)).otherwise(0.0))
+    return df.drop("_hot", "_place", "_big"), True
 
 
 def _drop_marks(df: DataFrame) -> DataFrame:
@@ -132,7 +159,24 @@ def running(
     if peers and ties:
         raise ValueError("peers are rows of equal order, so there can be no tie-break")
     inputs = {f"_in_{n}": col for group in (sums, mins, maxs, totals, peers) for n, col in group.items()}
-    rows = in_pieces(df, order_number(df, order, descending), ties, pieces, weigh).withColumns(inputs)
+    rows, cut = in_pieces(df, keys, order_number(df, order, descending), ties, pieces, weigh)
+    rows = rows.withColumns(inputs)
+
+    def along(window: WindowSpec, kept: Mapping[str, WindowSpec]) -> dict[str, Column]:
+        local = (window.rowsBetween if ties else window.rangeBetween)(Window.unboundedPreceding, Window.currentRow)
+        equal = window.rangeBetween(Window.currentRow, Window.currentRow)
+        return (
+            {n: F.sum(f"_in_{n}").over(local) for n in sums}
+            | {n: F.min(f"_in_{n}").over(local) for n in mins}
+            | {n: F.max(f"_in_{n}").over(local) for n in maxs}
+            | {n: F.sum(f"_in_{n}").over(kept.get("totals", local)) for n in totals}
+            | {n: F.sum(f"_in_{n}").over(equal) for n in peers}
+        )
+
+    if not cut:
+        group = Window.partitionBy(*keys)
+        outputs = along(group.orderBy(F.col(_ORDER).asc_nulls_last(), *ties), {"totals": group})
+        return _drop_marks(rows.withColumns(outputs).drop(*inputs))
 
     combine = {f"_in_{n}": F.sum for n in (*sums, *totals)} | {f"_in_{n}": F.min for n in mins}
     combine |= {f"_in_{n}": F.max for n in maxs}
@@ -152,14 +196,7 @@ def running(
     whole = rows.withColumns({_KIND: F.lit(1)} | {f"_in_{n}": F.lit(None) for n in totals})
     mixed = whole.unionByName(header, allowMissingColumns=True)
     piece = Window.partitionBy(*keys, _PIECE, _PART)
-    in_order = piece.orderBy(_KIND, F.col(_ORDER).asc_nulls_last(), *ties)
-    local = (in_order.rowsBetween if ties else in_order.rangeBetween)(Window.unboundedPreceding, 0)
-    outputs = {n: F.sum(f"_in_{n}").over(local) for n in sums}
-    outputs |= {n: F.min(f"_in_{n}").over(local) for n in mins}
-    outputs |= {n: F.max(f"_in_{n}").over(local) for n in maxs}
-    outputs |= {n: F.max(f"_in_{n}").over(local) for n in totals}
-    equal = in_order.rangeBetween(Window.currentRow, Window.currentRow)
-    outputs |= {n: F.sum(f"_in_{n}").over(equal) for n in peers}
+    outputs = along(piece.orderBy(_KIND, F.col(_ORDER).asc_nulls_last(), *ties), {})
     result = mixed.withColumns(outputs).filter(F.col(_KIND) == 1)
     return _drop_marks(result.drop(*inputs))
 
@@ -180,11 +217,19 @@ def midranks(
     middle of that piece, so they may be spread over parts in any way; they are by the task that read them.
     """
     keys = list(keys)
+    pieces = pieces or shuffle_pieces(df.sparkSession)
     rows = df.withColumn(_ORDER, order_number(df, value))
-    splits, hot = quantile_splits(rows, _ORDER, pieces or shuffle_pieces(df.sparkSession))
-    counts = ", ".join(str(hot.get(s, 1)) for s in [None, *splits, None, None])
-    parts = F.expr(f"array({counts})")[F.col(_PIECE).cast("int")]
-    rows = _bucketed(rows, _ORDER, _PIECE, splits)
+    big = big_groups(df, keys, pieces) if keys else None
+    splits, hot = [], {}
+    if big is not None or not keys:
+        rows = _mark_big(rows, keys, big)
+        splits, hot = quantile_splits(rows.filter("_big"), _ORDER, pieces)
+        rows = _bucketed(rows, _ORDER, _PIECE, splits)
+        rows = rows.withColumn(_PIECE, F.when(F.col("_big"), F.col(_PIECE)).otherwise(-1.0)).drop("_big")
+    else:
+        rows = rows.withColumn(_PIECE, F.lit(-1.0))
+    counts = ", ".join(str(hot.get(s, 1)) for s in [None, None, *splits, None, None])
+    parts = F.expr(f"array({counts})")[F.col(_PIECE).cast("int") + 1]
     per_piece = rows.groupBy(*keys, _PIECE).agg(F.count(_ORDER).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
     header = per_piece.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(
@@ -220,7 +265,10 @@ def trailing(
     exact up to ``span`` and larger than ``span`` from there on. (keys, order, ties) identifies a row.
     """
     keys, ties = list(keys), list(ties)
-    rows = in_pieces(df, order_number(df, order), ties, pieces)
+    rows, cut = in_pieces(df, keys, order_number(df, order), ties, pieces)
+    if not cut:
+        window = Window.partitionBy(*keys).orderBy(F.col(_ORDER).asc_nulls_last(), *ties)
+        return _drop_marks(rows.withColumns(dict(columns(window))))
     place = [*keys, _PIECE, _PART]
     backwards = Window.partitionBy(*place).orderBy(F.col(_ORDER).desc_nulls_first(), *[F.desc(t) for t in ties])
     lasts = rows.withColumn("_back", F.row_number().over(backwards)).filter(F.col("_back") <= span)

@@ -31,7 +31,8 @@ def by_group(rows):
 
 def test_pieces_follow_the_order_and_split_hot_groups_and_values(skewed):
     df, rows = skewed
-    placed = in_pieces(df, order_number(df, "v"), ["id"], pieces=8)
+    placed, cut = in_pieces(df, [], order_number(df, "v"), ["id"], pieces=8)
+    assert cut
     got = [(r["_piece"], r["_part"], r["v"], r["id"]) for r in placed.collect()]
     by_place = [(v, i) for _, _, v, i in sorted(got)]
     assert by_place == sorted((r[2], r[0]) for r in rows)
@@ -41,30 +42,41 @@ def test_pieces_follow_the_order_and_split_hot_groups_and_values(skewed):
     assert max(sizes.values()) < 3000 / 8 * 2
 
 
+def test_only_big_groups_are_cut(skewed, spark):
+    df, _ = skewed
+    placed, cut = in_pieces(df, ["g"], order_number(df, "v"), ["id"], pieces=4)
+    pieces = {r["g"]: r["n"] for r in placed.groupBy("g").agg(F.countDistinct("_piece").alias("n")).collect()}
+    assert cut and pieces["hot"] > 1 and pieces["a"] == pieces["b"] == pieces[None] == 1
+    many = spark.range(100).withColumn("g", F.col("id") % 50)
+    placed, cut = in_pieces(many, ["g"], order_number(many, "id"), pieces=10)
+    assert not cut and placed.select("_piece").distinct().count() == 1
+
+
 def test_a_hot_value_is_split_even_when_ties_follow_the_order(spark):
     rows = [(i, 5 if i < 400 else 6 if i < 800 else 7 + i % 3) for i in range(1200)]
     df = spark.createDataFrame(rows, "id bigint, v int")
-    placed = in_pieces(df, order_number(df, "v"), ["id"], pieces=12)
+    placed, _ = in_pieces(df, [], order_number(df, "v"), ["id"], pieces=12)
     sizes = [r["count"] for r in placed.groupBy("_piece", "_part").count().collect()]
     assert max(sizes) <= 1200 / 12 * 2 and len(sizes) <= 24
     got = {r["id"]: r["position"] for r in positions(df, [], "v", ["id"], pieces=12).collect()}
     assert [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))] == sorted(got, key=got.get)
 
 
-@pytest.mark.parametrize("descending", [False, True])
-def test_positions(skewed, descending):
+@pytest.mark.parametrize("descending,pieces", [(False, 8), (True, 8), (False, 2), (False, 1), (True, 60)])
+def test_positions(skewed, descending, pieces):
     df, rows = skewed
-    got = {r["id"]: r["position"] for r in positions(df, ["g"], "v", ["id"], descending=descending, pieces=8).collect()}
+    got = {r["id"]: r["position"] for r in positions(df, ["g"], "v", ["id"], descending=descending, pieces=pieces).collect()}
     for members in by_group(rows).values():
         order = sorted(members, key=lambda r: (-r[2] if descending else r[2], r[0]))
         assert [got[r[0]] for r in order] == list(range(1, len(order) + 1))
 
 
-def test_running_sums_minima_maxima_totals(skewed):
+@pytest.mark.parametrize("pieces", [1, 4, 30])
+def test_running_sums_minima_maxima_totals(skewed, pieces):
     df, rows = skewed
     result = running(
         df, ["g"], "v", ["id"], sums={"s": F.col("w")}, mins={"lo": F.col("w")}, maxs={"hi": F.col("w")},
-        totals={"t": F.col("w")}, pieces=8,
+        totals={"t": F.col("w")}, pieces=pieces,
     )
     got = {r["id"]: (r["s"], r["lo"], r["hi"], r["t"]) for r in result.collect()}
     assert len(got) == len(rows)
@@ -75,9 +87,10 @@ def test_running_sums_minima_maxima_totals(skewed):
             assert got[r[0]] == (s, lo, hi, total)
 
 
-def test_running_takes_equal_values_together(skewed):
+@pytest.mark.parametrize("pieces", [1, 4, 30])
+def test_running_takes_equal_values_together(skewed, pieces):
     df, rows = skewed
-    result = running(df, ["g"], "v", sums={"s": F.lit(1)}, peers={"p": F.lit(1)}, pieces=8)
+    result = running(df, ["g"], "v", sums={"s": F.lit(1)}, peers={"p": F.lit(1)}, pieces=pieces)
     got = {r["id"]: (r["s"], r["p"]) for r in result.collect()}
     for members in by_group(rows).values():
         for r in members[:40]:
@@ -132,9 +145,10 @@ def test_quantiles_agree_with_spark_percentile(spark):
     assert (got["q"], got["u"]) == (1.75, pytest.approx(8.625))
 
 
-def test_midranks_sum_and_ties(skewed):
+@pytest.mark.parametrize("pieces", [1, 4, 30])
+def test_midranks_sum_and_ties(skewed, pieces):
     df, rows = skewed
-    got = {r["id"]: r["midrank"] for r in midranks(df, ["g"], "v", pieces=8).collect()}
+    got = {r["id"]: r["midrank"] for r in midranks(df, ["g"], "v", pieces=pieces).collect()}
     for members in by_group(rows).values():
         n = len(members)
         assert sum(got[r[0]] for r in members) == pytest.approx(n * (n + 1) / 2)
