@@ -238,7 +238,7 @@ def midranks(
     )
     spread = rows.withColumn(_PART, F.pmod(F.spark_partition_id(), parts)).withColumn(_KIND, F.lit(1))
     mixed = spread.unionByName(header, allowMissingColumns=True)
-    inside = Window.partitionBy(*keys, _PIECE, _PART).orderBy(_KIND, _ORDER)
+    inside = Window.partitionBy(*keys, _PIECE, _PART).orderBy(_KIND, F.col(_ORDER).asc_nulls_last())
     facts = {c: F.max(c).over(inside) for c in ("_before", "_n", "_own")} | {
         "_rank": F.rank().over(inside) - 1,
         "_peers": F.count(F.lit(1)).over(inside.rangeBetween(Window.currentRow, Window.currentRow)),

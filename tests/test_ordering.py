@@ -156,12 +156,16 @@ def test_midranks_sum_and_ties(skewed, pieces):
         assert len(hot) == 1
 
 
-def test_midranks_of_missing_values_are_missing(spark):
-    rows = [("a", 3.0), ("a", None), ("a", 1.0), ("a", 3.0), ("b", None)]
+@pytest.mark.parametrize("pieces", [1, 2, 3, 50])
+def test_midranks_of_missing_values_are_missing(spark, pieces):
+    rows = [("a", 3.0), ("a", None), ("a", 1.0), ("a", 3.0), ("b", None), ("c", None), ("c", 8.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = sorted((r["g"], r["v"] or 0, r["midrank"]) for r in midranks(df, ["g"], "v", pieces=3).collect() if r["v"])
-    assert got == [("a", 1.0, 1.0), ("a", 3.0, 2.5), ("a", 3.0, 2.5)]
-    assert midranks(df, ["g"], "v", pieces=3).filter("v is null and midrank is null").count() == 2
+    ranked = midranks(df, ["g"], "v", pieces=pieces).collect()
+    got = sorted((r["g"], r["v"], r["midrank"]) for r in ranked if r["v"] is not None)
+    assert got == [("a", 1.0, 1.0), ("a", 3.0, 2.5), ("a", 3.0, 2.5), ("c", 8.0, 1.0)]
+    assert [r["midrank"] for r in ranked if r["v"] is None] == [None] * 3
+    whole = midranks(df, [], "v", pieces=pieces).collect()
+    assert sorted(r["midrank"] for r in whole if r["v"] is not None) == [1.0, 2.5, 2.5, 4.0]
 
 
 def test_rolling_needs_full_windows_and_skips_missing(spark):

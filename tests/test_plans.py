@@ -32,14 +32,14 @@ def test_no_cross_product(spark, name):
 
 def test_counts_are_shuffled_once(spark):
     lines = read_table(spark, FOLDER, "lineitem").select("l_returnflag", "l_quantity", "l_tax")
-    plain = quantiles.group_quantiles(lines, ["l_returnflag"], "l_quantity", {"m": 0.5})
-    long = quantiles.group_quantiles(reshape.longer(lines, ["l_returnflag"]), ["l_returnflag", "name"], "value", {"m": 0.5})
+    plain = quantiles.group_quantiles(lines, ["l_returnflag"], "l_quantity", {"m": 0.5}, pieces=8)
+    long = quantiles.group_quantiles(reshape.longer(lines, ["l_returnflag"]), ["l_returnflag", "name"], "value", {"m": 0.5}, pieces=8)
     assert "ReusedExchange" in plan(plain, run=True) and "ReusedExchange" in plan(long, run=True)
 
 
 def test_row_windows_are_cut_into_pieces(spark):
     events = read_table(spark, FOLDER, "events").select("event_id", "event_type", "value")
-    text = plan(summaries.cumulative(events, ["event_type"], "value", ["event_id"], "value"))
+    text = plan(summaries.cumulative(events, ["event_type"], "value", ["event_id"], "value", pieces=8))
     exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
     assert any("_piece" in line for line in exchanges)
     assert "Exchange SinglePartition" not in text
@@ -61,10 +61,16 @@ def test_scans_read_only_what_is_needed(spark):
     assert "In(event_type" in filtered.split("PushedFilters: ")[1] and "props" not in filtered
 
 
-def test_top_rows_are_limited_before_the_shuffle(spark):
+def test_groups_of_moderate_size_get_a_plain_window(spark):
+    events = read_table(spark, FOLDER, "events").select("event_id", "user_id", "value")
+    text = plan(summaries.cumulative(events, ["user_id"], "value", ["event_id"], "value", pieces=8))
+    assert text.count("Exchange hashpartitioning") == 1 and "_piece" not in text and "Union" not in text
+
+
+def test_top_rows_are_not_shuffled(spark):
     lines = read_table(spark, FOLDER, "lineitem").select("l_suppkey", "l_quantity")
     text = plan(summaries.top_with_ties(lines, ["l_suppkey"], "l_quantity", 5))
-    assert "WindowGroupLimit" in text and "Partial" in text
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
 
 
 def test_zscores_compute_their_constants_once(spark):
