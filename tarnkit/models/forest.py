@@ -99,7 +99,8 @@ def run_holdouts(
     """Fit one forest per (hold-out, imputation) and predict its held-out rows.
 
     Returns predictions (model, imp, row_id, truth, score) and importances (model, imp, variable, importance).
-    With ``path``, each fit's predictions are written there as soon as they exist, partitioned by model and imp.
+    With ``path``, each fit's predictions are written to their own (model, imp) partition there as soon as they
+    exist; running a fit again replaces its partition.
     """
     spark = df.sparkSession
 
@@ -117,13 +118,13 @@ def run_holdouts(
                 F.col(spec.target).alias("truth")]
         scored = predict(model, vectors.transform(test), spec, keys)
         if path is not None:
-            save_table(scored, path, ["model", "imp"], mode="append")
+            save_table(scored, path, ["model", "imp"], replace_partitions=True)
         return (holdout.name, imp, model), scored
 
     done = in_flight([(h, i) for h in holdouts for i in imputations], one, at_once)
     importances = importance_rows(spark, [fit for fit, _ in done], spec.features)
     if path is not None:
-        return spark.read.parquet(path), importances
+        return spark.read.parquet(path).select("model", "imp", "row_id", "truth", "score"), importances
     predictions = done[0][1]
     for _, scored in done[1:]:
         predictions = predictions.unionByName(scored)

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from tarnkit.session import cut
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Does the table hold at most ``rows`` rows? Stops reading once it knows."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Does the table hold at most ``rows`` rows and ``size`` bytes of text form? Stops reading after that many rows."""
+    text = F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), text).first()
+    return found["n"] <= rows and (found["size"] or 0) <= size
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a lookup that was just counted to be small; leave a larger one to a shuffle join.
+    """Broadcast a lookup that was just measured to be small; leave a larger one to a shuffle join.
 
     Beyond the limit adaptive execution splits skewed partitions of the shuffle join.
     """
@@ -67,10 +70,10 @@ def lookup_join(
     rows: int = BROADCAST_ROWS,
     derived: bool = False,
 ) -> DataFrame:
-    """Equi-join with a side expected to be small; broadcast only after counting it.
+    """Equi-join with a side expected to be small; broadcast only after measuring it.
 
     Say ``derived`` when the small side is computed from large tables: it is then stored first, so that
-    counting and joining do not compute it twice.
+    measuring and joining do not compute it twice.
     """
     return equi_join(left, small_side(cut(right) if derived else right, rows), on, how, null_safe)
 

@@ -14,14 +14,24 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def save_table(
-    df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", max_rows_per_file: int = 5_000_000
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (),
+    mode: str = "errorifexists",
+    replace_partitions: bool = False,
+    max_rows_per_file: int = 5_000_000,
 ) -> DataFrame:
     """Write Parquet partitioned by key columns and return the table read back.
 
     Cuts lineage on storage that survives executor loss. Rows go to the writers as they are: no shuffle
-    gathers one key value in one task; the writer sorts its own rows by key.
+    gathers one key value in one task; the writer sorts its own rows by key. ``replace_partitions`` replaces
+    just the partitions found in ``df``; several jobs may do so at once for different partitions.
     """
-    writer = df.write.mode(mode).option("maxRecordsPerFile", max_rows_per_file)
+    writer = df.write.option("maxRecordsPerFile", max_rows_per_file)
+    if replace_partitions:
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = writer.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -261,9 +261,13 @@ def test_saved_predictions_and_regression_mode(gappy, tmp_path):
     table = df.filter("y is not null").withColumn("imp", F.lit(1)).withColumn("noise", F.lit(1.0))
     spec = forest.ForestSpec("y", ("z", "noise"), mode="regression", trees=8, mtry=2, max_depth=5)
     path = str(tmp_path / "predictions")
-    predictions, _ = forest.run_holdouts(table, spec, [holdout.Holdout("h", "year", 2022)], [1], "id", path=path)
+    splits = [holdout.Holdout(f"held out/{y}", "year", y) for y in (2022, 2023, 2024)]
+    forest.run_holdouts(table, spec, splits, [1], "id", path=path, at_once=3)
+    predictions, _ = forest.run_holdouts(table, spec, splits[:1], [1], "id", path=path)
+    assert predictions.count() == table.count()
+    assert {r["model"] for r in predictions.select("model").distinct().collect()} == {s.name for s in splits}
     error = predictions.agg(F.sqrt(F.avg((F.col("score") - F.col("truth")) ** 2))).first()[0]
-    assert error < 1.5 and predictions.select("model").distinct().count() == 1
+    assert error < 1.5
 
 
 def test_tuning_prefers_the_useful_setting(gappy):

@@ -94,6 +94,7 @@ def test_lookup_is_broadcast_only_when_counted_small(spark):
     large = joins.lookup_join(big, look.withColumn("w", F.lit(1)), "k", rows=49)
     plans = [df._jdf.queryExecution().analyzed().toString() for df in (small, large)]
     assert "broadcast" in plans[0] and "broadcast" not in plans[1]
+    assert not joins.fits_broadcast(look.withColumn("t", F.repeat(F.lit("x"), 1000)), 50, size=10_000)
     assert small.filter("w = 1").count() == large.filter("w = 1").count() == 50
 
 
