@@ -24,13 +24,14 @@ def match_donors(
 ) -> DataFrame:
     """Give each recipient the observed value of one of the k donors with the nearest predictions.
 
-    Donors are numbered along the prediction. For each distinct recipient prediction the k donors on either
+    Donors are numbered along the prediction, equal ones in the order of a seeded hash. For each distinct recipient prediction the k donors on either
     side are looked up by number, the k nearest kept, and a seeded hash of the recipient's key picks one. No
     pair of donor and recipient is formed beyond those 2k. Both tables must be stored or repeatable.
     Returns (key, observed).
     """
+    tie = F.xxhash64(F.col(key), F.lit(seed)).alias("_tie")
     numbered = positions(
-        donors.select(key, observed, F.col(prediction).alias("_dp")), [], "_dp", [key], "_at", pieces=pieces
+        donors.select(key, observed, F.col(prediction).alias("_dp"), tie), [], "_dp", ["_tie", key], "_at", pieces=pieces
     )
     counts = donors.select(F.col(prediction).alias("_p"), F.lit(1).cast("bigint").alias("_d"), F.lit(0).alias("_r"))
     counts = counts.unionByName(
