@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnkit.llm import bpe, packing
+from tarnkit.llm import bpe, packing, simhash
 from tarnkit.llm.tables import table
 
 
@@ -19,12 +19,18 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.groups(table(spark, folder, "documents")).select(
+        "doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_simhash": op4_simhash,
     "op8_packing": op8_packing,
 }
 CHECKS: dict[str, str] = {}
