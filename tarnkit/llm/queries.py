@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnkit.llm import bpe, packing, simhash
+from tarnkit.llm import bpe, langid, packing, quality, simhash
 from tarnkit.llm.tables import table
 
 
@@ -24,13 +24,23 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
 
 
+def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_simhash": op4_simhash,
+    "op7_langid": op7_langid,
     "op8_packing": op8_packing,
+    "op10_quality": op10_quality,
 }
 CHECKS: dict[str, str] = {}
