@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnkit.llm import bpe, langid, packing, quality, simhash
+from tarnkit.llm import bpe, langid, packing, quality, simhash, suffix_dedup
 from tarnkit.llm.tables import table
 
 
@@ -19,6 +19,10 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, folder, "documents"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.groups(table(spark, folder, "documents")).select(
         "doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
@@ -38,6 +42,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash": op4_simhash,
     "op7_langid": op7_langid,
     "op8_packing": op8_packing,
