@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnkit.llm import bpe, langid, packing, quality, simhash, suffix_dedup
+from tarnkit.llm import bpe, langid, packing, quality, simhash, suffix_dedup, topk
 from tarnkit.llm.tables import table
 
 
@@ -36,6 +36,10 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
@@ -46,6 +50,17 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op7_langid": op7_langid,
     "op8_packing": op8_packing,
+    "op9_topk": op9_topk,
     "op10_quality": op10_quality,
 }
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op9_topk": """
+WITH rows AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  cells AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS d, len(v) AS n FROM rows),
+  sums AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+    FROM cells q JOIN cells c ON q.d = c.d AND q.n = c.n AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM sums QUALIFY rank <= 5""",
+}
