@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnkit.llm.tables import extended
+
 #: The split of byte-level BPE before its merges. White space as Unicode lists it.
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
          r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -195,9 +197,7 @@ def encode(frame: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*keep, "ids"])
 
-    picked = frame.select(*keep, F.col(text).alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(work, f"{kinds}, ids array<int>")
+    return frame.select(*keep, F.col(text).alias("__text")).mapInArrow(work, extended(frame, keep, "ids array<int>"))
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -212,9 +212,7 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...]
                 out = [words.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in lists]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
-    picked = frame.select(*keep, F.col(ids).alias("ids"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(work, f"{kinds}, decoded binary")
+    return frame.select(*keep, F.col(ids).alias("__ids")).mapInArrow(work, extended(frame, keep, "decoded binary"))
 
 
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:

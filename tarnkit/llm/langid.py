@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnkit.llm.tables import extended
+
 PIECE, SPACE, OTHER = 1024, 0, 1
 
 
@@ -175,9 +177,8 @@ def predict(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "t
                     [*part.columns[:-1], pa.array([labels[x] for x in best], pa.string()), pa.array(score), pa.array(rate)],
                     names=[*names, "lang_pred", "score", "rate"])
 
-    picked = docs.select(*names, F.col(text).alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(work, f"{kinds}, lang_pred string, score double, rate double")
+    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(
+        work, extended(docs, names, "lang_pred string, score double, rate double"))
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5) -> DataFrame:
@@ -185,3 +186,16 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     held = (crc_of(key) % folds == 0).alias("held_out")
     models = fit(docs.where(crc_of(key) % folds != 0), key, text, lang)
     return predict(docs.select(key, text, held), models, key, text, ("held_out",))
+
+
+def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most_bits: float = 8.0) -> DataFrame:
+    """`docs` without texts that have no letter or need more than `most_bits` a symbol in every learned language.
+
+    So many bits mean phrases of hardly two symbols: a script or a language that no label has. Where nothing was learned, only
+    texts without a letter go.
+    """
+    models = fit(docs.where(crc_of(key) % 5 != 0), key, text, lang)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    if not models.names:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
+    return predict(rows, models, "row", "text").where((F.col("lang_pred") != "und") & (F.col("rate") <= most_bits)).select("row.*")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnkit.llm.bpe import encode
-from tarnkit.llm.tables import cut
+from tarnkit.llm.tables import cut, extended
 
 #: Pieces that one task packs; more groups, not larger ones, serve more documents.
 GROUP_PIECES = 16_384
@@ -46,8 +46,7 @@ def cut_pieces(frame: DataFrame, size: int, end_id: int, key: str = "doc_id", id
                 [pa.array(x, t) for x, t in zip(rows, (batch.schema.field(0).type, pa.int32(), *[pa.int64()] * 3))],
                 names=[key, "piece", "start", "length", "ids_crc32"])
 
-    kind = frame.schema[key].dataType.simpleString()
-    return frame.select(key, ids).mapInArrow(work, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return frame.select(key, ids).mapInArrow(work, extended(frame, [key], "piece int, start long, length long, ids_crc32 long"))
 
 
 def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +78,7 @@ def pack(pieces: DataFrame, size: int, group_pieces: int = GROUP_PIECES) -> Data
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < size)
     groups = max(1, round(rest.count() / group_pieces))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    schema = extended(pieces, pieces.columns, "sequence_id long, offset long")
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         group = int(part["part"].iloc[0])
@@ -87,7 +86,7 @@ def pack(pieces: DataFrame, size: int, group_pieces: int = GROUP_PIECES) -> Data
         return part.drop(columns="part").assign(sequence_id=sequence * groups + group, offset=offset)
 
     dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return full.unionByName(dealt.groupBy("part").applyInPandas(work, f"{fields}, sequence_id long, offset long"))
+    return full.unionByName(dealt.groupBy("part").applyInPandas(work, schema))
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:

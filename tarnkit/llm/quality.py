@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnkit.llm.tables import cut
+from tarnkit.llm.tables import cut, extended
 
 WORDS = re.compile("[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -71,10 +71,9 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: t
             found = np.array([text_counts(x.as_py()) for x in batch.column(len(names))], np.int64).reshape(-1, len(columns))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, found.T.copy())], names=[*names, *columns])
 
-    picked = docs.select(*names, F.col(text).alias("text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]] + [f"{c} long" for c in columns]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return picked.mapInArrow(work, ", ".join(kinds)).withColumn("base_failed", failed)
+    picked = docs.select(*names, F.col(text).alias("__text"))
+    return picked.mapInArrow(work, extended(docs, names, ", ".join(f"{c} long" for c in columns))).withColumn("base_failed", failed)
 
 
 def pooled(rows: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -167,3 +166,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tupl
     failed = rows.where("base_failed").select(key, *COUNTS, "base_failed", F.lit(None).cast("double").alias("distance"))
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CHI2_CUTOFF))
     return scored.unionByName(failed).withColumn("kept", kept)
+
+
+def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """`docs` without the rows that the rules reject. Rows equal in key, text and groups share a verdict."""
+    marked = docs.withColumn("__row", F.xxhash64(key, text, *groups))
+    good = judge(marked.select("__row", text, *groups), "__row", text, groups).where("kept").select("__row").distinct()
+    return marked.join(good, "__row", "left_semi").select(*docs.columns)

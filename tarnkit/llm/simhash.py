@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnkit.llm.components import components
-from tarnkit.llm.tables import cut
+from tarnkit.llm.tables import cut, extended
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -63,8 +63,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             found = np.array([fingerprint(shingle_hashes(x.as_py(), width, seed)) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[key, "print"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(work, f"`{key}` {kind}, print long")
+    return docs.select(key, text).mapInArrow(work, extended(docs, [key], "print long"))
 
 
 def linked_pairs(values: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
@@ -163,15 +162,17 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     return prints.join(named, "print").select(key, "print", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
-    """`docs` with one row of each group: that with the smallest key; among rows with equal keys any one of them."""
-    found = groups(docs, key, text, width, bits)
-    kept = cut(found.groupBy("component_id").agg(F.count(F.when(F.col(key).eqNullSafe(F.col("component_id")), 1)).alias("rows")))
-    once = kept.where("rows = 1").select(F.col("component_id").alias("kept_key"))
-    more = kept.where("rows > 1").select(F.col("component_id").alias("kept_key"))
-    single = docs.join(once, docs[key].eqNullSafe(once["kept_key"]), "left_semi")
-    repeated = docs.join(more, docs[key].eqNullSafe(more["kept_key"]), "left_semi").dropDuplicates([key])
-    return single.unionByName(repeated)
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, bits: int = 5) -> DataFrame:
+    """`docs` with one row of each group: that with the smallest key; of rows equal in key and text any one of them.
+
+    Fingerprints of five-word shingles at five or fewer differing bits stand for a similarity of 0.8 or more.
+    """
+    marked = docs.withColumn("__row", F.xxhash64(key, text))
+    found = groups(marked.select(F.struct(key, "__row").alias("place"), text), "place", text, width, bits)
+    kept = cut(found.where("place <=> component_id").groupBy(F.col("place.__row").alias("__row")).agg(F.count("*").alias("rows")))
+    single = marked.join(kept.where("rows = 1"), "__row", "left_semi")
+    repeated = marked.join(kept.where("rows > 1"), "__row", "left_semi").dropDuplicates(["__row"])
+    return single.unionByName(repeated).select(*docs.columns)
 
 
 def hex_print(column: str = "print"):

@@ -268,12 +268,12 @@ def spans_of(runs: list[bytes]) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> tuple[DataFrame, DataFrame]:
-    """`docs` with a column `ref`, and rows (ref, n_removed, n_spans, kept_sha256[, kept]) of the texts that lose bytes."""
-    source = docs.withColumn("ref", F.xxhash64(F.col(key), F.col(text)))
+    """`docs` with a column `__ref`, and rows (ref, n_removed, n_spans, kept_sha256[, kept_text]) of the texts that lose bytes."""
+    source = docs.withColumn("__ref", F.xxhash64(F.col(key), F.col(text)))
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // BUCKET) + 1)
-    texts = source.select("ref", whole.alias("body")).where(F.octet_length("body") >= SPAN)
+    texts = source.select(F.col("__ref").alias("ref"), whole.alias("body")).where(F.octet_length("body") >= SPAN)
     told = answers(cover(texts, buckets)).groupBy("ref").agg(
         F.collect_list(F.when(F.col("kind") == 0, F.col("runs"))).alias("settled"),
         F.collect_list(F.when(F.col("kind") == 1, F.col("runs"))).alias("open"))
@@ -291,22 +291,22 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text:
                 data = memoryview(body.as_py())
                 kept = b"".join(data[a:b] for a, b in zip([0, *spans[:, 1].tolist()], [*spans[:, 0].tolist(), len(data)]))
                 for column, value in zip(rows, (ref.as_py(), int((spans[:, 1] - spans[:, 0]).sum()), len(spans),
-                                                sha256(kept).hexdigest(), kept if with_text else None)):
+                                                sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
-                names=["ref", "n_removed", "n_spans", "kept_sha256", "kept"])
+                [pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
+                names=["ref", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     lost = found.join(late, "ref", "left").select("ref", "body", "settled", "late").mapInArrow(
-        work, "ref long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["ref"])
-    return source, lost if with_text else lost.drop("kept")
+        work, "ref long, n_removed long, n_spans long, kept_sha256 string, kept_text string").dropDuplicates(["ref"])
+    return source, lost if with_text else lost.drop("kept_text")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_bytes, n_removed, n_spans, kept_sha256) of all documents."""
     source, lost = repeats(docs, key, text)
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    plain = source.select(key, "ref", F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("whole"))
+    plain = source.select(key, F.col("__ref").alias("ref"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("whole"))
     return plain.join(lost, "ref", "left").select(
         key, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
@@ -315,5 +315,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with the repeated bytes cut from their texts; what a cut leaves of a character goes with it."""
     source, lost = repeats(docs, key, text, with_text=True)
-    kept = F.when(F.col("n_removed").isNull(), F.col(text)).otherwise(F.regexp_replace(F.decode("kept", "UTF-8"), "�", ""))
-    return source.join(lost, "ref", "left").withColumn(text, kept).select(*docs.columns)
+    lost = lost.select(F.col("ref").alias("__ref"), F.col("n_removed").alias("__removed"), F.col("kept_text").alias("__kept"))
+    cut_text = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.col("__kept"))
+    return source.join(lost, "__ref", "left").withColumn(text, cut_text).select(*docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,3 +31,8 @@ def cut(frame: DataFrame) -> DataFrame:
     """The frame, stored in the checkpoint folder."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def extended(frame: DataFrame, columns: list[str], more: str) -> StructType:
+    """Schema of the named columns and of those that `more` declares."""
+    return StructType([frame.schema[c] for c in columns] + list(StructType.fromDDL(more)))
