@@ -28,8 +28,8 @@ from tarnkit.llm.tables import extended
 #: The split of byte-level BPE before its merges. White space as Unicode lists it.
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
          r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-#: A worker's memory of encoded words is emptied at so many entries; longer words are not kept.
-MEMORY_ENTRIES, MEMORY_LETTERS = 400_000, 48
+#: Entries and letters of words that a worker remembers; longer words are encoded anew each time.
+MEMORY_ENTRIES, MEMORY_LETTERS = 300_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,16 +40,19 @@ def byte_letters() -> dict[str, int]:
 
 
 class Memory(dict):
-    """What a function gave for short texts or pairs, bounded."""
+    """What a function gave for short texts or pairs: those of the last `MEMORY_ENTRIES` at least, of twice as many at most."""
 
     def __init__(self, work):
         super().__init__()
-        self.work = work
+        self.work, self.older = work, {}
 
     def __missing__(self, text):
-        out = self.work(text)
+        out = self.older.get(text)
+        if out is None:
+            out = self.work(text)
         if len(text) <= MEMORY_LETTERS:
             if len(self) >= MEMORY_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[text] = out
         return out
@@ -117,10 +120,15 @@ class Vocabulary:
         data = word.encode()
         text, size = data.decode("latin-1"), len(data)
         longest, lengths, shorter, pairs = self.automaton.iter_long, self.lengths, self.shorter, self.pairs
-        tokens: list[int] = []
+        greedy = [k for _, k in longest(text)]
+        good = list(map(pairs.__getitem__, zip(greedy, greedy[1:])))
+        if all(good):
+            return array("i", greedy).tobytes()
+        stop = good.index(False) + 1
+        tokens, token = greedy[:stop], shorter[greedy[stop]]
+        at, before = sum(map(lengths.__getitem__, tokens)), tokens[-1]
         given_up: set[int] = set()
-        at, before, token = 0, -1, next(longest(text, 0))[1]
-        while token >= 0:
+        while at < size:
             while token >= 0:
                 end = at + lengths[token]
                 if end not in given_up and (before < 0 or pairs[before, token]):
