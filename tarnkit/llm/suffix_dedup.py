@@ -156,11 +156,11 @@ def messages(buckets: int, names, contexts, refs, firsts, counts) -> Iterator[pa
     one, sign, bucket = one[turn], sign[turn], bucket[turn]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     rows = [(int(bucket[a]), names[one[a:b]].tobytes(), contexts[one[a:b]].tobytes(), refs[one[a:b]].tobytes(),
-             firsts[one[a:b]].astype("<i4").tobytes(), (counts[one[a:b]] * sign[a:b]).astype("<i4").tobytes())
+             firsts[one[a:b]].astype("<i4").tobytes(), (counts[one[a:b]] * sign[a:b]).astype("<i1").tobytes())
             for a, b in zip([0, *cuts], [*cuts, len(one)]) if b > a]
     if len(settled):
         rows.append((int(refs[settled[0]] % buckets), b"", b"", refs[settled].tobytes(),
-                     firsts[settled].astype("<i4").tobytes(), counts[settled].astype("<i4").tobytes()))
+                     firsts[settled].astype("<i4").tobytes(), counts[settled].astype("<i1").tobytes()))
     for k in range(0, len(rows), 64):
         columns = list(zip(*rows[k:k + 64]))
         yield pa.RecordBatch.from_arrays(
@@ -198,7 +198,7 @@ def answers(sent: DataFrame) -> DataFrame:
 
     def work(table: pa.Table) -> pa.Table:
         parts = {n: [x.as_py() for x in table.column(n)] for n in ("names", "contexts", "refs", "firsts", "counts")}
-        kinds = {"names": "<u8", "contexts": "<u8", "refs": "<i8", "firsts": "<i4", "counts": "<i4"}
+        kinds = {"names": "<u8", "contexts": "<u8", "refs": "<i8", "firsts": "<i4", "counts": "<i1"}
         asked = [bool(x) for x in parts["names"]]
         get = lambda n, which: np.frombuffer(b"".join(x for x, y in zip(parts[n], asked) if y == which), kinds[n])
         told = [by_row(get("refs", False), get("firsts", False), get("counts", False), 0)]
@@ -274,11 +274,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text:
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // BUCKET) + 1)
     texts = source.select(F.col("__ref").alias("ref"), whole.alias("body")).where(F.octet_length("body") >= SPAN)
-    told = answers(cover(texts, buckets)).groupBy("ref").agg(
+    told = cut(answers(cover(texts, buckets))).groupBy("ref").agg(
         F.collect_list(F.when(F.col("kind") == 0, F.col("runs"))).alias("settled"),
         F.collect_list(F.when(F.col("kind") == 1, F.col("runs"))).alias("open"))
     found = cut(texts.join(told, "ref"))
-    late = answers(strings_of(found.where(F.size("open") > 0).select("ref", "body", "open"), buckets))
+    late = cut(answers(strings_of(found.where(F.size("open") > 0).select("ref", "body", "open"), buckets)))
     late = late.where("kind = 0").groupBy("ref").agg(F.collect_list("runs").alias("late"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

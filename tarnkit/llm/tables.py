@@ -27,10 +27,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame, stored in the checkpoint folder."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
+    """The frame, stored in the checkpoint folder; the shuffle files that made it are then of no more use and go."""
+    spark = frame.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return frame.select("*").checkpoint()
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def extended(frame: DataFrame, columns: list[str], more: str) -> StructType:
