@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnkit.llm import bpe, langid, packing, quality, simhash, suffix_dedup, topk
+from tarnkit.llm import bpe, chat, langid, packing, quality, simhash, suffix_dedup, topk, warc
 from tarnkit.llm.tables import table
 
 
@@ -19,6 +19,11 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    mask = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["begin"], x["end"])), ",")
+    return chat.rotate(table(spark, folder, "conversations")).withColumn("mask", mask)
+
+
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, folder, "documents"))
 
@@ -28,6 +33,10 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, folder, "pages"))
+
+
 def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
 
@@ -46,14 +55,37 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_chat": op2_chat,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash": op4_simhash,
+    "op6_warc": op6_warc,
     "op7_langid": op7_langid,
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
 }
 CHECKS: dict[str, str] = {
+    "op2_chat": """
+WITH clean AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role,
+    replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations),
+  speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM clean WHERE role <> 'system'),
+  views AS (SELECT c.conv_id, speaker, CAST(coalesce(floor(turn / 256), 9223372036854775807) AS BIGINT) AS part, turn, role, text,
+      '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
+        ELSE 'user name=' || role END || chr(10) AS head, text || '<|im_end|>' || chr(10) AS body
+    FROM clean c JOIN speakers s ON c.conv_id IS NOT DISTINCT FROM s.conv_id),
+  laid AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text
+      ROWS UNBOUNDED PRECEDING) AS stop FROM views)
+SELECT conv_id, speaker, part, CAST(0 AS BIGINT) AS slice, CAST(0 AS BIGINT) AS share, count(*) AS n_turns,
+  string_agg(head || body, '' ORDER BY turn, role, text) AS text,
+  coalesce(string_agg(CASE WHEN role = speaker THEN (stop - length(body)) || '-' || stop END, ',' ORDER BY turn, role, text), '') AS mask
+FROM laid GROUP BY conv_id, speaker, part""",
+    "op6_warc": """
+WITH rows AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM rows""",
     "op9_topk": """
 WITH rows AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
