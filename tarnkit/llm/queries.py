@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnkit.llm import bpe, chat, langid, packing, quality, simhash, suffix_dedup, topk, warc
+from tarnkit.llm import bpe, chat, langid, lm, packing, quality, simhash, suffix_dedup, topk, warc
 from tarnkit.llm.tables import table
 
 
@@ -33,6 +33,10 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
 
 
+def op5_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"))
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_and_read(table(spark, folder, "pages"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_chat": op2_chat,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash": op4_simhash,
+    "op5_lm": op5_lm,
     "op6_warc": op6_warc,
     "op7_langid": op7_langid,
     "op8_packing": op8_packing,
