@@ -20,12 +20,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnkit.llm.tables import cut, extended
+from tarnkit.llm.tables import cut, extended, small_side
 
 WORDS = re.compile("[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -76,46 +75,46 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: t
     return picked.mapInArrow(work, extended(docs, names, ", ".join(f"{c} long" for c in columns))).withColumn("base_failed", failed)
 
 
-def pooled(rows: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Rows with a column `pool`: their group if it has enough rows, else what small groups share, null if that is too small."""
+def pooled(rows: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> tuple[DataFrame, int]:
+    """Rows with a column `pool`: their group if it has enough rows, else what small groups share, null if that is too small; number of groups."""
     whole = F.to_json(F.struct(*[F.col(g) for g in groups]), {"ignoreNullFields": "false"})
     first = F.to_json(F.struct(F.col(groups[0])), {"ignoreNullFields": "false"})
     sizes = cut(rows.groupBy(whole.alias("whole"), first.alias("first")).agg(F.count("*").alias("n")))
     small = sizes.where(F.col("n") < MIN_ROWS)
     wider = small.groupBy("first").agg(F.sum("n").alias("n_first"))
     rest = wider.where(F.col("n_first") < MIN_ROWS).agg(F.coalesce(F.sum("n_first"), F.lit(0))).first()[0]
-    pools = sizes.join(wider, "first", "left").select("whole", F.when(F.col("n") >= MIN_ROWS, F.col("whole")).when(
+    number = sizes.count()
+    pools = sizes.join(small_side(wider, number), "first", "left").select("whole", F.when(F.col("n") >= MIN_ROWS, F.col("whole")).when(
         F.col("n_first") >= MIN_ROWS, F.concat(F.lit("rest of "), "first")).when(F.lit(rest >= MIN_ROWS), F.lit("rest")).alias("pool"))
-    return rows.withColumn("whole", whole).join(pools, "whole").drop("whole")
+    return rows.withColumn("whole", whole).join(small_side(pools, number), "whole").drop("whole"), number
 
 
 def distance(names: list[str]) -> Column:
-    """Squared distance of the features from `centre` by `inverse`, two columns of the pool's parameters."""
-    p = len(names)
-    off = [F.col(x) - F.col("centre")[i] for i, x in enumerate(names)]
+    """Squared distance of the features from a pool's centre: forward substitution in the Cholesky factor."""
+    z: list[Column] = []
+    for i, x in enumerate(names):
+        off = F.col(x) - F.col("centre")[i]
+        for k in range(i):
+            off = off - F.col(f"l{i}{k}") * z[k]
+        z.append(off / F.col(f"l{i}{i}"))
     total = F.lit(0.0)
-    for i in range(p):
-        for j in range(i, p):
-            total = total + (1 if i == j else 2) * off[i] * off[j] * F.col("inverse")[i * p + j]
+    for x in z:
+        total = total + x * x
     return total
 
 
-def parameters(moments: DataFrame, names: list[str], floors: list[float], keys: list[str]) -> DataFrame:
-    """Centre, inverse covariance and log determinant from sums of features and of their products."""
-    p = len(names)
-    floor = np.diag(np.square(floors))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = []
-            for _, row in part.iterrows():
-                mean = np.array(row["mean"], float)
-                cov = np.array(row["products"], float).reshape(p, p) - np.outer(mean, mean) + floor
-                rows.append((*[row[k] for k in keys], mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
-            yield pd.DataFrame(rows, columns=[*keys, "centre", "inverse", "logdet"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moments.schema.fields if f.name in keys)
-    return cut(moments.mapInPandas(work, f"{kinds}, centre array<double>, inverse array<double>, logdet double"))
+def parameters(moments: DataFrame, floors: list[float], keys: list[str], tasks: int) -> DataFrame:
+    """Rows (keys, centre, Cholesky factor of the covariance in columns l00, l10, ..., logdet) from means and means of products."""
+    p = len(floors)
+    out = moments.withColumn("centre", F.col("mean"))
+    for i in range(p):
+        for j in range(i + 1):
+            rest = F.col("products")[i * p + j] - F.col("mean")[i] * F.col("mean")[j] + (floors[i] ** 2 if i == j else 0.0)
+            for k in range(j):
+                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+    logdet = sum((F.log(F.col(f"l{i}{i}")) for i in range(p)), F.lit(0.0))
+    return cut(out.withColumn("logdet", logdet).drop("mean", "products").coalesce(tasks))
 
 
 def moments(rows: DataFrame, names: list[str], keys: list[str], given: Column) -> DataFrame:
@@ -124,33 +123,33 @@ def moments(rows: DataFrame, names: list[str], keys: list[str], given: Column) -
     return rows.groupBy(*keys).agg(mean.alias("mean"), products.alias("products")).where(F.col("mean")[0].isNotNull())
 
 
-def minimum_covariance(rows: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
-    """Rows (pool, centre, inverse, scale): the minimum-covariance-determinant estimate of each pool."""
-    middle = rows.groupBy("pool").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"{x}_mid") for x in names])
-    spread = rows.join(middle, "pool").groupBy("pool").agg(
+def minimum_covariance(rows: DataFrame, names: list[str], floors: list[float], number: int) -> DataFrame:
+    """Rows (pool, centre, factor, scale): the minimum-covariance-determinant estimate of each of up to `number` pools."""
+    tasks = number // 5000 + 1
+    middle = cut(rows.groupBy("pool").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"{x}_mid") for x in names]).coalesce(tasks))
+    spread = rows.join(small_side(middle, number), "pool").groupBy("pool").agg(
         *[F.first(f"{x}_mid").alias(f"{x}_mid") for x in names],
         *[F.percentile_approx(F.abs(F.col(x) - F.col(f"{x}_mid")), 0.5, 1000).alias(f"{x}_dev") for x in names])
-    spread = cut(spread)
+    spread = cut(spread.coalesce(tasks))
     sd = {x: F.sqrt(F.pow(1.4826 * F.col(f"{x}_dev"), 2) + f * f) for x, f in zip(names, floors)}
-    squashed = rows.join(spread, "pool").select("pool", *[
+    squashed = rows.join(small_side(spread, number), "pool").select("pool", F.lit("squashed").alias("start"), *[
         (F.tanh((F.col(x) - F.col(f"{x}_mid")) / sd[x]) * sd[x] + F.col(f"{x}_mid")).alias(x) for x in names])
     mean = F.array(*[F.col(f"{x}_mid") for x in names])
     plain = spread.select("pool", F.lit("deviations").alias("start"), mean.alias("mean"), F.array(*[
         F.col(f"{x}_mid") * F.col(f"{y}_mid") + (F.pow(1.4826 * F.col(f"{x}_dev"), 2) if x == y else F.lit(0.0))
         for x in names for y in names]).alias("products"))
-    second = moments(squashed.withColumn("start", F.lit("squashed")), names, ["pool", "start"], F.lit(True))
     keys = ["pool", "start"]
-    found = parameters(plain.unionByName(second), names, floors, keys)
+    found = parameters(plain.unionByName(moments(squashed, names, keys, F.lit(True))), floors, keys, tasks)
     for _ in range(STEPS):
-        near = rows.join(found, "pool").withColumn("d2", distance(names))
-        bound = near.groupBy(*keys).agg(F.percentile_approx("d2", SHARE, 1000).alias("bound"))
-        near = near.join(bound, keys)
-        found = parameters(moments(near, names, keys, F.col("d2") <= F.col("bound")), names, floors, keys)
-    best = found.groupBy("pool").agg(F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("x"))
-    best = best.select("pool", "x.centre", "x.inverse")
-    scale = rows.join(best, "pool").groupBy("pool").agg(F.percentile_approx(distance(names), 0.5, 1000).alias("half"))
-    return cut(best.join(scale, "pool").select(
-        "pool", "centre", "inverse", F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1.0)).alias("scale")))
+        near = rows.join(small_side(found, 2 * number), "pool").select(*keys, *names, distance(names).alias("d2"))
+        bound = cut(near.groupBy(*keys).agg(F.percentile_approx("d2", SHARE, 1000).alias("bound")).coalesce(tasks))
+        near = near.join(small_side(bound, 2 * number), keys)
+        found = parameters(moments(near, names, keys, F.col("d2") <= F.col("bound")), floors, keys, tasks)
+    factor = [f"l{i}{j}" for i in range(len(names)) for j in range(i + 1)]
+    best = found.groupBy("pool").agg(F.min_by(F.struct("centre", *factor), F.struct("logdet", "start")).alias("x")).select("pool", "x.*")
+    best = cut(best.coalesce(tasks))
+    scale = rows.join(small_side(best, number), "pool").groupBy("pool").agg(F.percentile_approx(distance(names), 0.5, 1000).alias("half"))
+    return cut(best.join(scale, "pool").withColumn("scale", F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1.0))).drop("half").coalesce(tasks))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -158,10 +157,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tupl
     rows = cut(statistics(docs, key, text, groups))
     names, floors = list(FEATURES), [f for _, f in FEATURES.values()]
     passed = rows.where("not base_failed")
-    vectors = cut(pooled(passed, groups).select(key, *COUNTS, "base_failed", "pool", *[
-        F.expr(sql).alias(x) for x, (sql, _) in FEATURES.items()]))
-    found = minimum_covariance(vectors.where("pool is not null").select("pool", *names), names, floors)
-    scored = vectors.join(found, "pool", "left").select(
+    dealt, number = pooled(passed, groups)
+    vectors = cut(dealt.select(key, *COUNTS, "base_failed", "pool", *[F.expr(sql).alias(x) for x, (sql, _) in FEATURES.items()]))
+    found = minimum_covariance(vectors.where("pool is not null").select("pool", *names), names, floors, number)
+    scored = vectors.join(small_side(found, number), "pool", "left").select(
         key, *COUNTS, "base_failed", (distance(names) / F.col("scale")).alias("distance"))
     failed = rows.where("base_failed").select(key, *COUNTS, "base_failed", F.lit(None).cast("double").alias("distance"))
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CHI2_CUTOFF))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -27,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+#: Tables of up to so many counted rows of a few hundred bytes are broadcast.
+BROADCAST_ROWS = 20_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -45,3 +48,8 @@ def cut(frame: DataFrame) -> DataFrame:
 def extended(frame: DataFrame, columns: list[str], more: str) -> StructType:
     """Schema of the named columns and of those that `more` declares."""
     return StructType([frame.schema[c] for c in columns] + list(StructType.fromDDL(more)))
+
+
+def small_side(frame: DataFrame, rows: int) -> DataFrame:
+    """The frame, marked for broadcast if its counted rows are few enough; else joins shuffle."""
+    return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
