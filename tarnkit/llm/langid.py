@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnkit.llm.tables import extended
+from tarnkit.llm.tables import cut, extended, small_side
 
 PIECE, SPACE, OTHER = 1024, 0, 1
 
@@ -142,7 +142,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     place = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(7))
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     picked = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"))
-    bounds = picked.groupBy("lang").agg(F.count("*").alias("rows"))
+    bounds = cut(picked.groupBy("lang").agg(F.count("*").alias("rows")))
+    bounds = small_side(bounds, bounds.count())
     share = F.least(F.lit(1.0), 4.0 * sample_rows / F.col("rows"))
     chosen = picked.join(bounds, "lang").where(F.pmod("place", F.lit(1 << 30)) < share * (1 << 30))
     at = 1 + F.pmod("place", F.greatest(F.lit(1), F.length("text") - sample_letters)).cast("int")
