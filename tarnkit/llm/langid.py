@@ -6,7 +6,7 @@ are fitted on a bounded sample: `sample_rows` rows for each language, chosen by
 consecutive letters of each row, at a place chosen by the same hash. All rows are then parsed whole. Parses restart every
 `PIECE` symbols, the same for all languages, so that a very long text is parsed side by side like many short ones.
 
-Defined results: letters are lower-cased, all else between letters counts as one space. A null text and a text without a
+Defined results: letters are lower-cased, all else after a letter counts as one space, at the end too. A null text and a text without a
 letter have language `und` and score 0, like every text where nothing was learned. Among equal languages the first by name
 wins. Null labels and null texts teach nothing. A null id counts as empty in the hash. Other columns are ignored.
 """
@@ -102,9 +102,9 @@ class Models:
 def phrases(models: Models, alphabet: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Phrases of each text by language, and each text's number of symbols (0: no letter)."""
     n = len(texts)
-    letters = alphabet[np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
+    letters = alphabet[np.frombuffer("".join(f"{x}\n" for x in texts).encode("utf-32-le", "surrogatepass"), "<u4")]
     ends = np.cumsum([len(x) + 1 for x in texts])
-    owner = np.repeat(np.arange(n), np.diff(ends, prepend=0))[:len(letters)]
+    owner = np.repeat(np.arange(n), np.diff(ends, prepend=0))
     kept = letters != SPACE
     kept[1:] |= letters[:-1] != SPACE
     symbols, owner = letters[kept], owner[kept]

@@ -54,7 +54,7 @@ class ArcRecord(NamedTuple):
 
 
 def arc_line(version: int, **fields) -> bytes:
-    return (" ".join(str(fields.get(f) or "-") for f in ARC_FIELDS[version]) + "\n").encode()
+    return (" ".join("-" if fields.get(f) in (None, "") else str(fields[f]) for f in ARC_FIELDS[version]) + "\n").encode()
 
 
 def arc_file(name: str, version: int, date: str, records: list[tuple[str, str, str, bytes]]) -> bytes:
