@@ -123,20 +123,21 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets
 
 
-def by_row(refs: np.ndarray, firsts: np.ndarray, counts: np.ndarray, kind: int) -> pa.RecordBatch:
-    """Records (ref, kind, runs): for each text, pairs of a string's position and a number of strings from there on."""
-    order = np.argsort(refs, kind="stable")
-    refs, pairs = refs[order], np.stack([firsts, counts], axis=1)[order].astype("<i4")
-    cuts = np.flatnonzero(np.diff(refs)) + 1
-    bounds = np.concatenate([[0], cuts, [len(refs)]]) if len(refs) else np.zeros(1, int)
-    runs = [pairs[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+def homeward(refs: np.ndarray, firsts: np.ndarray, counts: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
+    """Records (home, kind, refs, firsts, counts): runs of strings by the bucket that gathers their texts' answers."""
+    home = (refs % buckets).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    home, refs, firsts, counts = home[order], refs[order], firsts[order].astype("<i4"), counts[order].astype("<i1")
+    cuts = np.flatnonzero(np.diff(home)) + 1
+    parts = list(zip([0, *cuts], [*cuts, len(home)])) if len(home) else []
     return pa.RecordBatch.from_arrays(
-        [pa.array(refs[bounds[:-1]] if len(refs) else refs), pa.array([kind] * len(runs), pa.int32()), pa.array(runs, pa.binary())],
-        names=["ref", "kind", "runs"])
+        [pa.array([int(home[a]) for a, _ in parts], pa.int64()), pa.array([kind] * len(parts), pa.int32()),
+         *[pa.array([x[a:b].tobytes() for a, b in parts], pa.binary()) for x in (refs, firsts, counts)]],
+        names=["home", "kind", "refs", "firsts", "counts"])
 
 
 SENT = "bucket long, names binary, contexts binary, refs binary, firsts binary, counts binary"
-TOLD = "ref long, kind int, runs binary"
+TOLD = "home long, kind int, refs binary, firsts binary, counts binary"
 
 
 def messages(buckets: int, names, contexts, refs, firsts, counts) -> Iterator[pa.RecordBatch]:
@@ -193,15 +194,18 @@ def cover(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(work, SENT)
 
 
-def answers(sent: DataFrame) -> DataFrame:
-    """What the sorted names tell: runs of strings that repeat (kind 0), and runs to be sorted one by one (kind 1)."""
+def answers(sent: DataFrame, buckets: int) -> DataFrame:
+    """What the sorted names tell of each text, (ref, settled, open): runs of strings that repeat, and runs to be sorted one by one.
+
+    A run is a pair of 32-bit numbers, the position of its first string and the number of strings.
+    """
 
     def work(table: pa.Table) -> pa.Table:
         parts = {n: [x.as_py() for x in table.column(n)] for n in ("names", "contexts", "refs", "firsts", "counts")}
         kinds = {"names": "<u8", "contexts": "<u8", "refs": "<i8", "firsts": "<i4", "counts": "<i1"}
         asked = [bool(x) for x in parts["names"]]
         get = lambda n, which: np.frombuffer(b"".join(x for x, y in zip(parts[n], asked) if y == which), kinds[n])
-        told = [by_row(get("refs", False), get("firsts", False), get("counts", False), 0)]
+        told = [homeward(get("refs", False), get("firsts", False), get("counts", False), 0, buckets)]
         names, contexts, refs, firsts, counts = (get(n, True) for n in kinds)
         if len(names):
             order = np.lexsort((contexts, names))
@@ -211,27 +215,40 @@ def answers(sent: DataFrame) -> DataFrame:
             sizes = np.diff(np.append(np.flatnonzero(new), len(new)))
             group = np.cumsum(new) - 1
             settled = (sizes[group] > 1) & (counts > 0)
-            told.append(by_row(refs[settled], firsts[settled], counts[settled], 0))
+            told.append(homeward(refs[settled], firsts[settled], counts[settled], 0, buckets))
             of_name = np.cumsum(new_name) - 1
             several = (np.bincount(of_name, new) > 1)[of_name] & new
-            told.append(by_row(refs[several], firsts[several], np.abs(counts[several]), 1))
+            told.append(homeward(refs[several], firsts[several], np.abs(counts[several]), 1, buckets))
         return pa.Table.from_batches(told)
 
-    return sent.groupBy("bucket").applyInArrow(work, TOLD)
+    def gather(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in (("refs", "<i8"), ("firsts", "<i4"), ("counts", "<i1"))]
+        sizes = [len(x) // 8 for x in table.column("refs").to_pylist()]
+        kind = np.repeat(table.column("kind").to_numpy(), sizes)
+        order = np.lexsort((kind, parts[0]))
+        refs, kind = parts[0][order], kind[order]
+        pairs = np.stack([parts[1], parts[2].astype("<i4")], axis=1)[order]
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(refs) != 0])) if len(refs) else np.zeros(0, int)
+        ends = np.append(starts[1:], len(refs)).astype(int)
+        halves = [a + int((kind[a:b] == 0).sum()) for a, b in zip(starts, ends)]
+        return pa.table([pa.array(refs[starts]), pa.array([pairs[a:h].tobytes() for a, h in zip(starts, halves)], pa.binary()),
+                         pa.array([pairs[h:b].tobytes() for h, b in zip(halves, ends)], pa.binary())], names=["ref", "settled", "open"])
+
+    told = sent.groupBy("bucket").applyInArrow(work, TOLD)
+    return cut(told.groupBy("home").applyInArrow(gather, "ref long, settled binary, open binary"))
 
 
 def strings_of(texts: DataFrame, buckets: int) -> DataFrame:
-    """The strings of runs of kind 1 as messages, each by its own name."""
+    """The strings of open runs as messages, each by its own name."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for ref, text, runs in zip(*(batch.column(k) for k in range(3))):
                 data = np.frombuffer(text.as_py(), np.uint8)
-                for run in runs.as_py():
-                    for first, count in np.frombuffer(run, "<i4").reshape(-1, 2).tolist():
-                        held.append((ref.as_py(), first, data[first:first + count + SPAN - 1]))
-                        size += count + SPAN
+                for first, count in np.frombuffer(runs.as_py(), "<i4").reshape(-1, 2).tolist():
+                    held.append((ref.as_py(), first, data[first:first + count + SPAN - 1]))
+                    size += count + SPAN
                 if size >= CHUNK * 4:
                     yield from flush(held)
                     held, size = [], 0
@@ -274,18 +291,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text:
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // BUCKET) + 1)
     texts = source.select(F.col("__ref").alias("ref"), whole.alias("body")).where(F.octet_length("body") >= SPAN)
-    told = cut(answers(cover(texts, buckets))).groupBy("ref").agg(
-        F.collect_list(F.when(F.col("kind") == 0, F.col("runs"))).alias("settled"),
-        F.collect_list(F.when(F.col("kind") == 1, F.col("runs"))).alias("open"))
-    found = cut(texts.join(told, "ref"))
-    late = cut(answers(strings_of(found.where(F.size("open") > 0).select("ref", "body", "open"), buckets)))
-    late = late.where("kind = 0").groupBy("ref").agg(F.collect_list("runs").alias("late"))
+    found = cut(texts.join(answers(cover(texts, buckets), buckets), "ref"))
+    late = answers(strings_of(found.where(F.octet_length("open") > 0).select("ref", "body", "open"), buckets), buckets)
+    late = late.select("ref", F.col("settled").alias("late"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for ref, body, settled, later in zip(*(batch.column(k) for k in range(4))):
-                spans = spans_of([*settled.as_py(), *(later.as_py() or [])])
+                spans = spans_of([settled.as_py(), later.as_py() or b""])
                 if not len(spans):
                     continue
                 data = memoryview(body.as_py())
