@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnkit.llm.tables import extended
+from tarnkit.llm.tables import extended, short_batches
 
 #: The split of byte-level BPE before its merges. White space as Unicode lists it.
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -194,6 +194,7 @@ def read_source(path: str) -> str:
 
 def encode(frame: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep`, then `ids` (array of int) of each row's whole text, with the vocabulary in the JSON file `path`."""
+    short_batches(frame.sparkSession)
     source = frame.sparkSession.sparkContext.broadcast(read_source(path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +211,7 @@ def encode(frame: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep`, then `decoded` (binary): the bytes of each row's ids, special tokens included."""
+    short_batches(frame.sparkSession)
     source = frame.sparkSession.sparkContext.broadcast(read_source(path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnkit.llm.tables import cut, extended, small_side
+from tarnkit.llm.tables import cut, extended, short_batches, small_side
 
 PIECE, SPACE, OTHER = 1024, 0, 1
 
@@ -155,6 +155,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 def predict(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns (key, *keep, lang_pred, score, rate): score is the margin to the next language, rate the bits for each symbol."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((models, models.alphabet()))
     names = [key, *keep]
 

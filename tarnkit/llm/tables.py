@@ -9,14 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Tables of up to so many counted rows of a few hundred bytes are broadcast.
+BROADCAST_ROWS = 20_000
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the input folder; sets a checkpoint folder where the session has none and runs on one machine."""
     shared_folder(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """From now on the session sends at most `BATCH_ROWS` rows to Python at once: texts are long, and executors' memory is shared."""
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS or int(spark.conf.get(BATCH)) <= 0:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`, which driver and executors share."""
+    short_batches(spark)
     context = spark.sparkContext
     found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
@@ -28,11 +41,6 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-#: Tables of up to so many counted rows of a few hundred bytes are broadcast.
-BROADCAST_ROWS = 20_000
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def cut(frame: DataFrame) -> DataFrame:
     """The frame, stored in the checkpoint folder; the shuffle files that made it are then of no more use and go."""
     spark = frame.sparkSession
