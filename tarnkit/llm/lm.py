@@ -7,7 +7,7 @@ the log-bilinear model: the context's vectors, weighted by position, add up to a
 vectors, plus biases, are normalised by a batched matrix product.
 
 Training takes all training texts: each task starts from the same parameters, takes noise-contrastive steps over its texts, and the
-tasks' parameters are averaged, weighted by tokens, in rounds of bounded fan-in; a first round over a sixteenth of the texts gives
+tasks' parameters are averaged, weighted by tokens, in rounds of bounded fan-in; a first round over a quarter of the texts gives
 the second, over all, its start.
 
 The `LISTED` most frequent tokens of at most `LETTERS` bytes go to all tasks with their counts; a text's other tokens meet
@@ -24,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -40,7 +41,9 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 OWN, CLASSES, CONTEXT, WIDTH = 191, 64, 3, 16
 UNITS, END = OWN + 1 + CLASSES, OWN
 LISTED, LETTERS, ADDED = 150_000, 64, 0.1
-BATCH, NOISE, RATE, COUNTED, FAN_IN = 2048, 64, 0.1, 400_000, 256
+BATCH, NOISE, RATE, COUNTED, FAN_IN = 2048, 64, 0.15, 400_000, 256
+#: Tokens that are scored at once, so that the products with all units stay in the processor's cache.
+SCORED = 1024
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -107,7 +110,7 @@ class Vocabulary:
     def coded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Place in the list (-1: not listed) and unit of each word, then of the end."""
         get = self.place.get
-        places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        places = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         units = self.unit[places]
         for k in np.flatnonzero(places < 0).tolist():
             units[k] = class_of(words[k])
@@ -158,12 +161,16 @@ class Model:
 
     def log_probabilities(self, context: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of units after their contexts."""
-        scores = self.predicted(context) @ self.out.T
-        scores += self.bias
-        top = scores.max(axis=1)
-        own = scores[np.arange(len(units)), units]
-        scores -= top[:, None]
-        return (own - top).astype(np.float64) - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
+        out = np.concatenate([self.out, self.bias[:, None]], axis=1).T.copy()
+        found = []
+        for k in range(0, len(units), SCORED):
+            h = self.predicted(context[k:k + SCORED])
+            scores = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1) @ out
+            scores -= scores.max() - 40
+            own = scores[np.arange(len(h)), units[k:k + SCORED]].astype(np.float64)
+            sums = np.exp(scores, out=scores).sum(axis=1, dtype=np.float64)
+            found.append(own - np.log(sums))
+        return np.concatenate(found) if found else np.zeros(0)
 
 
 class Trainer:
@@ -200,31 +207,33 @@ class Trainer:
 
 def summed(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of value rows by unit."""
-    return np.stack([np.bincount(rows, values[:, k], UNITS) for k in range(values.shape[1])], axis=1).astype(np.float32)
+    width = values.shape[1]
+    cells = (rows[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(cells, values.ravel(), UNITS * width).reshape(UNITS, width).astype(np.float32)
 
 
 def contexts(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Contexts (the unit before first) and units of texts, one after another; before a text stands the end."""
-    flat = np.concatenate(units)
+    flat = np.concatenate(units).astype(np.int64)
     lengths = np.array([len(x) for x in units])
     place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     context = np.stack([np.where(place > i, np.concatenate([np.full(i + 1, END), flat[:-i - 1]])[:len(flat)], END) for i in range(CONTEXT)], axis=1)
     return context, flat
 
 
-def train(texts: DataFrame, words: Vocabulary, model: Model) -> Model:
-    """The average of the parameters that tasks reach from `model`, each over its texts (column `body`)."""
-    shared = texts.sparkSession.sparkContext.broadcast((words, model))
+def train(texts: DataFrame, sizes: np.ndarray, model: Model) -> Model:
+    """The average of the parameters that tasks reach from `model`, each over its texts (column `units`)."""
+    shared = texts.sparkSession.sparkContext.broadcast((sizes, model))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, begun = shared.value
-        own = Model(known.size)
+        own = Model(known)
         own.unpack(begun.packed())
         part = TaskContext.get().partitionId()
         trainer, held, tokens, size = Trainer(own, part), [], 0, 0
         for batch in batches:
-            for text in batch.column(0):
-                units = known.coded(words_of(text.as_py()))[1]
+            for coded in batch.column(0):
+                units = np.frombuffer(coded.as_py(), np.uint8)
                 held.append(units)
                 size += len(units)
                 if size >= 32 * BATCH:
@@ -255,7 +264,7 @@ def train(texts: DataFrame, words: Vocabulary, model: Model) -> Model:
         rows = -(-rows // FAN_IN)
         found = found.groupBy(F.pmod(F.xxhash64("part"), F.lit(rows)).alias("group")).applyInArrow(average, kinds)
     tokens, values = merged((r["tokens"], bytes(r["values"])) for r in found.select("tokens", "values").collect())
-    out = Model(words.size)
+    out = Model(sizes)
     out.unpack(np.frombuffer(values, "<f4") if tokens else model.packed())
     return out
 
@@ -268,60 +277,72 @@ def merged(parts) -> tuple[int, bytes]:
     return total, (sums / max(total, 1)).astype("<f4").tobytes() if total else b""
 
 
-def score_listed(texts: DataFrame, words: Vocabulary, model: Model, keep: list[str]) -> DataFrame:
-    """Columns `keep`, n_tokens, and known, base and score as far as the list goes, and the other words with class and number."""
-    shared = texts.sparkSession.sparkContext.broadcast((words, model))
-    more = "n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,class:int,n:int>>"
+def code(texts: DataFrame, words: Vocabulary, keep: list[str]) -> DataFrame:
+    """Columns `keep`, n_tokens, units (one byte each), known, base and share as far as the list goes, and the other words with class and number."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+    more = ("n_tokens long, n_known long, base double, listed double, units binary, "
+            "rest array<struct<word:binary,class:int,n:int>>")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = shared.value
+        known = shared.value
+        rest_kind = pa.list_(pa.struct([("word", pa.binary()), ("class", pa.int32()), ("n", pa.int32())]))
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rest_kind)
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                rows: list[list] = [[], [], [], [], []]
-                units = []
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                rows: list[tuple] = []
                 for text in part.column(len(keep)):
                     found = words_of(text.as_py())
-                    places, coded = known.coded(found)
-                    units.append(coded)
+                    places, units = known.coded(found)
                     here = places[places >= 0]
                     rest = Counter(found[i] for i in np.flatnonzero(places < 0).tolist())
-                    for column, value in zip(rows, (
-                            len(places), int((known.counts[here] > 0).sum()), float(known.base[here].sum()), float(known.share[here].sum()),
-                            [{"word": w, "class": class_of(w), "n": n} for w, n in rest.items()])):
-                        column.append(value)
-                context, flat = contexts(units)
-                logs = np.concatenate([own.log_probabilities(context[i:i + 8192], flat[i:i + 8192]) for i in range(0, len(flat), 8192)])
-                sums = np.add.reduceat(logs, np.cumsum([0, *map(len, units[:-1])])) / math.log(10)
-                rows[3] = (np.array(rows[3]) + sums).tolist()
-                rest_kind = pa.list_(pa.struct([("word", pa.binary()), ("class", pa.int32()), ("n", pa.int32())]))
+                    rows.append((len(places), int((known.counts[here] > 0).sum()), float(known.base[here].sum()), float(known.share[here].sum()),
+                                 units.astype(np.uint8).tobytes(), [{"word": w, "class": class_of(w), "n": n} for w, n in rest.items()]))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], *[pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), rest_kind))]],
-                    names=[*keep, "n_tokens", "n_known", "base", "score", "rest"])
+                    [*part.columns[:-1], *[pa.array(x, t) for x, t in zip(zip(*rows), kinds)]],
+                    names=[*keep, "n_tokens", "n_known", "base", "listed", "units", "rest"])
 
     return texts.select(*keep, "body").mapInArrow(work, extended(texts, keep, more))
 
 
+def unit_scores(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """Columns `keep` and `unit_score`, the log10 probability of each row's units."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
+                units = [np.frombuffer(x.as_py(), np.uint8) for x in part.column(len(keep))]
+                logs = own.log_probabilities(*contexts(units))
+                sums = np.add.reduceat(logs, np.cumsum([0, *map(len, units[:-1])])) / math.log(10)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sums)], names=[*keep, "unit_score"])
+
+    return rows.select(*keep, "units").mapInArrow(work, extended(rows, keep, "unit_score double"))
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
     """Rows (key, held_out, n_tokens, n_known, train_tokens, base_score, score), learned where crc32 of the key modulo `folds` is not 0."""
     crc = crc_of(key)
-    texts = docs.select(key, (crc % folds == 0).alias("held_out"), F.pmod(F.floor(crc / folds), F.lit(16)).alias("share"),
+    texts = docs.select(key, (crc % folds == 0).alias("held_out"), F.pmod(F.floor(crc / folds), F.lit(4)).alias("share"),
                         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     learned = texts.where("not held_out")
     counts = cut(count_words(learned.select("body")))
     words = vocabulary(counts, learned.count())
-    model = train(learned.where("share = 0").select("body"), words, Model(words.size))
-    model = train(learned.select("body"), words, model)
-    rows = cut(score_listed(texts, words, model, [key, "held_out"])).withColumn("row", F.monotonically_increasing_id())
+    rows = cut(code(texts, words, [key, "held_out", "share"])).withColumn("row", F.monotonically_increasing_id())
+    model = train(rows.where("not held_out and share = 0").select("units"), words.size, Model(words.size))
+    model = train(rows.where("not held_out").select("units"), words.size, model)
     rest = rows.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.class", "x.n")
     met = rest.join(counts.select("word", F.col("n").alias("c")), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     whole = F.element_at(F.array(*[F.lit(float(x)) for x in words.whole()]), F.col("class") + 1)
     more = met.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
         F.sum(F.col("n") * F.log10((F.col("c") + ADDED) / F.lit(float(words.base_whole())))).alias("more_base"),
-        F.sum(F.col("n") * F.log10((F.col("c") + ADDED) / whole)).alias("more_score"))
+        F.sum(F.col("n") * F.log10((F.col("c") + ADDED) / whole)).alias("more_listed"))
     zero = F.lit(0)
-    return rows.join(more, "row", "left").select(
+    scored = unit_scores(rows, model, ["row", key, "held_out", "n_tokens", "n_known", "base", "listed"])
+    return scored.join(more, "row", "left").select(
         key, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero)).alias("n_known"),
         F.lit(words.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", zero)).alias("score"))
+        (F.col("unit_score") + F.col("listed") + F.coalesce("more_listed", zero)).alias("score"))

@@ -78,7 +78,7 @@ def test_training_beats_the_unigram_on_ordered_text(spark):
 
 def test_contexts():
     context, flat = lm.contexts([np.array([1, 2, lm.END]), np.array([lm.END]), np.array([4, lm.END])])
-    assert flat.tolist() == [1, 2, lm.END, lm.END, 4, lm.END]
+    assert flat.dtype == np.int64 and flat.tolist() == [1, 2, lm.END, lm.END, 4, lm.END]
     e = lm.END
     assert context.tolist() == [[e, e, e], [1, e, e], [2, 1, e], [e, e, e], [e, e, e], [4, e, e]]
 
