@@ -102,3 +102,8 @@ def in_order(df: DataFrame, **expressions: Column) -> DataFrame:
     for name, expression in expressions.items():
         df = df.withColumn(name, expression)
     return df
+
+
+def required(column: str) -> Column:
+    """The column, and an error in the job where it is NULL."""
+    return F.coalesce(F.col(column), F.raise_error(F.lit(f"{column} must not be NULL")))

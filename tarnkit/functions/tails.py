@@ -43,8 +43,8 @@ def _gamma_tail(a: float, x: float) -> float:
         c = c if abs(c) > _TINY else _TINY
         h *= d * c
         if abs(d * c - 1) < _EPS:
-            break
-    return h * scale
+            return h * scale
+    raise ArithmeticError(f"gamma tail of {a}, {x} does not converge")
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -63,8 +63,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > _TINY else _TINY
             h *= d * c
         if abs(d * c - 1) < _EPS:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"beta fraction of {a}, {b}, {x} does not converge")
 
 
 def _beta_share(a: float, b: float, x: float) -> float:

@@ -99,13 +99,17 @@ def draws_on_grid(
     """The draws table (location, year, week, draw, x, p): all replicates evaluated on the whole grid.
 
     The grid is joined with the coefficients, so thousands of replicates are one plan of two small-side joins
-    and an expression.
+    and an expression. Every cell of the grid has its draws: p is NULL where the location or the year was never fitted.
     """
     by_location, by_year = coefficient_tables(grid.sparkSession, models)
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(len(models))))
     cells = with_season(grid, week)
-    cells = cells.join(small_side(by_location, COEFFICIENT_ROWS), F.col(location).cast("string") == F.col("_location"))
+    cells = cells.withColumn("_number", numbers)
+    by_location = by_location.withColumnRenamed("draw", "_of")
+    same_location = (F.col(location).cast("string") == F.col("_location")) & (F.col("_number") == F.col("_of"))
+    cells = cells.join(small_side(by_location, COEFFICIENT_ROWS), same_location, "left").withColumnRenamed("_number", "draw")
     same_year = (F.col(year).cast("string") == F.col("_year")) & (F.col("draw") == F.col("_draw"))
-    cells = cells.join(small_side(by_year, COEFFICIENT_ROWS), same_year)
+    cells = cells.join(small_side(by_year, COEFFICIENT_ROWS), same_year, "left")
     logit = F.col("_base") + F.col("_effect") + F.col("_slope") * F.col(x)
     for term in _SEASON:
         logit = logit + F.col(f"_b_{term}") * F.col(f"_{term}")

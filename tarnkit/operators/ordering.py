@@ -45,8 +45,12 @@ def order_number(df: DataFrame, name: str, descending: bool = False) -> Column:
         raise TypeError(f"{name} must be a number, date or timestamp to be cut into pieces")
     if isinstance(kind, T.DateType):
         column = F.unix_date(column)
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        column = F.unix_micros(column.cast("timestamp"))
+    elif isinstance(kind, T.TimestampType):
+        column = F.unix_micros(column)
+    elif isinstance(kind, T.TimestampNTZType):
+        seconds = F.unix_date(F.to_date(column)).cast("long") * 86_400 + F.hour(column) * 3600 + F.minute(column) * 60
+        micros = (F.date_part(F.lit("SECOND"), column) * 1_000_000).cast("long")  # fields of the wall clock: no zone enters
+        column = seconds * 1_000_000 + micros
     return -column if descending else column
 
 
@@ -211,13 +215,15 @@ def positions(
 def midranks(
     df: DataFrame, keys: Sequence[str], value: str, name: str = "midrank", pieces: int | None = None
 ) -> DataFrame:
-    """Average rank of every row within its group; NULL for NULL values.
+    """Average rank of every row within its group; NULL for NULL values, which enter no window.
 
     Rows are shuffled once and nothing is joined back. Rows of a value with a piece of its own all get the
     middle of that piece, so they may be spread over parts in any way; they are by the task that read them.
     """
     keys = list(keys)
     pieces = pieces or shuffle_pieces(df.sparkSession)
+    missing = df.filter(F.col(value).isNull()).withColumn(name, F.lit(None).cast("double"))
+    df = df.filter(F.col(value).isNotNull())
     rows = df.withColumn(_ORDER, order_number(df, value))
     big = big_groups(df, keys, pieces) if keys else None
     splits, hot = [], {}
@@ -245,8 +251,8 @@ def midranks(
     }
     within = F.when(F.col("_own"), (F.col("_n") + 1) / 2).otherwise(F.col("_rank") + (F.col("_peers") - 1) / 2)
     ranked = mixed.withColumns(facts).filter(F.col(_KIND) == 1)
-    ranked = ranked.withColumn(name, F.when(F.col(_ORDER).isNotNull(), F.col("_before") + within))
-    return _drop_marks(ranked.drop("_before", "_n", "_own", "_rank", "_peers"))
+    ranked = ranked.withColumn(name, (F.col("_before") + within).cast("double"))
+    return _drop_marks(ranked.drop("_before", "_n", "_own", "_rank", "_peers")).unionByName(missing)
 
 
 def trailing(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnkit.functions.tails import chi2_p, normal_p
-from tarnkit.operators.joins import equi_join, small_side
+from tarnkit.operators.joins import equi_join, lookup_join, small_side
 from tarnkit.operators.ordering import running
 from tarnkit.operators.quantiles import value_counts
 from tarnkit.session import cut
@@ -99,16 +99,17 @@ def adjust_bh(
 ) -> DataFrame:
     """Benjamini-Hochberg step-up adjustment within groups; NULL p-values do not count.
 
-    Equal p-values share the largest of their ranks, which is what the running minimum gives them anyway. The table of tests is
-    read several times; say ``stored`` if it already is a stored table.
+    Equal p-values share the largest of their ranks, so ranks and running minimum are taken on counts per p-value, where a
+    value that many tests share is one row, and joined back. The table of tests is read several times; say ``stored`` if
+    it already is a stored table.
     """
-    df = df if stored else cut(df)
-    present = F.when(F.col(p).isNotNull(), F.lit(1).cast("bigint"))
-    ranked = running(df, keys, p, sums={"_rank": present}, totals={"_m": present}, pieces=pieces)
+    df, keys = df if stored else cut(df), list(keys)
+    counts = cut(df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_n")))
+    ranked = running(counts, keys, p, sums={"_rank": F.col("_n")}, totals={"_m": F.col("_n")}, pieces=pieces)
     raised = ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_rank"))
     stepped = running(raised, keys, p, mins={"_best": F.col("_q")}, descending=True, pieces=pieces)
-    adjusted = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("_best")))
-    return stepped.withColumn(name, adjusted).drop("_rank", "_m", "_q", "_best")
+    adjusted = stepped.select(*keys, p, F.least(F.lit(1.0), F.col("_best")).alias(name))
+    return lookup_join(df, adjusted, [*keys, p], "left", null_safe=keys, derived=True)
 
 
 def significant(df: DataFrame, p: str = "p_adjusted", level: float = 0.05) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnkit.functions.semantics import required
 from tarnkit.operators.joins import equi_join, lookup_join
 from tarnkit.operators.ordering import running
 from tarnkit.operators.quantiles import group_quantiles, small_group_quantiles, value_counts
@@ -95,10 +96,10 @@ def cumulative(
     value: str,
     pieces: int | None = None,
 ) -> DataFrame:
-    """Cumulative sum, minimum and maximum and group count along an order; values must not be NULL."""
+    """Cumulative sum, minimum and maximum and group count along an order; a NULL value stops the job."""
     return running(
         df, keys, order, ties,
-        sums={"cum_sum": F.col(value)}, mins={"cum_min": F.col(value)}, maxs={"cum_max": F.col(value)},
+        sums={"cum_sum": required(value)}, mins={"cum_min": F.col(value)}, maxs={"cum_max": F.col(value)},
         totals={"n_in_group": F.lit(1).cast("bigint")}, pieces=pieces,
     )
 

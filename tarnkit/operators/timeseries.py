@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnkit.functions.semantics import sum0
+from tarnkit.functions.semantics import required, sum0
 from tarnkit.operators.ordering import trailing
 
 
@@ -92,13 +92,13 @@ def autocorrelation(
     ties: Sequence[str] = (),
     pieces: int | None = None,
 ) -> DataFrame:
-    """Autocorrelation at lags 0..max_lag per group: (keys, lag, acf). Values must not be NULL.
+    """Autocorrelation at lags 0..max_lag per group: (keys, lag, acf). A NULL value stops the job.
 
     The lagged products are summed in one aggregation; centring is done on the sums, after shifting all
     values by one constant to keep the cancellation small.
     """
     shift = df.agg(F.avg(value).alias("m")).first()["m"] or 0.0
-    base = df.select(*keys, order, *ties, (F.col(value) - F.lit(shift)).alias("_x"))
+    base = df.select(*keys, order, *ties, (required(value) - F.lit(shift)).alias("_x"))
     steps = range(1, max_lag + 1)
     shifted = lags(base, keys, order, {f"_l{k}": ("_x", k) for k in steps}, ties, pieces)
     sums = [F.count("_x").alias("_n"), F.sum("_x").alias("_s"), F.sum(F.col("_x") * F.col("_x")).alias("_q")]

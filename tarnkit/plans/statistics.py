@@ -37,12 +37,25 @@ def kruskal_wallis(spark: SparkSession, folder: str) -> DataFrame:
     return ranktests.kruskal_wallis(_long_lines(spark, folder))
 
 
-@query(with_sql(_LONG_LINES, _RANK_SUMS, """SELECT a.name, a.location AS group_1, b.location AS group_2,
-  ROUND((a.rs / a.n - b.rs / b.n) / SQRT((nn * (nn + 1) / 12 - ties / (12 * (nn - 1))) * (1 / a.n + 1 / b.n)), 6) AS z
+def _area(density: str, end: str, steps: int = 2000) -> str:
+    """SQL for the integral of a density in x from 0 to `end`, by Simpson's rule."""
+    inner = density.replace("x", f"({end} * i / {steps}.0)")
+    weight = f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    return f"{end} / {3 * steps}.0 * list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * {inner}))"
+
+
+_DUNN = """pairs AS (SELECT a.name, a.location AS group_1, b.location AS group_2,
+  (a.rs / a.n - b.rs / b.n) / SQRT((nn * (nn + 1) / 12 - ties / (12 * (nn - 1))) * (1 / a.n + 1 / b.n)) AS z
 FROM sums a JOIN sums b ON a.name = b.name AND a.location < b.location
-JOIN whole w ON w.name = a.name JOIN tie t ON t.name = a.name"""))
+JOIN whole w ON w.name = a.name JOIN tie t ON t.name = a.name),
+tests AS (SELECT *, GREATEST(0, 0.5 - """ + _area("EXP(-x * x / 2)", "LEAST(ABS(z), 40)") + """ / SQRT(2 * PI())) AS p_value FROM pairs),
+stepped AS (SELECT *, p_value * COUNT(*) OVER (PARTITION BY name) / COUNT(*) OVER (PARTITION BY name ORDER BY p_value) AS q FROM tests)"""
+
+
+@query(with_sql(_LONG_LINES, _RANK_SUMS, _DUNN, """SELECT name, group_1, group_2, ROUND(z, 6) AS z, ROUND(p_value, 6) AS p_value,
+  ROUND(LEAST(1, MIN(q) OVER (PARTITION BY name ORDER BY p_value DESC)), 6) AS p_adjusted FROM stepped"""))
 def dunn_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return ranktests.dunn_pairs(_long_lines(spark, folder)).drop("p_value", "p_adjusted")
+    return ranktests.dunn_pairs(_long_lines(spark, folder))
 
 
 _P_VALUES = """tests AS (SELECT c_mktsegment AS name, c_custkey AS test, (c_custkey * 37 % 1009 + 1) / 40000.0::DOUBLE AS p_value FROM customer)"""
@@ -80,14 +93,19 @@ def rescaled_significance(spark: SparkSession, folder: str) -> DataFrame:
 _NULLED = """wide AS (SELECT l_quantity, l_extendedprice, l_tax, CASE WHEN l_partkey % 11 <> 0 THEN l_discount END AS l_discount FROM lineitem)"""
 
 
-@query(with_sql(_NULLED, "SELECT var, var2, n, ROUND(r, 6) AS correlation, ROUND(r * SQRT((n - 2) / (1 - r * r)), 6) AS t FROM (" + " UNION ALL ".join(
+_STUDENT = "EXP(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0) - LN(PI() * (n - 2)) / 2 - (n - 1) / 2.0 * LN(1 + x * x / (n - 2)))"
+_PEARSON = "pairs AS (SELECT *, r * SQRT((n - 2) / (1 - r * r)) AS t FROM (" + " UNION ALL ".join(
     f"SELECT '{a}' AS var, '{b}' AS var2, COUNT(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, CORR({a}, {b}) AS r FROM wide"
-    for a, b in correlation.column_pairs(MEASURES)) + ")"))
+    for a, b in correlation.column_pairs(MEASURES)) + "))"
+
+
+@query(with_sql(_NULLED, _PEARSON, "SELECT var, var2, n, ROUND(r, 6) AS correlation, ROUND(t, 6) AS t, ROUND(GREATEST(0, 1 - 2 * "
+                + _area(_STUDENT, "LEAST(ABS(t), 40)") + "), 6) AS p_value FROM pairs"))
 def pearson_pairs(spark: SparkSession, folder: str) -> DataFrame:
     wide = read_table(spark, folder, "lineitem").withColumn(
         "l_discount", F.when(F.col("l_partkey") % 11 != 0, F.col("l_discount"))
     )
-    return correlation.pearson_pairs(wide, MEASURES, p_values=False)
+    return correlation.pearson_pairs(wide, MEASURES)
 
 
 _SPEARMAN = """SELECT name, COUNT(*) AS n, ROUND(CASE WHEN COUNT(*) = COUNT(x) THEN CORR(rx, ry) END, 6) AS spearman FROM (

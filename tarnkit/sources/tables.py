@@ -20,13 +20,17 @@ def save_table(
     mode: str = "errorifexists",
     replace_partitions: bool = False,
     max_rows_per_file: int = 5_000_000,
+    files_per_key: int = 8,
 ) -> DataFrame:
     """Write Parquet partitioned by key columns and return the table read back.
 
-    Cuts lineage on storage that survives executor loss. Rows go to the writers as they are: no shuffle
-    gathers one key value in one task; the writer sorts its own rows by key. ``replace_partitions`` replaces
+    Cuts lineage on storage that survives executor loss. Rows of a key go to ``files_per_key`` writers by a hash of the row, so
+    that no key is gathered in one task and tasks times keys do not make as many files. ``replace_partitions`` replaces
     just the partitions found in ``df``; several jobs may do so at once for different partitions.
     """
+    if partition_by:
+        share = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_key))
+        df = df.repartition(*partition_by, share)
     writer = df.write.option("maxRecordsPerFile", max_rows_per_file)
     if replace_partitions:
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -206,3 +206,24 @@ def test_autocorrelation(spark):
     for k in (1, 2):
         assert got[k] == pytest.approx(sum((x[i] - mean) * (x[i - k] - mean) for i in range(k, len(x))) / spread)
     assert got[0] == 1.0
+
+
+def test_wall_clock_order_in_a_zone_with_a_gap(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Halifax")
+    try:
+        times = ["2023-03-12 01:59:59.5", "2023-03-12 02:30:00", "2023-03-12 02:30:00.25", "2023-03-12 03:00:00", "1969-12-31 23:59:59.75"]
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(times)], "id int, t string").selectExpr(
+            "id", "cast(t AS timestamp_ntz) AS t")
+        for pieces in (1, 3):
+            rows = positions(df, [], "t", ["id"], pieces=pieces).orderBy("position").collect()
+            assert [r["id"] for r in rows] == [4, 0, 1, 2, 3]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_missing_values_enter_no_window_of_midranks(spark):
+    df = spark.createDataFrame([(k, None if k % 5 < 2 else float(k % 50)) for k in range(4000)], "id int, v double")
+    ranked = midranks(df, [], "v", pieces=8)
+    assert ranked.where("v IS NULL AND midrank IS NOT NULL").count() == 0
+    assert ranked.count() == 4000 and ranked.agg({"midrank": "sum"}).first()[0] == 2400 * 2401 / 2

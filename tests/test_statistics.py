@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnkit.functions import tails
-from tarnkit.operators import correlation, ranktests, scaling
+from tarnkit.operators import correlation, ranktests, scaling, summaries, timeseries
 
 
 @pytest.mark.parametrize("statistic,df", [(19.675, 11), (3.841, 1), (5.991, 2), (124.342, 100)])
@@ -144,3 +144,26 @@ def test_scaling_round_trip_and_constant_column(spark):
     assert scored[0]["s_x"] == pytest.approx(-math.sqrt(0.5)) and scored[0]["s_k"] is None
     grouped = {r["name"]: r for r in scaling.scaling_constants(df, ["x"], ["g"]).filter(F.col("g") == "a").collect()}
     assert grouped["x"]["center"] == 2.0
+
+
+def test_missing_values_stop_cumulative_work(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, None), ("a", 3, 2.0)], "g string, t int, v double")
+    with pytest.raises(Exception, match="v must not be NULL"):
+        summaries.cumulative(df, ["g"], "t", [], "v").collect()
+    with pytest.raises(Exception, match="v must not be NULL"):
+        timeseries.autocorrelation(df, ["g"], "t", "v", 1).collect()
+
+
+def test_bh_with_many_equal_and_missing_values(spark):
+    values = [1.0] * 400 + [0.001, 0.02, 0.02, 0.5] + [None] * 300
+    df = spark.createDataFrame([("x", k, v) for k, v in enumerate(values)], "g string, id int, p_value double")
+    got = {r["id"]: r["p_adjusted"] for r in ranktests.adjust_bh(df, ["g"], pieces=4).collect()}
+    present = sorted((v, k) for k, v in enumerate(values) if v is not None)
+    best, want = 1.0, {}
+    for rank in range(len(present), 0, -1):
+        v, k = present[rank - 1]
+        best = min(best, v * len(present) / rank)
+        want[k] = best
+    for k, v in enumerate(values):
+        assert got[k] is None if v is None else abs(got[k] - min(1.0, want[k])) < 1e-12
+    assert len(got) == len(values)

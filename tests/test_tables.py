@@ -179,3 +179,21 @@ def test_saved_table_prunes_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(imp" in one._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
+
+
+def test_read_many_by_name(spark, tmp_path):
+    (tmp_path / "en_climate_1.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "en_climate_2.csv").write_text("b,a\n4,3\n")
+    (tmp_path / "en_climate_3.csv").write_text("a,b,c\n5,6,7\n")
+    rows = csv.read_many(spark, str(tmp_path), "en_climate*.csv").orderBy("a").collect()
+    assert [(r["a"], r["b"], r["c"]) for r in rows] == [(1, 2, None), (3, 4, None), (5, 6, 7)]
+    typed = csv.read_many(spark, str(tmp_path), "en_climate*.csv", "a double, b int", "file").orderBy("a").collect()
+    assert [(r["a"], r["b"]) for r in typed] == [(1.0, 2), (3.0, 4), (5.0, 6)] and typed[1]["file"] == "en_climate_2.csv"
+
+
+def test_save_table_spreads_a_hot_key_over_few_files(spark, tmp_path):
+    df = spark.range(4000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN id % 7 ELSE 1 END AS key").repartition(16)
+    tables.save_table(df, str(tmp_path / "t"), ["key"], files_per_key=3)
+    files = {k: len(list((tmp_path / "t" / f"key={k}").glob("*.parquet"))) for k in range(7)}
+    assert max(files.values()) <= 3
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4000
