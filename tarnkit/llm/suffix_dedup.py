@@ -37,7 +37,7 @@ from tarnkit.llm.tables import cut
 SPAN, STEP, RARITY, TRIGGER = 200, 64, 32, 8
 AHEAD = SPAN - STEP
 #: Bytes of text that are fingerprinted at once, that one record carries the names of, and that one bucket serves.
-CHUNK, FLUSH, BUCKET = 1 << 20, 16 << 20, 32 << 20
+CHUNK, FLUSH, BUCKET = 1 << 19, 8 << 20, 32 << 20
 FACTOR, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -52,11 +52,12 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Length to the fingerprints of all strings of that length: powers of two and the lengths used here."""
-    now = (data.astype(np.uint64) + np.uint64(1)) * OTHER
-    of = {1: now}
-    for n in (1, 2, 4, 8, 16, 32, 64):
-        of[2 * n] = joined(of[n][:len(of[n]) - n], of[n][n:]) if len(of[n]) > n else of[n][:0]
+    """Length to the fingerprints of all strings of that length."""
+    now, of = (data.astype(np.uint64) + np.uint64(1)) * OTHER, {}
+    for n in (1, 2, 4, 8, 16, 32, 64, 128):
+        if n in (TRIGGER, 64, 128):
+            of[n] = now
+        now = joined(now[:len(now) - n], now[n:]) if len(now) > n else now[:0]
     whole = max(0, len(data) - SPAN + 1)
     near = max(0, len(data) - AHEAD + 1)
     of[AHEAD] = joined(of[128][:near], of[8][128:128 + near])
