@@ -12,6 +12,7 @@ from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexer, Vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnkit.models.forest import in_flight
 from tarnkit.operators.joins import small_side
 
 
@@ -53,14 +54,15 @@ def detection_pipeline(location: str, year: str, x: str, ridge: float) -> Pipeli
 
 def bootstrap_models(
     df: DataFrame, key: str, label: Column, location: str, year: str, week: str, x: str,
-    replicates: int, ridge: float = 0.01, seed: int = 1543,
+    replicates: int, ridge: float = 0.01, seed: int = 1543, at_once: int = 4,
 ) -> list[PipelineModel]:
-    """One fitted pipeline per bootstrap replicate of the rows with a known outcome and ``x``."""
+    """One fitted pipeline per bootstrap replicate of the rows with a known outcome and ``x``; ``at_once`` are fitted side by side."""
     rows = with_season(df, week).withColumn("_label", label.cast("double"))
     rows = rows.filter(F.col("_label").isNotNull() & F.col(x).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     pipeline = detection_pipeline(location, year, x, ridge)
     try:
-        return [pipeline.fit(rows.withColumn("_weight", poisson_weight(key, seed + b))) for b in range(replicates)]
+        fit = lambda b: pipeline.copy().fit(rows.withColumn("_weight", poisson_weight(key, seed + b)))
+        return in_flight(range(replicates), fit, at_once)
     finally:
         rows.unpersist()
 

@@ -6,16 +6,16 @@ keeps a few fits in flight, so that a small fit does not leave the cluster idle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnkit.models.holdout import Holdout, add_fold, best_parameters, class_weights, regular_grid
@@ -71,14 +71,9 @@ def predict(model, rows: DataFrame, spec: ForestSpec, keep: Sequence[str]) -> Da
     return scored.select(*keep, score.alias("score"))
 
 
-def importance_rows(spark: SparkSession, fits: Iterable[tuple[str, int, object]], features: Sequence[str]) -> DataFrame:
-    """(model, imp, variable, importance) from fitted forests: one row per feature and fit."""
-    rows = [
-        (name, imp, feature, float(value))
-        for name, imp, model in fits
-        for feature, value in zip(features, model.featureImportances.toArray())
-    ]
-    return spark.createDataFrame(rows, "model string, imp int, variable string, importance double")
+def importance_rows(name: str, imp: int, model, features: Sequence[str]) -> list[tuple[str, int, str, float]]:
+    """(model, imp, variable, importance) of a fitted forest, one row per feature."""
+    return [(name, imp, feature, float(value)) for feature, value in zip(features, model.featureImportances.toArray())]
 
 
 def in_flight(tasks: Sequence, function: Callable, at_once: int) -> list:
@@ -95,21 +90,28 @@ def run_holdouts(
     row_id: str,
     at_once: int = 4,
     path: str | None = None,
+    tune: Mapping | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit one forest per (hold-out, imputation) and predict its held-out rows.
 
     Returns predictions (model, imp, row_id, truth, score) and importances (model, imp, variable, importance).
     With ``path``, each fit's predictions are written to their own (model, imp) partition there as soon as they
-    exist; running a fit again replaces its partition.
+    exist, and its forest is then dropped: the driver holds ``at_once`` forests at most. Running a fit again replaces its partition.
+    With ``tune`` (arguments of ``tune_forest``), each hold-out first chooses mtry and min_n on its own training rows.
     """
     spark = df.sparkSession
+    specs = {h.name: spec for h in holdouts}
+    if tune is not None:
+        for h in holdouts:
+            (mtry, min_n), _ = tune_forest(h.train(df), spec, imputations, row_id, **tune)
+            specs[h.name] = replace(spec, mtry=mtry, min_n=min_n)
 
     def one(task: tuple[Holdout, int]):
         holdout, imp = task
         table = df.filter(F.col("imp") == imp)
         train = assemble(holdout.train(table), spec).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            model = fit_forest(train, spec)
+            model = fit_forest(train, specs[holdout.name])
         finally:
             train.unpersist()
         test = holdout.test(table).filter(F.col(spec.target).isNotNull())
@@ -117,12 +119,15 @@ def run_holdouts(
         keys = [F.lit(holdout.name).alias("model"), F.lit(imp).alias("imp"), F.col(row_id).alias("row_id"),
                 F.col(spec.target).alias("truth")]
         scored = predict(model, vectors.transform(test), spec, keys)
-        if path is not None:
-            save_table(scored, path, ["model", "imp"], replace_partitions=True)
-        return (holdout.name, imp, model), scored
+        found = importance_rows(holdout.name, imp, model, spec.features)
+        if path is None:
+            return found, scored
+        save_table(scored, path, ["model", "imp"], replace_partitions=True)
+        return found, None
 
     done = in_flight([(h, i) for h in holdouts for i in imputations], one, at_once)
-    importances = importance_rows(spark, [fit for fit, _ in done], spec.features)
+    rows = [row for found, _ in done for row in found]
+    importances = spark.createDataFrame(rows, "model string, imp int, variable string, importance double")
     if path is not None:
         return spark.read.parquet(path).select("model", "imp", "row_id", "truth", "score"), importances
     predictions = done[0][1]
@@ -144,7 +149,7 @@ def tune_forest(
     """Cross-validate a grid of (mtry, min_n) on every imputation.
 
     Returns the chosen pair and the table (imp, repeat, fold, mtry, min_n, metric, value). The assembled rows of
-    an imputation are cached once; only the parameters vary over them.
+    an imputation are cached once; only the parameters vary over them. A fold without test rows has a NULL value.
     """
     grid = list(grid) if grid is not None else regular_grid(len(spec.features))
     metric = "accuracy" if spec.mode == "classification" else "rmse"
@@ -166,10 +171,10 @@ def tune_forest(
 
         tasks = [(r, f, m, n) for r in range(repeats) for f in range(folds) for m, n in grid]
         try:
-            results += [r for r in in_flight(tasks, score, at_once) if r[-1] is not None]
+            results += in_flight(tasks, score, at_once)
         finally:
             rows.unpersist()
-    if not results:
+    if all(r[-1] is None for r in results):
         raise ValueError("tuning gave no results; check the target and the predictors")
     schema = "imp int, repeat int, fold int, mtry int, min_n int, metric string, value double"
     metrics = df.sparkSession.createDataFrame(results, schema)

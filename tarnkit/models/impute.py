@@ -26,7 +26,8 @@ def match_donors(
 
     Donors are numbered along the prediction, equal ones in the order of a seeded hash. For each distinct recipient prediction the k donors on either
     side are looked up by number, the k nearest kept, and a seeded hash of the recipient's key picks one. No
-    pair of donor and recipient is formed beyond those 2k. Both tables must be stored or repeatable.
+    pair of donor and recipient is formed beyond those 2k. Where k donors or more have the recipient's own prediction, all of them are
+    nearest and the recipient's hash picks among all. Both tables must be stored or repeatable.
     Returns (key, observed).
     """
     tie = F.xxhash64(F.col(key), F.lit(seed)).alias("_tie")
@@ -38,6 +39,12 @@ def match_donors(
         recipients.select(F.col(prediction).alias("_p"), F.lit(0).cast("bigint").alias("_d"), F.lit(1).alias("_r"))
     ).groupBy("_p").agg(F.sum("_d").alias("_d"), F.max("_r").alias("_r"))
     places = running(counts, [], "_p", sums={"_below": F.col("_d")}, pieces=pieces).filter(F.col("_r") == 1)
+    tied = places.filter(F.col("_d") >= k).select(F.col("_p").alias(prediction), "_below", "_d")
+    offset = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.col("_d"))
+    at_tie = lookup_join(recipients.select(key, prediction), tied, prediction, "inner", derived=True).select(
+        key, (F.col("_below") - F.col("_d") + 1 + offset).alias("_at"))
+    from_tie = at_tie.join(numbered.select("_at", observed), "_at").select(key, observed)
+    places = places.filter(F.col("_d") < k)
     around = places.select("_p", F.explode(F.sequence(F.col("_below") - (k - 1), F.col("_below") + k)).alias("_at"))
     near = around.join(numbered, "_at").groupBy("_p").agg(
         F.array_sort(F.collect_list(F.struct(F.abs(F.col("_dp") - F.col("_p")), "_at", observed))).alias("_c")
@@ -45,7 +52,7 @@ def match_donors(
     lists = near.select(F.col("_p").alias(prediction), F.slice(F.col(f"_c.{observed}"), 1, k).alias("_c"))
     joined = lookup_join(recipients.select(key, prediction), lists, prediction, "inner", derived=True)
     pick = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.size("_c")).cast("int") + 1
-    return joined.select(key, F.element_at("_c", pick).alias(observed))
+    return joined.select(key, F.element_at("_c", pick).alias(observed)).unionByName(from_tie)
 
 
 def _start_values(df: DataFrame, numbers: Sequence[str], texts: Sequence[str]) -> dict:

@@ -309,3 +309,27 @@ def test_detection_draws_rise_with_the_predictor(spark):
     ends = table.groupBy("location", "year", "week", "draw").agg(F.min_by("p", "x").alias("lo"), F.max_by("p", "x").alias("hi"))
     assert ends.filter("hi <= lo").count() == 0
     assert draws.threshold_summary(draws.crossing_points(table)).count() == 4 * 2 * 3
+
+
+def test_tuning_sees_training_rows_only(spark, monkeypatch):
+    rows = [(k, 1, ["a", "b", "c"][k % 3], "yes" if (k * 7) % 5 < 2 else "no", float(k % 11), float(k % 7)) for k in range(90)]
+    table = spark.createDataFrame(rows, "id int, imp int, location string, target string, x double, y double")
+    spec = forest.ForestSpec("target", ("x", "y"), positive="yes", trees=3)
+    seen = []
+
+    def spy(df, spec, imputations, row_id, **options):
+        seen.append({r["location"] for r in df.select("location").distinct().collect()})
+        return (1, 4), None
+
+    monkeypatch.setattr(forest, "tune_forest", spy)
+    splits = [holdout.Holdout(f"hold_{x}", "location", x) for x in ("a", "b")]
+    predictions, importances = forest.run_holdouts(table, spec, splits, [1], "id", tune={"folds": 2})
+    assert seen == [{"b", "c"}, {"a", "c"}]
+    assert predictions.count() == 60 and importances.count() == 4
+
+
+def test_many_tied_donors_are_all_used(spark):
+    donors = spark.createDataFrame([(k, 1.0, float(k)) for k in range(200)], "id long, prediction double, observed double")
+    recipients = spark.createDataFrame([(1000 + k, 1.0) for k in range(300)], "id long, prediction double")
+    got = impute.match_donors(donors, recipients, "id", "prediction", "observed", k=5).collect()
+    assert len(got) == 300 and len({r["observed"] for r in got}) > 100
