@@ -29,7 +29,7 @@ from tarnkit.llm.tables import extended, short_batches
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
          r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Entries and letters of words that a worker remembers; longer words are encoded anew each time.
-MEMORY_ENTRIES, MEMORY_LETTERS = 300_000, 48
+MEMORY_ENTRIES, MEMORY_LETTERS = 200_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,18 +40,18 @@ def byte_letters() -> dict[str, int]:
 
 
 class Memory(dict):
-    """What a function gave for short texts or pairs: those of the last `MEMORY_ENTRIES` at least, of twice as many at most."""
+    """What a function gave for short texts or pairs: those of the last `entries` at least, of twice as many at most."""
 
-    def __init__(self, work):
+    def __init__(self, work, entries: int | None = None):
         super().__init__()
-        self.work, self.older = work, {}
+        self.work, self.older, self.entries = work, {}, entries or MEMORY_ENTRIES
 
     def __missing__(self, text):
         out = self.older.get(text)
         if out is None:
             out = self.work(text)
         if len(text) <= MEMORY_LETTERS:
-            if len(self) >= MEMORY_ENTRIES:
+            if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()
             self[text] = out
@@ -92,9 +92,10 @@ class Vocabulary:
         self.pairs = Memory(lambda pair: self.stands(*pair))
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.words = Memory(self.encode_word)
+        self.words = Memory(self.encode_word, 2 * MEMORY_ENTRIES)
         self.plain = Memory(self.encode_run)
         self.spaced = Memory(lambda piece: self.encode_run(" " + piece))
+        self.line_end = self.encode_run("\n")
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def stands(self, a: int, b: int) -> bool:
@@ -149,11 +150,17 @@ class Vocabulary:
     def encode_plain(self, text: str) -> bytes:
         """Ids of a text without special tokens.
 
-        No word of the split holds a space after something that is not white space, so the text may be cut there and runs
-        of letters between spaces remembered whole.
+        No word of the split holds white space after something else, so the text may be cut there and runs of letters between
+        spaces remembered whole. A line end between two other characters is a word of its own.
         """
-        pieces = text.split(" ") if not AFTER_SPACE.search(text) else CUT.split(text)
-        return self.plain[pieces[0]] + b"".join(map(self.spaced.__getitem__, pieces[1:]))
+        if DOUBLE_SPACE.search(text):
+            pieces = CUT.split(text)
+            return self.plain[pieces[0]] + b"".join(map(self.spaced.__getitem__, pieces[1:]))
+        plain, spaced, found = self.plain, self.spaced.__getitem__, []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            found.append(plain[first] + b"".join(map(spaced, rest)))
+        return self.line_end.join(found)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -174,7 +181,7 @@ class Vocabulary:
 
 
 WORDS = regex.compile(SPLIT).findall
-AFTER_SPACE, CUT = re.compile(r"\s "), re.compile(r"(?<!\s) ")
+DOUBLE_SPACE, CUT = re.compile(r"\s\s"), re.compile(r"(?<!\s) ")
 LOADED: dict[int, Vocabulary] = {}
 
 
