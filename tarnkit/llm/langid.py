@@ -6,6 +6,9 @@ are fitted on a bounded sample: `sample_rows` rows for each language, chosen by
 consecutive letters of each row, at a place chosen by the same hash. All rows are then parsed whole. Parses restart every
 `PIECE` symbols, the same for all languages, so that a very long text is parsed side by side like many short ones.
 
+Every letter of a sample is a symbol of its own. The `DENSE` most frequent have a column in the table of transitions; the
+transitions by all others are looked up among sorted pairs of state and symbol.
+
 Defined results: letters are lower-cased, all else after a letter counts as one space, at the end too. A null text and a text without a
 letter have language `und` and score 0, like every text where nothing was learned. Among equal languages the first by name
 wins. Null labels and null texts teach nothing. A null id counts as empty in the hash. Other columns are ignored.
@@ -14,6 +17,7 @@ wins. Null labels and null texts teach nothing. A null id counts as empty in the
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tarnkit.llm.tables import cut, extended, short_batches, small_side
 
-PIECE, SPACE, OTHER = 1024, 0, 1
+PIECE, SPACE, OTHER, DENSE = 1024, 0, 1, 250
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -57,14 +61,19 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Models:
-    """Letters and, for all languages, one table: row and symbol to (next row's start, phrases that end)."""
+    """Letters and, for all languages, one table: row and symbol to (next row's start, phrases that end).
+
+    `keys` (row times the number of symbols, plus symbol) and `targets` are the transitions by symbols that the table has no column for.
+    """
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
-        letters = sorted({c for texts in samples.values() for x in texts for c in x.lower() if c.isalpha()})[:250]
+        seen = Counter(c for texts in samples.values() for x in texts for c in x.lower() if c.isalpha())
+        letters = sorted(seen, key=lambda c: (-seen[c], c))
         self.symbol = {c: k + 2 for k, c in enumerate(letters)}
-        self.width = len(letters) + 2
+        self.symbols, self.width = len(letters) + 2, min(len(letters), DENSE) + 2
         rows: list[np.ndarray] = []
+        rare: list[tuple[int, int]] = []
         self.starts, self.weights, base = [], [], 0
         for name in self.names:
             symbols: list[int] = []
@@ -74,7 +83,11 @@ class Models:
             nexts = automaton(symbols)
             table = np.full((len(nexts), self.width), -1, np.int64)
             for state, steps in enumerate(nexts):
-                table[state, list(steps)] = list(steps.values())
+                for s, to in steps.items():
+                    if s < self.width:
+                        table[state, s] = to
+                    else:
+                        rare.append(((base + state) * self.symbols + s, (base + to) * self.width * 4))
             known = table >= 0
             first = np.where(known[0], table[0], 0)
             ended = np.where(known, 0, 1 + ~known[0][None, :])
@@ -84,13 +97,34 @@ class Models:
             self.weights.append(np.log2(len(symbols) + 2))
             base += len(nexts)
         self.table = np.concatenate(rows).ravel().astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.keys, self.targets = np.array(sorted(rare), np.int64).reshape(-1, 2).T.copy()
 
     def coded(self, text: str) -> list[int]:
         return [self.symbol.get(c, OTHER) if c.isalpha() else SPACE for c in text.lower()]
 
+    def found(self, at: np.ndarray, symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Entries of the table for rows' starts `at` by language and a symbol each; `begin` has each language's first row's start."""
+        if self.symbols == self.width:
+            return self.table[at + symbols]
+        out = self.table[at + np.where(symbols < self.width, symbols, OTHER)]
+        rare = np.flatnonzero(symbols >= self.width)
+        if len(rare):
+            here, first = at[:, rare], np.broadcast_to(begin, (len(begin), len(rare)))
+            steps, known = self.sparse(here, symbols[rare])
+            anew, starts = self.sparse(first, symbols[rare])
+            ended = np.where(known, 0, np.where(here == first, 1, 2 - starts))
+            out[:, rare] = np.where(known, steps, np.where(starts & (here != first), anew, first * 4)) + ended
+        return out
+
+    def sparse(self, at: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Targets of transitions by symbols without a column, and whether there are such."""
+        wanted = at.astype(np.int64) // self.width * self.symbols + symbols
+        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return self.targets[place], self.keys[place] == wanted
+
     def alphabet(self) -> np.ndarray:
         """Symbol of each code point."""
-        out = np.zeros(sys.maxunicode + 1, np.uint8)
+        out = np.zeros(sys.maxunicode + 1, np.int32)
         for k in range(sys.maxunicode + 1):
             c = chr(k)
             if c.isalpha():
@@ -123,7 +157,7 @@ def phrases(models: Models, alphabet: np.ndarray, texts: list[str]) -> tuple[np.
     live = np.searchsorted(-lengths, -np.arange(1, PIECE + 1), side="right")
     for step in range(int(lengths[0]) if len(lengths) else 0):
         k = live[step]
-        found = models.table[at[:, :k] + symbols[starts[:k] + step]]
+        found = models.found(at[:, :k], symbols[starts[:k] + step], begin)
         ended[:, :k] += found & 3
         at[:, :k] = found >> 2
     ended += at != begin

@@ -53,6 +53,26 @@ def test_phrases_are_those_of_a_plain_parse(models):
             assert sizes[k] == (len(found) if any(c.isalpha() for c in text) else 0)
 
 
+def test_letters_beyond_the_table_are_not_merged(models, monkeypatch):
+    """Over a thousand letters a language, and a table with few columns against one with columns for all."""
+    draw = np.random.default_rng(3)
+    scripts = {name: [chr(0x4E00 + int(k)) for k in draw.permutation(3000)[:1500]] for name in ("x", "y")}
+    text = {name: ["".join(draw.choice(s, 900)) for _ in range(4)] for name, s in scripts.items()}
+    many = langid.Models(text)
+    letters = {c for texts in text.values() for x in texts for c in x}
+    assert len(letters) > 1000 and len({many.symbol[c] for c in letters}) == len(letters)
+    parts = [text["x"][0][40:400], text["y"][1][10:800], "\uac00" * 50, "abc"]
+    counts, sizes = langid.phrases(many, many.alphabet(), parts)
+    assert counts[0, 0] <= 3 and counts[1, 0] > 90 and counts[1, 1] <= 4 and counts[0, 1] > 200
+    assert (counts[:, 2] >= 50).all() and (counts[:, 3] >= 3).all()
+    mixed = [prose(9, 500, "abcxyzq"), prose(8, 30, "abcde"), "ab qé é", prose(5, 300, "qxé")]
+    samples = {"a": [prose(1, 60, "abcde")], "b": [prose(2, 80, "abxyz"), prose(3, 20, "abxyz")], "c": ["q"]}
+    whole = langid.phrases(models, models.alphabet(), mixed)[0]
+    monkeypatch.setattr(langid, "DENSE", 2)
+    few = langid.Models(samples)
+    assert few.width < few.symbols and np.array_equal(langid.phrases(few, few.alphabet(), mixed)[0], whole)
+
+
 def test_many_short_texts_parse_as_alone(models):
     texts = [prose(k, 1 + k % 7, "abcxyzé") for k in range(300)]
     counts, sizes = langid.phrases(models, models.alphabet(), texts)
