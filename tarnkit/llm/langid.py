@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tarnkit.llm.tables import cut, extended, short_batches, small_side
 
-PIECE, SPACE, OTHER, DENSE = 1024, 0, 1, 250
+PIECE, SPACE, OTHER, DENSE, FEW = 1024, 0, 1, 250, 20
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 def predict(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns (key, *keep, lang_pred, score, rate): score is the margin to the next language, rate the bits for each symbol."""
+    """Columns (key, *keep, lang_pred, score, rate, n_phrases, n_symbols): score is the margin to the next language, rate the bits for each symbol."""
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((models, models.alphabet()))
     names = [key, *keep]
@@ -208,30 +208,63 @@ def predict(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "t
                 with np.errstate(invalid="ignore"):
                     score = np.where(known, np.where(np.isfinite(second), 1 - least / second, 1.0), 0.0)
                     rate = np.where(known, least / np.maximum(sizes, 1), 0.0)
+                least_phrases = np.where(known, np.rint(least / weights[np.minimum(best, len(weights) - 1), 0]), 0) if len(weights) else np.zeros(len(best))
                 best = np.where(known, np.minimum(best, len(own.names)), len(own.names))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array([labels[x] for x in best], pa.string()), pa.array(score), pa.array(rate)],
-                    names=[*names, "lang_pred", "score", "rate"])
+                    [*part.columns[:-1], pa.array([labels[x] for x in best], pa.string()), pa.array(score), pa.array(rate),
+                     pa.array(least_phrases.astype(np.int64)), pa.array(sizes.astype(np.int64))],
+                    names=[*names, "lang_pred", "score", "rate", "n_phrases", "n_symbols"])
 
     return docs.select(*names, F.col(text).alias("__text")).mapInArrow(
-        work, extended(docs, names, "lang_pred string, score double, rate double"))
+        work, extended(docs, names, "lang_pred string, score double, rate double, n_phrases long, n_symbols long"))
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5) -> DataFrame:
     """Rows (key, held_out, lang_pred, score, rate) of all documents, learned from those whose crc32 modulo `folds` is not 0."""
     held = (crc_of(key) % folds == 0).alias("held_out")
     models = fit(docs.where(crc_of(key) % folds != 0), key, text, lang)
-    return predict(docs.select(key, text, held), models, key, text, ("held_out",))
+    return predict(docs.select(key, text, held), models, key, text, ("held_out",)).drop("n_phrases", "n_symbols")
+
+
+def limits(docs: DataFrame, models: Models, key: str, text: str, lang: str) -> dict[str | None, tuple[float, float]]:
+    """Most phrases a symbol and a root of symbols that labelled documents outside the sample suggest, by language and (None) for all.
+
+    The second is four standard deviations, by the median deviation or as of independent symbols. With it, documents need a number
+    of phrases a symbol; the first is their median rate plus three times the distance from there to the 99th percentile of these
+    numbers, at least 1.5 medians. A language with fewer than `FEW` documents has no limits of its own.
+    """
+    parsed = predict(docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()), models, key, text).where("lang_pred <> 'und'")
+    parsed = cut(parsed.select("lang_pred", "n_phrases", "n_symbols", (F.col("n_phrases") / F.col("n_symbols")).alias("rate")))
+    counts = {r["lang_pred"]: r["count"] for r in parsed.groupBy("lang_pred").count().collect()}
+    found = {}
+    for name in [*sorted(k for k, n in counts.items() if n >= FEW), *[None] * bool(counts)]:
+        rows = parsed if name is None else parsed.where(F.col("lang_pred") == name)
+        middle = rows.agg(F.percentile_approx("rate", 0.5, 1000)).first()[0]
+        apart = rows.agg(F.percentile_approx(F.abs(F.col("rate") - middle) * F.sqrt("n_symbols"), 0.5, 1000)).first()[0]
+        root = 4 * max(1.4826 * apart, (middle * max(0.0, 1 - middle)) ** 0.5)
+        needed = (F.col("n_phrases") - 1 - root * F.sqrt("n_symbols")) / F.col("n_symbols")
+        high = rows.agg(F.percentile_approx(needed, 0.99, 1000)).first()[0]
+        found[name] = (max(middle + 3 * (high - middle), 1.5 * middle), root)
+    return found
 
 
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most_bits: float = 8.0) -> DataFrame:
-    """`docs` without texts that have no letter or need more than `most_bits` a symbol in every learned language.
+    """`docs` without texts that have no letter or need more phrases than the documents of their best language do.
 
-    So many bits mean phrases of hardly two symbols: a script or a language that no label has. Where nothing was learned, only
-    texts without a letter go.
+    The limit (`limits`) comes from the labelled documents that are not learned from; it grows with the length, and by its root, as
+    short texts vary. Where there are none, texts go that need more than `most_bits` a symbol. Where nothing was learned, only texts
+    without a letter go.
     """
     models = fit(docs.where(crc_of(key) % 5 != 0), key, text, lang)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
     if not models.names:
         return docs.where(F.col(text).rlike(r"\p{L}"))
-    return predict(rows, models, "row", "text").where((F.col("lang_pred") != "und") & (F.col("rate") <= most_bits)).select("row.*")
+    known = limits(docs.where(crc_of(key) % 5 == 0), models, key, text, lang)
+    parsed = predict(rows, models, "row", "text").where(F.col("lang_pred") != "und")
+    if not known:
+        return parsed.where(F.col("rate") <= most_bits).select("row.*")
+    most = [F.lit(x) for x in known[None]]
+    for name, own in known.items():
+        if name is not None:
+            most = [F.when(F.col("lang_pred") == name, F.lit(x)).otherwise(y) for x, y in zip(own, most)]
+    return parsed.where(F.col("n_phrases") <= 1 + most[0] * F.col("n_symbols") + most[1] * F.sqrt("n_symbols")).select("row.*")

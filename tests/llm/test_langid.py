@@ -1,5 +1,6 @@
 """Cross-parsing against a plain parse by substring search, and held-out accuracy."""
 
+import random
 import zlib
 
 import numpy as np
@@ -100,6 +101,20 @@ def test_documents(documents):
     assert {5, 6, 7, 13}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_an_unlearned_language_of_a_learned_script_goes(spark):
+    draw = random.Random(2)
+    words = {x: ["".join(draw.choice("etaoinshrl") for _ in range(draw.randint(3, 9))) for _ in range(300)] for x in ("en", "de", "fi")}
+
+    def text(name, n):
+        return " ".join(draw.choice(words[name]) for _ in range(n))
+
+    rows = [(k, text(x := ("en", "de")[k % 2], draw.choice([3, 30, 150, 600])), x) for k in range(400)]
+    rows += [(1000 + k, text("fi", draw.choice([100, 150, 600])), None) for k in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.keep_known(frame).collect()}
+    assert len(kept & set(range(400))) >= 398 and not kept & set(range(1000, 1030))
+
+
 def test_nothing_learned(documents, no_documents):
     unlabelled = documents.withColumn("lang", F.lit(None).cast("string"))
     assert {(r["lang_pred"], r["score"]) for r in langid.identify(unlabelled).collect()} == {("und", 0.0)}
