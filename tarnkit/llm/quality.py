@@ -8,7 +8,8 @@ values), and the lower determinant wins. Distances are made consistent at their
 All steps are grouped aggregates of a stored table; a group's parameters are one row. Groups of fewer than `MIN_ROWS` rows
 are estimated together with the other small ones of their language, then with those of all languages; what is still fewer is kept.
 `FLOORS` are standard deviations below which no feature counts as spread out: features that are zero in nearly all texts would
-else reject every text that has a trace of them.
+else reject every text that has a trace of them. Those of duplicate lines and repeated words are the resolution of these shares: one
+line of 20, one repeated window (six words) of 120. The shares are taken as they are, so that traces stay small and much of either rejects.
 
 Defined results: a null text has no words and fails the base rules, like an empty one. Null languages and sources are groups of
 their own. Repeated rows count each. Other columns of the input are ignored.
@@ -33,8 +34,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = {
     "word_length": ("ln(word_chars / n_words)", 0.06),
     "symbols": ("sqrt(n_symbols / word_chars)", 0.04),
-    "dup_lines": ("sqrt(n_dup_lines / n_lines)", 0.2),
-    "repeats": ("sqrt(n_repeat_words / n_words)", 0.2),
+    "dup_lines": ("n_dup_lines / n_lines", 0.05),
+    "repeats": ("n_repeat_words / n_words", 0.05),
 }
 SHARE, MIN_ROWS, STEPS = 0.75, 100, 5
 #: Fixed values of the chi-squared distribution with four degrees of freedom: median and quantile 0.9999.

@@ -47,6 +47,23 @@ def test_symbol_heavy_texts_go_and_others_stay(spark):
     assert {r["doc_id"] for r in quality.keep_good(frame).collect()} == {k for k, kept in verdicts.items() if kept}
 
 
+def test_repetition_below_the_base_limit_goes_in_a_clean_group(spark):
+    rows = []
+    for k in range(300):
+        lines = [prose(20 * k + x, 9) for x in range(20)]
+        if k < 5:  # 9 of 20 lines are repeated, in another order of words so that windows are not
+            lines = [*lines[:11], *(["tis"] * 9)]
+        elif k < 10:  # 45% of words stand in repeated windows, no line is repeated
+            lines = [*lines[:11], *[f"{x} {prose(k, 6)} {prose(9 * k + n, 1)}" for n, x in enumerate("abcdefghi")]]
+        elif k < 15:  # one repeated line alone
+            lines[19] = lines[3]
+        rows.append((k, "\n".join(lines), "en", "web"))
+    found = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(found[k]["base_failed"] for k in range(15))
+    assert not any(found[k]["kept"] for k in range(10))
+    assert all(found[k]["kept"] for k in range(10, 15)) and sum(found[k]["kept"] for k in range(15, 300)) >= 283
+
+
 def test_estimate_finds_the_bulk(spark, monkeypatch):
     draw = np.random.default_rng(4)
     cov = np.array([[1.0, 0.6], [0.6, 2.0]])
