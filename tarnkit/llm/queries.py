@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnkit.llm import bpe, chat, langid, lm, packing, quality, simhash, suffix_dedup, topk, warc
+from tarnkit.llm import bpe, chat, langid, lm, packing, quality, runs, simhash, suffix_dedup, topk, warc
 from tarnkit.llm.tables import table
 
 
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.runs(table(spark, folder, "documents"), periodic_tails=True)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
+    "op13_runs": op13_runs,
 }
 CHECKS: dict[str, str] = {
     "op2_chat": """
