@@ -2,16 +2,17 @@
 
 A text, with a space put before it, is encoded by a byte-level BPE (A) and by a sentence-piece model (B, which adds that space itself).
 Offsets in bytes where a token of A and one of B both end cut the tokens into groups. Both lists of end offsets are walked at the
-current shift between their indices: stretches of ever doubled, then halved, length whose ends agree at that shift are jumped in one
-comparison of bytes, and are groups of one token each. Where ends differ, the token that ends first moves on until ends meet again: one
+current shift between their indices: stretches of ever doubled length whose ends agree at that shift are jumped in one comparison of
+bytes, and are groups of one token each. Where ends differ, the token that ends first moves on until ends meet again: one
 irregular group, which sets the shift of the next stretch. Every two tokens whose bytes overlap are linked.
 
 Links are counted by documents in three steps: each task counts within parts of `PART` letters of text, the parts' counts are summed over the
 corpus, and each part asks for the sums of its own pairs. Texts are encoded once; their pairs are stored in between. Sums are broadcast
 only if they are counted to be few.
 
-Words between spaces are remembered with their ids in both vocabularies; a cut at a space that follows something else than white space is one
-that no token of either vocabulary crosses (none has a space but at its start).
+A is run by `tiktoken` on the JSON file's ids as ranks; that gives the file's merges where each of its tokens encodes to itself, which the tests
+check. Words between spaces are remembered with their ids in B: no piece crosses a cut at a space that follows something else than white
+space, since none has a space after another character. A text with the sign that stands for a space in pieces is encoded whole.
 
 Defined results: a text that is null or empty, or that one of the vocabularies does not give back byte by byte, has no tokens: all numbers are
 zero and the digest is empty. Strings of special tokens inside a text are text like any other. Repeated rows are documents of their own.
@@ -20,6 +21,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
@@ -27,77 +29,115 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnkit.llm.bpe import CUT, DOUBLE_SPACE, WORDS, Memory, Vocabulary, read_source
+from tarnkit.llm.bpe import CUT, DOUBLE_SPACE, MEMORY_LETTERS, SPLIT, byte_letters, read_source
 from tarnkit.llm.runs import spread
 from tarnkit.llm.tables import cut, extended, short_batches, small_side
 
 #: Letters of text whose pairs are counted and answered together; entries of remembered words.
-PART, ENTRIES = 8 << 20, 150_000
+PART, ENTRIES = 8 << 20, 250_000
 #: Fixed value: the sign that the pieces have for a space.
 PIECE_SPACE = "▁"
 
 
+def byte_tokens(source: str) -> list[bytes]:
+    """Bytes of each id of a byte-level vocabulary in a JSON file's text, without its special tokens."""
+    letters, ids = byte_letters(), json.loads(source)["model"]["vocab"]
+    out = [b""] * (max(ids.values()) + 1)
+    for token, k in ids.items():
+        out[k] = bytes(map(letters.get, token)) if all(c in letters for c in token) else b""
+    return out
+
+
 class Tokenizers:
     """Both vocabularies: ids of texts, and bytes and decimal strings of ids."""
 
     def __init__(self, source: str, model: bytes):
-        self.a, self.b = Vocabulary(source), sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.a_bytes, self.b = byte_tokens(source), sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.a = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks={x: k for k, x in enumerate(self.a_bytes) if x}, special_tokens={})
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace(PIECE_SPACE, " ").encode() for k, x in enumerate(pieces)]
+        self.lengths = [np.array([len(x) for x in xs], np.int32) for xs in (self.a_bytes, self.b_bytes)]
+        #: Ids of A and of B as text, each inside its group (even places) and at its group's end (odd places).
+        self.second = 2 * len(self.a_bytes)
+        self.decimals = [f"{k}{sign}" for size, end in zip(map(len, self.lengths), "|;") for k in range(size) for sign in ("," + end)]
+        self.b_data = np.frombuffer(b"".join(self.b_bytes), np.uint8)
+        self.b_starts = np.cumsum(self.lengths[1]) - self.lengths[1]
+        self.recent, self.older = {}, {}
         self.space = array("i", [self.b.piece_to_id(PIECE_SPACE)]).tobytes()
-        self.lengths = [np.array([len(x) for x in xs], np.int32) for xs in (self.a.tokens, self.b_bytes)]
-        self.decimals = [list(map(str, range(len(xs)))) for xs in (self.a.tokens, self.b_bytes)]
-        self.known = Memory(self.word, ENTRIES)
-
-    def word(self, piece: str) -> tuple[bytes, bytes, bool]:
-        """Ids of a space and `piece` in both vocabularies as 32-bit numbers, and whether both give back its bytes."""
-        a = b"".join(map(self.a.encode_word, WORDS(" " + piece)))
-        b = array("i", self.b.encode(piece)).tobytes() if piece else self.space
-        whole = (" " + piece).encode()
-        return a, b, self.bytes_of(self.a.tokens, a) == whole == self.bytes_of(self.b_bytes, b)
-
-    def bytes_of(self, tokens: list[bytes], ids: bytes) -> bytes:
-        return b"".join(map(tokens.__getitem__, memoryview(ids).cast("i")))
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of a space and the text in both vocabularies; none where a vocabulary does not give back its bytes."""
-        if not text or PIECE_SPACE in text:  # the pieces show that sign as a space
+
+    def pieces(self, words: list[str]) -> bytes:
+        """Ids in B of words with a space before each, as 32-bit numbers; the last `ENTRIES` words at least are remembered."""
+        found = list(map(self.recent.get, words))
+        if None in found:
+            known = {x: self.older.get(x) for x, y in zip(words, found) if y is None}
+            new = [x for x, y in known.items() if y is None and x]
+            known |= {x: array("i", y).tobytes() for x, y in zip(new, self.b.encode(new, num_threads=1))} | {"": self.space}
+            found = [known[x] if y is None else y for x, y in zip(words, found)]
+            self.recent.update((x, y) for x, y in known.items() if len(x) <= MEMORY_LETTERS)
+            if len(self.recent) >= ENTRIES:
+                self.recent, self.older = {}, self.recent
+        return b"".join(found)
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of a space and the text in both vocabularies and where their tokens end; none where a vocabulary does not give back its bytes."""
+        if not text:
             return None
         whole = " " + text
-        pieces = (CUT.split(whole) if DOUBLE_SPACE.search(whole) else whole.split(" "))[1:]
-        a, b, good = zip(*map(self.known.__getitem__, pieces))
-        return (np.frombuffer(b"".join(a), np.int32), np.frombuffer(b"".join(b), np.int32)) if all(good) else None
-
-
-def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
-    """Groups in order, and the links inside irregular ones as two lists of indices.
-
-    A stretch of groups of one token each is (begin, end, begin in B, -1), an irregular group (begin, end, begin in B, end in B).
-    Both lists of ends (32-bit numbers) rise and have the same last one.
+        if PIECE_SPACE in text:
+            b = np.array(self.b.encode(text), np.int32)
+        else:
+            b = np.frombuffer(self.pieces((CUT.split(whole) if DOUBLE_SPACE.search(whole) else whole.split(" "))[1:]), np.int32)
+        a, data = np.array(self.a.encode_ordinary(whole), np.int32), np.frombuffer(whole.encode(), np.uint8)
+        a_ends, b_ends = (np.cumsum(x[y], dtype=np.int32) for x, y in zip(self.lengths, (a, b)))
+        if a_ends[-1] != len(data) or b_ends[-1] != len(data):
+            return None
+        lengths = self.lengths[1][b]
+        same = np.array_equal(data, self.b_data[np.repeat(self.b_starts[b] - b_ends + lengths, lengths) + np.arange(len(data))])
+        return (a, b, a_ends, b_ends) if same else None
+
+    def listing(self, a: np.ndarray, b: np.ndarray, a_bounds: np.ndarray, b_bounds: np.ndarray) -> str:
+        """Groups of ids as `a1,a2|b1;a3|b2,b3`, from the index after each group's last token."""
+        own = []
+        for ids, bounds, base in ((a, a_bounds, 0), (b, b_bounds, self.second)):
+            last = np.zeros(len(ids), np.int64)
+            last[bounds - 1] = 1
+            own.append((base + 2 * ids.astype(np.int64) + last, np.cumsum(last) - last))
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.append(0, b_bounds)[own[0][1]]] = own[0][0]
+        order[np.arange(len(b)) + a_bounds[own[1][1]]] = own[1][0]
+        return "".join(map(self.decimals.__getitem__, order.tolist()))[:-1]
+
+
+def align(a_ends: np.ndarray, b_ends: np.ndarray, probe: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each group the index after its last token in A and in B; for each link inside irregular groups its index in A and in B.
+
+    Both lists of ends (32-bit numbers) rise and have the same last one. At a shift, `probe` ends and then ever twice as many are
+    compared as one number; the lowest bit in which two such numbers differ shows where the stretch ends.
     """
     left, right, a, b, n = a_ends.tobytes(), b_ends.tobytes(), a_ends.tolist(), b_ends.tolist(), len(a_ends)
-    found, linked_a, linked_b = [], [], []
+    number, found, linked_a, linked_b = int.from_bytes, array("i"), array("i"), array("i")
+    add, add_a, add_b = found.extend, linked_a.append, linked_b.append
     i = j = 0
     while i < n:
-        begin, shift, step = i, 4 * (j - i), 1
-        while i + step <= n and left[4 * i:4 * (i + step)] == right[4 * i + shift:4 * (i + step) + shift]:
-            i += step
+        begin, step, shift = i, 4 * probe, 4 * (j - i)
+        at = 4 * i
+        while not (apart := number(left[at:at + step], "little") ^ number(right[at + shift:at + shift + step], "little")) and at < len(left):
+            at += step
             step *= 2
-        while step := step // 2:
-            if i + step <= n and left[4 * i:4 * (i + step)] == right[4 * i + shift:4 * (i + step) + shift]:
-                i += step
-        j += i - begin
+        i = min(n, (at >> 2) + (((apart & -apart).bit_length() - 1) >> 5)) if apart else n
         if i > begin:
-            found.append((begin, i, j - i + begin, -1))
+            add((begin + 1, j + 1, i - begin))
+            j += i - begin
             if i == n:
                 break
-        first, other, x, y = i, j, a[i], b[j]
-        linked_a.append(i)
-        linked_b.append(j)
+        x, y = a[i], b[j]
+        add_a(i)
+        add_b(j)
         while x != y:
             if x < y:
                 i += 1
@@ -105,18 +145,13 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[list[tuple[int, int,
             else:
                 j += 1
                 y = b[j]
-            linked_a.append(i)
-            linked_b.append(j)
+            add_a(i)
+            add_b(j)
         i, j = i + 1, j + 1
-        found.append((first, i, other, j))
-    return found, linked_a, linked_b
-
-
-def listing(groups: list[tuple[int, int, int, int]], a: list[str], b: list[str]) -> str:
-    """Groups as `a1,a2|b1;a3|b2,b3`."""
-    return ";".join([
-        ";".join(map("|".join, zip(a[i:k], b[j:j + k - i]))) if m < 0 else f"{','.join(a[i:k])}|{','.join(b[j:m])}"
-        for i, k, j, m in groups])
+        add((i, j, 1))
+    rows = np.frombuffer(found, np.int32).reshape(-1, 3).astype(np.int64)
+    of, a_bounds = spread(rows[:, 0], rows[:, 2])
+    return a_bounds, a_bounds + (rows[:, 1] - rows[:, 0])[of], np.frombuffer(linked_a, np.int32), np.frombuffer(linked_b, np.int32)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], tokenizers: Tokenizers, names: list[str], kind: str) -> Iterator[pa.RecordBatch]:
@@ -128,20 +163,18 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizers: Tokenizers, names: li
         for text in batch.column(1):
             text = text.as_py()
             letters += len(text or "")
-            ids = tokenizers.encode(text)
-            if ids is None:
+            found = tokenizers.encode(text)
+            if found is None:
                 rows.append((0, 0, 0, 0, "", part, b"", b""))
             else:
-                a, b = ids
-                groups, one, other = align(*(np.cumsum(x[k], dtype=np.int32) for x, k in zip(tokenizers.lengths, ids)))
-                plain = np.array([(i, j, k - i) for i, k, j, m in groups if m < 0], np.int64).reshape(-1, 3)
-                of, i = spread(plain[:, 0], plain[:, 2])
-                i, j = np.append(i, one).astype(np.int64), np.append(i + (plain[:, 1] - plain[:, 0])[of], other).astype(np.int64)
+                a, b, a_ends, b_ends = found
+                a_bounds, b_bounds, i, j = align(a_ends, b_ends)
+                single = (np.diff(a_bounds, prepend=0) == 1) & (np.diff(b_bounds, prepend=0) == 1)
+                i, j = np.append(i, a_bounds[single] - 1), np.append(j, b_bounds[single] - 1)
                 pairs, times = np.unique(a[i].astype(np.int64) * product + b[j], return_counts=True)
                 times = times.astype(np.min_scalar_type(int(times.max()))).tobytes()
-                listed = listing(groups, *([x[k] for k in y.tolist()] for x, y in zip(tokenizers.decimals, ids)))
-                count = int(plain[:, 2].sum()) + len(groups) - len(plain)
-                rows.append((len(a), len(b), count, len(i), sha256(listed.encode()).hexdigest(), part, pairs.astype(kind).tobytes(), times))
+                listed = sha256(tokenizers.listing(a, b, a_bounds, b_bounds).encode()).hexdigest()
+                rows.append((len(a), len(b), len(a_bounds), len(i), listed, part, pairs.astype(kind).tobytes(), times))
             if letters >= PART:
                 part, letters = part + 1, 0
         if rows:
@@ -190,7 +223,7 @@ def aligned(docs: DataFrame, path: str, model_path: str, key: str = "doc_id", te
     with open(model_path, "rb") as f:
         model = f.read()
     product = sentencepiece.SentencePieceProcessor(model_proto=model).get_piece_size()
-    kind = "<u4" if len(Vocabulary(source).tokens) * product <= 1 << 32 else "<u8"
+    kind = "<u4" if len(byte_tokens(source)) * product <= 1 << 32 else "<u8"
     shared = spark.sparkContext.broadcast((source, model))
     schema = extended(docs, [key], "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, part long, pairs binary, times binary")
 

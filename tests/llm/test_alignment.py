@@ -9,7 +9,7 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
-from tarnkit.llm import alignment
+from tarnkit.llm import alignment, bpe
 
 PATHS = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
 
@@ -31,13 +31,13 @@ def test_alignment_of_random_ends():
         share = draw.choice([0.2, 0.7, 0.95, 1.0])
         a = sorted({n, *(k for k in range(1, n) if draw.random() < share)})
         b = sorted({n, *(k for k in range(1, n) if draw.random() < draw.choice([share, 1.0]))})
-        found, one, other = alignment.align(np.array(a, np.int32), np.array(b, np.int32))
+        a_bounds, b_bounds, one, other = alignment.align(np.array(a, np.int32), np.array(b, np.int32), draw.choice([1, 2, 8]))
         groups, links = plain_groups(a, b)
-        spread = [x for i, k, j, m in found for x in ([([i + t], [j + t]) for t in range(k - i)] if m < 0 else [(list(range(i, k)), list(range(j, m)))])]
+        spread = [(list(range(i, k)), list(range(j, m))) for i, k, j, m in zip([0, *a_bounds], a_bounds, [0, *b_bounds], b_bounds)]
         assert spread == groups
-        assert sorted([*zip(one, other)] + [(i + t, j + t) for i, k, j, m in found if m < 0 for t in range(k - i)]) == sorted(links)
-        names = [[f"{x}{k}" for k in range(n)] for x in "ab"]
-        assert alignment.listing(found, *names) == ";".join(",".join(f"a{i}" for i in x) + "|" + ",".join(f"b{j}" for j in y) for x, y in groups)
+        single = [(i[0], j[0]) for i, j in groups if len(i) == len(j) == 1]
+        found = [*zip(one.tolist(), other.tolist())]
+        assert sorted({*found, *single}) == sorted(links) and len(found) == len(set(found))
 
 
 def libraries():
@@ -60,10 +60,24 @@ def test_texts_encode_as_the_libraries_do():
     assert own.encode("") is None and own.encode(None) is None and own.encode("a▁b") is None
 
 
+def test_each_token_encodes_to_itself():
+    """Then ranks and merges agree: what stands between two token ends was merged as it is merged alone."""
+    words = bpe.Vocabulary(alignment.read_source(PATHS[0]))
+    ids = [words.automaton.get(x.decode("latin-1")) for x in words.tokens[:50256]]
+    assert ids == list(range(50256))
+    for k, (a, b) in enumerate(words.parts[:50256]):
+        assert a < 0 or words.tokens[a] + words.tokens[b] == words.tokens[k] and not words.stands(a, b)
+    for k, x in enumerate(words.tokens[:50256]):
+        parts = [(x[:n], x[n:]) for n in range(1, len(x))]
+        for left, right in parts:
+            pair = words.automaton.get(left.decode("latin-1"), -1), words.automaton.get(right.decode("latin-1"), -1)
+            assert min(pair) < 0 or not words.stands(*pair), x
+
+
 def plain_rows(rows):
     a, b = libraries()
     lengths = [[len(x) for x in own] for own in (
-        alignment.Vocabulary(alignment.read_source(PATHS[0])).tokens,
+        bpe.Vocabulary(alignment.read_source(PATHS[0])).tokens,
         [b"x" if b.is_byte(k) else b.id_to_piece(k).replace("▁", " ").encode() for k in range(b.get_piece_size())])]
     texts, pairs = [], Counter()
     for key, text in rows:
