@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnkit.llm import alignment, bpe, chat, langid, lm, packing, quality, runs, simhash, suffix_dedup, topk, warc
+from tarnkit.llm import alignment, bpe, chat, jaccard_join, langid, lm, packing, quality, runs, simhash, suffix_dedup, topk, warc
 from tarnkit.llm.tables import table
 
 
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+def op11_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join(table(spark, folder, "documents"))
+
+
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     paths = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     return alignment.link_counts(table(spark, folder, "documents"), *paths)
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
+    "op11_jaccard": op11_jaccard,
     "op12_alignment": op12_alignment,
     "op13_runs": op13_runs,
 }
