@@ -40,8 +40,10 @@ from tarnkit.llm.components import components
 from tarnkit.llm.simhash import lists, shingle_hashes
 from tarnkit.llm.tables import cut, extended, short_batches
 
-#: Mean shingles of a slice at the lower bound of a class of sizes, sizes below which each shingle is a slice, and the ratio of class bounds.
-SLICE, SINGLE, RATIO = 4.2, 40, 1.5
+#: Mean shingles of a slice at the lower bound of a class of sizes; from `WIDE_FROM` shingles on, where shares vary less, they are wider.
+SLICE, WIDE, WIDE_FROM = 4.2, 5.6, 200
+#: Size below which each shingle is a slice, and the ratio of class bounds.
+SINGLE, RATIO = 40, 1.5
 BUCKETS, REGION, LEAF, PIVOTS = 32, 2048, 96, 64
 #: Rows of one number that are broadcast at most.
 FEW_ROWS = 500_000
@@ -64,7 +66,8 @@ def lower_bound(number: int) -> int:
 
 def slice_names(shingles: np.ndarray, number: int, fineness: int) -> np.ndarray:
     """Names of the shingles of each slice that has any, in class `number` with 2 ** `fineness` times the usual slices."""
-    count = (int(lower_bound(number) / SLICE) << fineness) if number else 0
+    bound = lower_bound(number)
+    count = int(bound / (SLICE if bound < WIDE_FROM else WIDE)) << fineness
     mixed = shingles * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(2 * number)
