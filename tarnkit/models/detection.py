@@ -16,9 +16,10 @@ from tarnkit.models.forest import in_flight
 from tarnkit.operators.joins import small_side
 
 
-def poisson_weight(key: str, seed: int) -> Column:
+def poisson_weight(key: str, seed: int | Column) -> Column:
     """Bootstrap weight: a Poisson(1) number from a seeded hash of the row key, repeatable on any executor."""
-    uniform = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+    uniform = F.pmod(F.xxhash64(F.col(key), seed), F.lit(1 << 52)) / F.lit(float(1 << 52))
     reached, term, steps = 0.0, math.exp(-1), []
     for n in range(1, 16):
         reached += term

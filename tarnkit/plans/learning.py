@@ -1,4 +1,4 @@
-"""Fitted models. SQL cannot express them, so these queries are checked by their rows and by properties."""
+"""Fitted models. SQL cannot express the fits; it checks what they must satisfy (the `_contract` queries and the score equations)."""
 
 from __future__ import annotations
 
@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tarnkit.functions import censoring as C
 from tarnkit.functions.dates import iso_week
-from tarnkit.models import detection, draws, forest, holdout, impute
+from tarnkit.models import bootstrap, draws, forest, holdout, impute
 from tarnkit.operators.joins import lookup_join, stack
 from tarnkit.operators.quantiles import group_quantiles
 from tarnkit.operators.reshape import longer
-from tarnkit.plans.bindings import daily, samples
+from tarnkit.plans.bindings import SAMPLES, daily, samples, with_sql
 from tarnkit.plans.registry import query
+from tarnkit.session import cut
 
 _GAPS = ["marker", "total"]
 _COMPLETE = ["tn", "tp", "mean_temp"]
@@ -79,16 +80,99 @@ def tuning_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return holdout.mean_metrics(metrics)
 
 
-@query()
-def detection_model_draws(spark: SparkSession, folder: str) -> DataFrame:
-    table = _training_table(spark, folder).withColumns({
+_REPLICATES = 100
+
+
+def _model_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples as three years of the sites, which the single year of the events does not give."""
+    return _training_table(spark, folder).withColumns({
         "location": F.col("site").cast("string"),
-        "year": F.year("sample_date"),
+        "year": F.year("sample_date") - F.col("site") % 3,
         "week": iso_week("sample_date").cast("double"),
         "log_tn": C.log10_offset("tn", 0.01),
     })
-    models = detection.bootstrap_models(
-        table, "row_id", F.col("truth") == "detected", "location", "year", "week", "log_tn", replicates=3
-    )
+
+
+def _fitted(table: DataFrame) -> bootstrap.Coefficients:
+    return bootstrap.bootstrap_coefficients(
+        table, "row_id", F.col("truth") == "detected", "location", "year", "week", "log_tn", _REPLICATES)
+
+
+_FITTED_SITES = "fitted AS (SELECT DISTINCT site, CAST(2024 - site % 3 AS VARCHAR) AS year FROM samples WHERE passive IS NOT NULL)"
+_DRAW_NUMBERS = f"numbers AS (SELECT CAST(range AS INT) AS draw FROM range(1, {_REPLICATES + 1}))"
+
+
+@query(with_sql(SAMPLES, _FITTED_SITES, _DRAW_NUMBERS, """SELECT draw, kind, name, CAST(0 AS DOUBLE) AS score FROM numbers CROSS JOIN (
+  SELECT kind, CAST(site AS VARCHAR) AS name FROM fitted CROSS JOIN (VALUES ('location'), ('location_slope')) AS kinds(kind)
+  UNION ALL SELECT DISTINCT 'year', year FROM fitted
+  UNION ALL SELECT 'shared', name FROM (VALUES ('intercept'), ('slope'), ('sin1'), ('cos1'), ('sin2'), ('cos2')) AS terms(name))"""))
+def bootstrap_coefficients(spark: SparkSession, folder: str) -> DataFrame:
+    """Score equations of every replicate and term at the fitted coefficients: all are zero."""
+    table = cut(_model_table(spark, folder))
+    scores = bootstrap.score_equations(
+        table, _fitted(table), "row_id", F.col("truth") == "detected", "location", "year", "week", "log_tn")
+    return scores.withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
+def _draws(spark: SparkSession, folder: str) -> DataFrame:
+    table = cut(_model_table(spark, folder))
     grid = draws.prediction_grid(table, ["location", "year"], {"week": ("week", 3), "log_tn": ("log_tn", 10)})
-    return detection.draws_on_grid(models, grid, "location", "year", "week", "log_tn")
+    return bootstrap.draws_of(_fitted(table), grid, "location", "year", "week", "log_tn")
+
+
+@query()
+def detection_model_draws(spark: SparkSession, folder: str) -> DataFrame:
+    return _draws(spark, folder)
+
+
+_SITES = "sites AS (SELECT site, CAST(2024 - site % 3 AS INT) AS year, COUNT(passive) > 0 AS known FROM samples GROUP BY 1, 2)"
+
+
+@query(with_sql(SAMPLES, _SITES, f"""SELECT CAST(site AS VARCHAR) AS location, year, CAST({30 * _REPLICATES} AS BIGINT) AS cells,
+  CAST(CASE WHEN known THEN {30 * _REPLICATES} ELSE 0 END AS BIGINT) AS probabilities FROM sites"""))
+def draws_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of each location and year, and those whose value is a probability: all, unless the location has no known outcome."""
+    return _draws(spark, folder).groupBy("location", "year").agg(
+        F.count("*").alias("cells"), F.count(F.when((F.col("p") > 0) & (F.col("p") < 1), 1)).alias("probabilities"))
+
+
+_ROW_ID = "site * 100000 + (sample_date - DATE '1970-01-01')"
+
+
+@query(with_sql(SAMPLES, f"""SELECT CAST(imp AS INT) AS imp, {_ROW_ID} AS row_id, TRUE AS kept, TRUE AS from_donors
+FROM samples CROSS JOIN (SELECT range AS imp FROM range(1, 3))"""))
+def impute_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Each completed row keeps what was observed, and its other values are observed ones of other rows."""
+    completed = cut(_completed(spark, folder))
+    before = _training_table(spark, folder).select("row_id", *[F.col(c).alias(f"_{c}") for c in _GAPS])
+    joined = completed.join(before, "row_id")
+    for c in _GAPS:
+        seen = before.select(F.col(f"_{c}").alias(c)).dropna().distinct().withColumn(f"_seen_{c}", F.lit(True))
+        joined = joined.join(seen, c, "left")
+    kept, donors = F.lit(True), F.lit(True)
+    for c in _GAPS:
+        kept = kept & F.coalesce(F.col(f"_{c}") == F.col(c), F.lit(True))
+        donors = donors & F.coalesce(F.col(f"_seen_{c}"), F.lit(False))
+    return joined.select("imp", "row_id", kept.alias("kept"), donors.alias("from_donors"))
+
+
+@query(with_sql(SAMPLES, f"""SELECT 'hold_' || region AS model, CAST(1 AS INT) AS imp, {_ROW_ID} AS row_id,
+  CASE WHEN passive > passive_lod THEN 'detected' ELSE 'not_detected' END AS truth, TRUE AS in_range FROM samples WHERE passive IS NOT NULL"""))
+def holdout_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Every held-out row with a known response is predicted once, by a probability."""
+    in_range = (F.col("score") >= 0) & (F.col("score") <= 1)
+    return _forests(spark, folder)[0].select("model", "imp", "row_id", "truth", in_range.alias("in_range"))
+
+
+@query(f"""SELECT model, CAST(1 AS INT) AS imp, CAST({len(_FEATURES)} AS BIGINT) AS variables, CAST(1 AS DOUBLE) AS total, TRUE AS none_negative
+FROM (VALUES ('hold_nb'), ('hold_ns')) AS models(model)""")
+def importance_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Importances of each fit: one a feature, none negative, in sum one."""
+    return _forests(spark, folder)[1].groupBy("model", "imp").agg(
+        F.countDistinct("variable").alias("variables"), F.sum("importance").alias("total"), F.every(F.col("importance") >= 0).alias("none_negative"))
+
+
+@query("""SELECT CAST(mtry AS INT) AS mtry, CAST(5 AS INT) AS min_n, 'accuracy' AS metric, TRUE AS in_range FROM (VALUES (1), (3)) AS grid(mtry)""")
+def tuning_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of the grid has a mean accuracy between zero and one."""
+    return tuning_metrics(spark, folder).select("mtry", "min_n", "metric", F.col("avg").between(0, 1).alias("in_range"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnkit.functions import censoring as C
 from tarnkit.functions.dates import iso_week, iso_year
 from tarnkit.functions.semantics import divide, in_order, interaction
-from tarnkit.models import detection, draws, forest, holdout, impute, importance, roc
+from tarnkit.models import bootstrap, draws, forest, holdout, impute, importance, roc
 from tarnkit.operators import cleaning, scaling
 from tarnkit.operators.selectors import any_of, column_names, contains
 from tarnkit.operators.timeseries import lags
@@ -108,12 +108,12 @@ def threshold_curves(
     targets: Sequence[float] = draws.TARGETS, path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Threshold summary and mean probabilities over the grid of every location and year in the data."""
-    models = detection.bootstrap_models(
+    found = bootstrap.bootstrap_coefficients(
         rows, key, F.col("passive_mclr_binary"), "location", "year", "week_of_year", "s_mcye", replicates
     )
     known = rows.filter(F.col("s_mcye").isNotNull())
     grid = draws.prediction_grid(known, ["location", "year"], {"week": ("week_of_year", weeks), "s_mcye": ("s_mcye", levels)})
-    table = detection.draws_on_grid(models, grid, "location", "year", "week", "s_mcye")
+    table = bootstrap.draws_of(found, grid, "location", "year", "week", "s_mcye")
     table = scaling.undo_scaling(table, "x", constants, "mcye", "x")
     if path is not None:
         table = save_table(table, path, ["location", "year"])

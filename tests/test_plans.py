@@ -14,7 +14,8 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
 FITTED = {
     "impute_multiple", "imputation_quantiles", "holdout_forest", "forest_importance", "tuning_metrics",
-    "detection_model_draws",
+    "detection_model_draws", "bootstrap_coefficients", "draws_contract", "impute_contract", "holdout_contract", "importance_contract",
+    "tuning_contract",
 }
 
 
