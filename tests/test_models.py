@@ -243,6 +243,27 @@ def test_imputation_fills_gaps_with_observed_values(gappy):
     assert sum(close) / len(close) < 2.0
 
 
+def test_sweeps_store_changes_once_for_all_imputations(gappy, monkeypatch):
+    """One merge a sweep, whatever the columns and imputations; a sweep that does not lower the out-of-bag error is not taken."""
+    df, rows = gappy
+    merges, kept = [], impute.merge_changes
+    monkeypatch.setattr(impute, "merge_changes", lambda *args: merges.append(1) or kept(*args))
+    errors = iter([0.5, 0.5, 0.4, 0.6, 0.9])
+    args = dict(columns=["y", "site"], predictors=["z"], trees=3, depth=2, at_once=1)
+    done = impute.impute_stacked(df, "id", seeds={1: 5, 2: 6}, sweeps=2, stop=False, **args)
+    assert len(merges) == 2 and done.dropna().count() == 2 * len(rows)
+    first = {r["id"]: (r["y"], r["site"]) for r in impute.impute_once(df, "id", seed=5, sweeps=1, **args).collect()}
+    assert len(merges) == 3
+    monkeypatch.setattr(impute, "_error", lambda *_: next(errors))
+    stopped = {r["id"]: (r["y"], r["site"]) for r in impute.impute_once(df, "id", seed=5, sweeps=9, **args).collect()}
+    assert len(merges) == 4 and stopped == first
+
+
+def test_imputation_of_complete_columns(spark):
+    df = spark.createDataFrame([(1, 2.0, "a"), (2, 3.0, "b")], "id int, y double, s string")
+    assert sorted(tuple(r) for r in impute.impute_once(df, "id", ["y", "s"]).collect()) == [(1, 2.0, "a"), (2, 3.0, "b")]
+
+
 def test_holdout_forest_learns_and_reports_importance(gappy):
     df, _ = gappy
     table = df.withColumn("imp", F.lit(1)).withColumn("noise", F.abs(F.hash("id")) % 7)
