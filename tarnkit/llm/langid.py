@@ -2,8 +2,8 @@
 
 The suffix automaton of a language's labelled text follows the longest match of a text from left to right; where it cannot go
 on, a phrase ends and the next begins. Phrases times the logarithm of the labelled length estimate the cross entropy. Automata
-are fitted on a bounded sample: `sample_rows` rows for each language, chosen by a hash of their ids, and `sample_letters`
-consecutive letters of each row, at a place chosen by the same hash. All rows are then parsed whole. Parses restart every
+are fitted on a bounded sample: `sample_rows` different rows for each language, chosen by a hash of their ids and texts, and
+`sample_letters` consecutive letters of each row, at a place chosen by the same hash. All rows are then parsed whole. Parses restart every
 `PIECE` symbols, the same for all languages, so that a very long text is parsed side by side like many short ones.
 
 Every letter of a sample is a symbol of its own. The `DENSE` most frequent have a column in the table of transitions; the
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tarnkit.llm.tables import cut, extended, short_batches, small_side
 
 PIECE, SPACE, OTHER, DENSE, FEW = 1024, 0, 1, 250, 20
+#: Rows and letters that are parsed side by side.
+ROWS, LETTERS = 1024, 1 << 20
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -96,7 +98,8 @@ class Models:
             self.starts.append(base * self.width)
             self.weights.append(np.log2(len(symbols) + 2))
             base += len(nexts)
-        self.table = np.concatenate(rows).ravel().astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.kind = np.int32 if base * self.width * 4 < 1 << 31 else np.int64
+        self.table = np.concatenate(rows).ravel().astype(self.kind) if rows else np.zeros(0, self.kind)
         self.keys, self.targets = np.array(sorted(rare), np.int64).reshape(-1, 2).T.copy()
 
     def coded(self, text: str) -> list[int]:
@@ -151,7 +154,7 @@ def phrases(models: Models, alphabet: np.ndarray, texts: list[str]) -> tuple[np.
     order = np.argsort(-lengths, kind="stable")
     starts, lengths, of = starts[order], lengths[order], of[order]
     languages = len(models.names)
-    begin = np.array(models.starts, np.int32)[:, None]
+    begin = np.array(models.starts, models.kind)[:, None]
     at = np.repeat(begin, len(of), axis=1)
     ended = np.zeros((languages, len(of)), np.int32)
     live = np.searchsorted(-lengths, -np.arange(1, PIECE + 1), side="right")
@@ -173,7 +176,7 @@ def crc_of(key: str) -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 48,
         sample_letters: int = 500) -> Models:
     """Automata of the languages that occur, from a bounded sample of labelled rows."""
-    place = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(7))
+    place = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(7), F.col(text))
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     picked = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"))
     bounds = cut(picked.groupBy("lang").agg(F.count("*").alias("rows")))
@@ -181,12 +184,26 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     share = F.least(F.lit(1.0), 4.0 * sample_rows / F.col("rows"))
     chosen = picked.join(bounds, "lang").where(F.pmod("place", F.lit(1 << 30)) < share * (1 << 30))
     at = 1 + F.pmod("place", F.greatest(F.lit(1), F.length("text") - sample_letters)).cast("int")
-    found = chosen.select("lang", F.struct("place", F.substring("text", at, F.lit(sample_letters)).alias("part")).alias("x"))
+    found = chosen.dropDuplicates(["lang", "place"]).select("lang", F.struct("place", F.substring("text", at, F.lit(sample_letters)).alias("part")).alias("x"))
     best = found.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list("x")), 1, sample_rows).alias("x")).collect()
     samples = {row["lang"]: [x["part"] for x in row["x"]] for row in best}
     return Models({k: v for k, v in samples.items() if any(c.isalpha() for x in v for c in x)})
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of a batch and their texts (the last column), at most `ROWS` and, but for one longer text, `LETTERS` at once."""
+    begin, texts, size = 0, [], 0
+    for k, x in enumerate(batch.column(batch.num_columns - 1)):
+        text = x.as_py() or ""
+        if texts and (len(texts) == ROWS or size + len(text) > LETTERS):
+            yield batch.slice(begin, len(texts)), texts
+            begin, texts, size = k, [], 0
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield batch.slice(begin, len(texts)), texts
+
+
 def predict(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns (key, *keep, lang_pred, score, rate, n_phrases, n_symbols): score is the margin to the next language, rate the bits for each symbol."""
     short_batches(docs.sparkSession)
@@ -198,9 +215,8 @@ def predict(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "t
         weights = np.array(own.weights)[:, None]
         labels = [*own.names, "und"]
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                counts, sizes = phrases(own, alphabet, [x or "" for x in part.column(len(names)).to_pylist()])
+            for part, texts in slices(batch):
+                counts, sizes = phrases(own, alphabet, texts)
                 bits = np.concatenate([counts * weights, np.full((2, part.num_rows), np.inf)])
                 best = np.argmin(bits, axis=0)
                 least, second = np.partition(bits, 1, axis=0)[:2]
@@ -226,45 +242,55 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return predict(docs.select(key, text, held), models, key, text, ("held_out",)).drop("n_phrases", "n_symbols")
 
 
-def limits(docs: DataFrame, models: Models, key: str, text: str, lang: str) -> dict[str | None, tuple[float, float]]:
-    """Most phrases a symbol and a root of symbols that labelled documents outside the sample suggest, by language and (None) for all.
+def limits(parsed: DataFrame) -> DataFrame:
+    """Rows (language, most, root): most phrases a symbol and a root of symbols that parsed labelled documents suggest, by language and for all (null).
 
     The second is four standard deviations, by the median deviation or as of independent symbols. With it, documents need a number
     of phrases a symbol; the first is their median rate plus three times the distance from there to the 99th percentile of these
     numbers, at least 1.5 medians. A language with fewer than `FEW` documents has no limits of its own.
     """
-    parsed = predict(docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()), models, key, text).where("lang_pred <> 'und'")
-    parsed = cut(parsed.select("lang_pred", "n_phrases", "n_symbols", (F.col("n_phrases") / F.col("n_symbols")).alias("rate")))
-    counts = {r["lang_pred"]: r["count"] for r in parsed.groupBy("lang_pred").count().collect()}
-    found = {}
-    for name in [*sorted(k for k, n in counts.items() if n >= FEW), *[None] * bool(counts)]:
-        rows = parsed if name is None else parsed.where(F.col("lang_pred") == name)
-        middle = rows.agg(F.percentile_approx("rate", 0.5, 1000)).first()[0]
-        apart = rows.agg(F.percentile_approx(F.abs(F.col("rate") - middle) * F.sqrt("n_symbols"), 0.5, 1000)).first()[0]
-        root = 4 * max(1.4826 * apart, (middle * max(0.0, 1 - middle)) ** 0.5)
-        needed = (F.col("n_phrases") - 1 - root * F.sqrt("n_symbols")) / F.col("n_symbols")
-        high = rows.agg(F.percentile_approx(needed, 0.99, 1000)).first()[0]
-        found[name] = (max(middle + 3 * (high - middle), 1.5 * middle), root)
-    return found
+    rows = parsed.select("n_phrases", "n_symbols", (F.col("n_phrases") / F.col("n_symbols")).alias("rate"), F.explode(
+        F.array("lang_pred", F.lit(None).cast("string"))).alias("language"))
+    middles = cut(rows.groupBy("language").agg(F.percentile_approx("rate", 0.5, 1000).alias("middle"), F.count("*").alias("n")).where(
+        F.col("language").isNull() | (F.col("n") >= FEW)))
+    few = middles.count()
+
+    def beside(table: DataFrame) -> DataFrame:
+        renamed = table.withColumnRenamed("language", "_of")
+        return rows.join(small_side(renamed, few), F.col("language").eqNullSafe(F.col("_of"))).drop("_of", "n")
+
+    apart = F.abs(F.col("rate") - F.col("middle")) * F.sqrt("n_symbols")
+    deviation = F.greatest(F.sqrt(F.col("middle") * F.greatest(F.lit(0.0), 1 - F.col("middle"))), 1.4826 * F.percentile_approx(apart, 0.5, 1000))
+    roots = cut(beside(middles).groupBy("language", "middle").agg((4 * deviation).alias("root")))
+    needed = (F.col("n_phrases") - 1 - F.col("root") * F.sqrt("n_symbols")) / F.col("n_symbols")
+    most = F.greatest(3 * F.percentile_approx(needed, 0.99, 1000) - 2 * F.col("middle"), 1.5 * F.col("middle"))
+    return cut(beside(roots).groupBy("language", "middle", "root").agg(most.alias("most")).select("language", "most", "root"))
 
 
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most_bits: float = 8.0) -> DataFrame:
     """`docs` without texts that have no letter or need more phrases than the documents of their best language do.
 
     The limit (`limits`) comes from the labelled documents that are not learned from; it grows with the length, and by its root, as
-    short texts vary. Where there are none, texts go that need more than `most_bits` a symbol. Where nothing was learned, only texts
-    without a letter go.
+    short texts vary. A document whose label is the predicted language stays. Where there are no labelled documents outside the sample,
+    texts go that need more than `most_bits` a symbol. Where nothing was learned, only texts without a letter go.
+    Only hashes of rows (128 bits of key and text) leave the parse; rows that go are taken from the table by them.
     """
     models = fit(docs.where(crc_of(key) % 5 != 0), key, text, lang)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
     if not models.names:
         return docs.where(F.col(text).rlike(r"\p{L}"))
-    known = limits(docs.where(crc_of(key) % 5 == 0), models, key, text, lang)
-    parsed = predict(rows, models, "row", "text").where(F.col("lang_pred") != "und")
-    if not known:
-        return parsed.where(F.col("rate") <= most_bits).select("row.*")
-    most = [F.lit(x) for x in known[None]]
-    for name, own in known.items():
-        if name is not None:
-            most = [F.when(F.col("lang_pred") == name, F.lit(x)).otherwise(y) for x, y in zip(own, most)]
-    return parsed.where(F.col("n_phrases") <= 1 + most[0] * F.col("n_symbols") + most[1] * F.sqrt("n_symbols")).select("row.*")
+    names = {"__row": F.xxhash64(key, text), "__again": F.xxhash64(F.lit(1), F.col(key), F.col(text))}
+    own = docs.select(*[x.alias(c) for c, x in names.items()], F.col(lang).alias("__lang"), (crc_of(key) % 5 == 0).alias("__held"), F.col(text).alias("__whole"))
+    parsed = cut(predict(own, models, "__row", "__whole", ("__again", "__lang", "__held")))
+    good = F.col("lang_pred") != "und"
+    known = limits(parsed.where(good & F.col("__held") & F.col("__lang").isNotNull()))
+    count = known.count()
+    if count:
+        general = known.where("language is null").select(F.col("most").alias("_most"), F.col("root").alias("_root")).first()
+        limited = parsed.join(small_side(known, count), F.col("lang_pred") == F.col("language"), "left")
+        most, root = (F.coalesce(c, F.lit(general[f"_{c}"])) for c in ("most", "root"))
+        fits = F.col("n_phrases") <= 1 + most * F.col("n_symbols") + root * F.sqrt("n_symbols")
+    else:
+        limited, fits = parsed, F.col("rate") <= most_bits
+    stays = good & (fits | F.coalesce(F.col("__lang") == F.col("lang_pred"), F.lit(False)))
+    gone = cut(limited.where(~stays).select(*names).distinct())
+    return docs.withColumns(names).join(small_side(gone, gone.count()), list(names), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

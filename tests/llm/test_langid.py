@@ -115,6 +115,42 @@ def test_an_unlearned_language_of_a_learned_script_goes(spark):
     assert len(kept & set(range(400))) >= 398 and not kept & set(range(1000, 1030))
 
 
+def test_no_language_is_lost_by_null_or_equal_ids(spark):
+    rows = [(None if k % 2 else 7, prose(k, 40, letters), name) for name, letters in (("x", "etaoin"), ("y", "äoupzk"), ("z", "bcdfgq")) for k in range(30)]
+    models = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert models.names == ["x", "y", "z"] and min(models.weights) > 10
+
+
+def test_many_languages_fit_into_the_table():
+    """Entries beyond 32 bits: the table turns to wider numbers and parses alike."""
+    samples = {f"l{k:03}": [prose(k, 300 // 6, "abcdefgh")] for k in range(120)}
+    narrow = langid.Models(samples)
+    texts = [samples["l007"][0], prose(500, 60, "abcdefgh")]
+    counts = langid.phrases(narrow, narrow.alphabet(), texts)[0]
+    assert narrow.kind == np.int32 and counts[7, 0] == counts.min() <= 2 < np.sort(counts[:, 0])[1]
+    wide = langid.Models(samples)
+    wide.table, wide.kind = wide.table.astype(np.int64), np.int64
+    assert np.array_equal(langid.phrases(wide, wide.alphabet(), texts)[0], counts)
+
+
+def test_batches_are_cut_by_letters(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(langid, "LETTERS", 10)
+    monkeypatch.setattr(langid, "ROWS", 3)
+    texts = ["abc", None, "x" * 40, "a", "b", "c", "d", "12345678", "123"]
+    parts = list(langid.slices(pa.RecordBatch.from_pydict({"k": list(range(9)), "t": texts})))
+    assert [x for _, part in parts for x in part] == [x or "" for x in texts]
+    assert [p.column(0).to_pylist() for p, _ in parts] == [[0, 1], [2], [3, 4, 5], [6, 7], [8]]
+
+
+def test_labelled_documents_of_their_language_stay(spark):
+    rows = [(k, prose(k, 60, "etaoin"), "x") for k in range(100)] + [(k, prose(k, 60, "äoupzk"), "y") for k in range(100, 200)]
+    odd = [(900, " ".join(prose(k, 5, "etaoinzkq") for k in range(20)), "x"), (901, prose(3, 100, "qwvjbc"), None)]
+    frame = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.keep_known(frame).collect()}
+    assert kept >= set(range(200)) | {900} and 901 not in kept
+
+
 def test_nothing_learned(documents, no_documents):
     unlabelled = documents.withColumn("lang", F.lit(None).cast("string"))
     assert {(r["lang_pred"], r["score"]) for r in langid.identify(unlabelled).collect()} == {("und", 0.0)}
