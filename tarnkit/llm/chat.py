@@ -5,10 +5,11 @@ turns of the role `system` stay the system's in every view. The mask lists the c
 assistant's turns. All of it is DataFrame functions.
 
 A view of a dialogue is one row for each part of `PART` turn numbers. A part that holds more than `MOST` turns (repeated turn
-numbers) is cut by turn number, and a turn number of more than `MOST` turns by a hash, so no row gathers an unbounded group. Parts
+numbers) is cut by turn number, and a turn number of more than `MOST` turns by a hash of turns and of their copies' chunks, so no row
+gathers an unbounded group. Parts
 in the order (part, slice, share) make up the dialogue; mask positions count from the start of their row.
 
-Defined results: rows equal in conversation, turn, role and text are one turn. A null text is empty, a null role is the participant
+Defined results: rows equal in conversation, turn, role and text are turns of their own, one after the other. A null text is empty, a null role is the participant
 `unknown`, a null turn number comes after all others, a null conversation is one conversation. Among equal turn numbers role,
 then text decide. Marks inside a text are broken by a space, so that no text can end its turn. A conversation of system turns
 alone has no view. Other columns of the input are ignored.
@@ -26,25 +27,31 @@ PLACE = ("part", "slice", "share")
 
 
 def clean_turns(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Rows (conversation, turn, role, text), each once, without nulls in role and text and without marks in the text."""
-    return turns.select(
+    """Rows (conversation, turn, role, text, copies, chunk) without nulls in role and text and without marks in the text.
+
+    Equal turns are one row with their number, or several of at most `MOST` turns each (chunks).
+    """
+    rows = turns.select(
         F.col(conversation).alias("conversation"), F.col(turn).cast("long").alias("turn"), F.coalesce(role, F.lit(UNKNOWN)).alias("role"),
-        F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(BROKEN)).alias("text")).distinct()
+        F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(BROKEN)).alias("text"))
+    counted = rows.groupBy("conversation", "turn", "role", "text").agg(F.count("*").alias("all"))
+    chunks = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(all - 1) div {MOST}"))))
+    return chunks.withColumn("copies", F.least(F.lit(MOST), F.col("all") - F.col("chunk") * MOST).cast("int")).drop("all")
 
 
 def placed(turns: DataFrame) -> DataFrame:
     """Turns with part, slice and share. Only parts and turn numbers with too many turns get a slice or a share other than 0."""
     last = F.lit((1 << 63) - 1)
     rows = turns.withColumn("part", F.coalesce(F.floor(F.col("turn") / PART), last))
-    parts = rows.groupBy("conversation", "part").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select(
+    parts = rows.groupBy("conversation", "part").agg(F.sum("copies").alias("n")).where(F.col("n") > MOST).select(
         F.col("conversation").alias("c"), F.col("part").alias("p"), F.lit(True).alias("large"))
     rows = rows.join(parts, F.col("conversation").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").drop("c", "p")
     slice_ = F.when(F.col("large"), F.coalesce(F.col("turn") - F.col("part") * PART + 1, F.lit(1))).otherwise(0)
     rows = rows.withColumn("slice", slice_.cast("long")).drop("large")
-    slices = rows.where("slice > 0").groupBy("conversation", "part", "slice").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select(
+    slices = rows.where("slice > 0").groupBy("conversation", "part", "slice").agg(F.sum("copies").alias("n")).where(F.col("n") > MOST).select(
         F.col("conversation").alias("c"), F.col("part").alias("p"), F.col("slice").alias("s"), F.ceil(F.col("n") / MOST * 2).alias("shares"))
     rows = rows.join(slices, F.col("conversation").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("slice") == F.col("s")), "left")
-    share = F.when(F.col("shares").isNotNull(), F.pmod(F.xxhash64("role", "text"), F.col("shares"))).otherwise(0)
+    share = F.when(F.col("shares").isNotNull(), F.pmod(F.xxhash64("role", "text", "chunk"), F.col("shares"))).otherwise(0)
     return rows.withColumn("share", share.cast("long")).drop("c", "p", "s", "shares")
 
 
@@ -76,7 +83,8 @@ def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     """Rows (conversation, speaker, part, slice, share, n_turns, text, mask) of every participant's view."""
     clean = clean_turns(turns, conversation, turn, role, text)
     speakers = clean.where(F.col("role") != SYSTEM).select(F.col("conversation").alias("c"), F.col("role").alias("speaker")).distinct()
-    parts = placed(clean).groupBy("conversation", *PLACE).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    parts = placed(clean).groupBy("conversation", *PLACE).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "copies"))).alias("turns"))
+    parts = parts.withColumn("turns", F.flatten(F.transform("turns", lambda x: F.array_repeat(x, x["copies"]))))
     views = parts.join(speakers, F.col("conversation").eqNullSafe(F.col("c")))
     speaker = F.col("speaker")
     rendered = F.array_join(F.transform("turns", lambda x: F.concat(head(x, speaker), body(x))), "")

@@ -87,7 +87,7 @@ QUERIES = {
 }
 CHECKS: dict[str, str] = {
     "op2_chat": """
-WITH clean AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role,
+WITH clean AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
     replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations),
   speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM clean WHERE role <> 'system'),
   views AS (SELECT c.conv_id, speaker, CAST(coalesce(floor(turn / 256), 9223372036854775807) AS BIGINT) AS part, turn, role, text,
@@ -98,7 +98,7 @@ WITH clean AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role,
       ROWS UNBOUNDED PRECEDING) AS stop FROM views)
 SELECT conv_id, speaker, part, CAST(0 AS BIGINT) AS slice, CAST(0 AS BIGINT) AS share, count(*) AS n_turns,
   string_agg(head || body, '' ORDER BY turn, role, text) AS text,
-  coalesce(string_agg(CASE WHEN role = speaker THEN (stop - length(body)) || '-' || stop END, ',' ORDER BY turn, role, text), '') AS mask
+  coalesce(string_agg(CASE WHEN role = speaker THEN (stop - length(body)) || '-' || stop END, ',' ORDER BY turn, role, text, stop), '') AS mask
 FROM laid GROUP BY conv_id, speaker, part""",
     "op6_warc": """
 WITH rows AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,

@@ -6,7 +6,7 @@ from tarnkit.llm import chat
 
 
 def plain_views(rows):
-    clean = {(c, t, r or "unknown", (x or "").replace("<|im_", "<| im_")) for c, t, r, x in rows}
+    clean = [(c, t, r or "unknown", (x or "").replace("<|im_", "<| im_")) for c, t, r, x in rows]
     out = {}
     for c, speaker in {(c, r) for c, _, r, _ in clean if r != "system"}:
         text, mask = "", []
@@ -60,6 +60,19 @@ def test_many_turns_of_one_number(spark, monkeypatch):
     assert all(text.count(f"\nx{k}<|im_end|>") == 1 for k in range(300)) and all(text.count(f"\ny{k}<|im_end|>") == 1 for k in range(50))
 
 
+def test_equal_turns_are_all_kept(spark, monkeypatch):
+    """Two real answers of one speaker without a turn number, and more copies of one turn than a row may hold."""
+    rows = [(1, None, "ann", "ok"), (1, None, "ann", "ok"), (1, 0, "bob", "so?"), (2, 3, "eve", "yes"), (2, 3, "eve", "yes"), (2, 3, "eve", "yes")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert views(frame) == plain_views(rows)
+    assert {r["n_turns"] for r in chat.rotate(frame).collect()} == {1, 2, 3}
+    monkeypatch.setattr(chat, "MOST", 10)
+    many = spark.createDataFrame([(1, 0, "a", "same")] * 100 + [(1, 0, "b", "other")], "conv_id long, turn long, role string, text string")
+    found = chat.rotate(many).where("speaker = 'a'").collect()
+    assert sum(r["n_turns"] for r in found) == 101 and "".join(r["text"] for r in found).count("assistant\nsame<|im_end|>") == 100
+    assert len(found) > 3
+
+
 def test_no_python_and_no_rows(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     found = chat.rotate(empty)
