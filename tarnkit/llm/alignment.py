@@ -10,8 +10,7 @@ Links are counted by documents in three steps: each task counts within parts of
 corpus, and each part asks for the sums of its own pairs. Texts are encoded once; their pairs are stored in between. Sums are broadcast
 only if they are counted to be few.
 
-A is run by `tiktoken` on the JSON file's ids as ranks; that gives the file's merges where each of its tokens encodes to itself, which the tests
-check. Words between spaces are remembered with their ids in B: no piece crosses a cut at a space that follows something else than white
+A is run by ranks (`ranks`). Words between spaces are remembered with their ids in B: no piece crosses a cut at a space that follows something else than white
 space, since none has a space after another character. A text with the sign that stands for a space in pieces is encoded whole.
 
 Defined results: a text that is null or empty, or that one of the vocabularies does not give back byte by byte, has no tokens: all numbers are
@@ -21,7 +20,6 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-import json
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
@@ -29,12 +27,12 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnkit.llm.bpe import CUT, DOUBLE_SPACE, MEMORY_LETTERS, SPLIT, byte_letters, read_source
+from tarnkit.llm.bpe import CUT, DOUBLE_SPACE, MEMORY_LETTERS, read_source
+from tarnkit.llm.ranks import byte_tokens, encoding
 from tarnkit.llm.runs import spread
 from tarnkit.llm.tables import cut, extended, short_batches, small_side
 
@@ -44,21 +42,12 @@ PART, ENTRIES = 8 << 20, 250_000
 PIECE_SPACE = "▁"
 
 
-def byte_tokens(source: str) -> list[bytes]:
-    """Bytes of each id of a byte-level vocabulary in a JSON file's text, without its special tokens."""
-    letters, ids = byte_letters(), json.loads(source)["model"]["vocab"]
-    out = [b""] * (max(ids.values()) + 1)
-    for token, k in ids.items():
-        out[k] = bytes(map(letters.get, token)) if all(c in letters for c in token) else b""
-    return out
-
-
 class Tokenizers:
     """Both vocabularies: ids of texts, and bytes and decimal strings of ids."""
 
     def __init__(self, source: str, model: bytes):
         self.a_bytes, self.b = byte_tokens(source), sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.a = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks={x: k for k, x in enumerate(self.a_bytes) if x}, special_tokens={})
+        self.a = encoding(source, special=False)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace(PIECE_SPACE, " ").encode() for k, x in enumerate(pieces)]
         self.lengths = [np.array([len(x) for x in xs], np.int32) for xs in (self.a_bytes, self.b_bytes)]

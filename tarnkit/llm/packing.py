@@ -12,6 +12,7 @@ repeated rows are packed once each. Tokens are never dropped. Other columns of t
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -21,32 +22,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnkit.llm.bpe import encode
-from tarnkit.llm.tables import cut, extended
+from tarnkit.llm.bpe import read_source
+from tarnkit.llm.ranks import loaded
+from tarnkit.llm.tables import cut, extended, short_batches
 
 #: Pieces that one task packs; more groups, not larger ones, serve more documents.
 GROUP_PIECES = 16_384
 
 
-def cut_pieces(frame: DataFrame, size: int, end_id: int, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """Rows (key, piece, start, length, ids_crc32) of documents with `end_id` after their ids, no piece longer than `size`."""
+def encoded_pieces(docs: DataFrame, path: str, size: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, piece, start, length, ids_crc32) of whole texts' ids with `end_id` after them, no piece longer than `size`.
+
+    Ids go from the text to their digests in one worker; `path` is a JSON file of the byte-level kind.
+    """
+    short_batches(docs.sparkSession)
+    source = docs.sparkSession.sparkContext.broadcast(read_source(path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = loaded(source.value, special=True)
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for k, found in zip(batch.column(0), batch.column(1)):
-                own = found.values.to_numpy(zero_copy_only=False) if found.is_valid else np.zeros(0, "<i4")
-                own = np.append(own, end_id).astype("<u4")
-                first = (len(own) - 1) % size + 1
-                bounds = [0, *range(first, len(own) + 1, size)]
-                for piece, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                    for column, value in zip(rows, (k.as_py(), piece, a, b - a, crc32(own[a:b].tobytes()))):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(rows, (batch.schema.field(0).type, pa.int32(), *[pa.int64()] * 3))],
-                names=[key, "piece", "start", "length", "ids_crc32"])
-
-    return frame.select(key, ids).mapInArrow(work, extended(frame, [key], "piece int, start long, length long, ids_crc32 long"))
+            rows: list[tuple] = []
+            for k, x in enumerate(batch.column(1)):
+                ids = array("I", words.encode(x.as_py() or "", allowed_special="all", disallowed_special=()))
+                ids.append(end_id)
+                first = (len(ids) - 1) % size + 1
+                bounds = [0, *range(first, len(ids) + 1, size)]
+                rows += [(k, piece, a, b - a, crc32(ids[a:b])) for piece, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+            if rows:
+                row, *columns = zip(*rows)
+                kinds = (pa.int32(), *[pa.int64()] * 3)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row, pa.int32())), *[pa.array(x, t) for x, t in zip(columns, kinds)]],
+                    names=[key, "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(key, text).mapInArrow(work, extended(docs, [key], "piece int, start long, length long, ids_crc32 long"))
 
 
 def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,5 +100,5 @@ def pack(pieces: DataFrame, size: int, group_pieces: int = GROUP_PIECES) -> Data
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents."""
-    pieces = cut(cut_pieces(encode(docs, path), size, end_id))
+    pieces = cut(encoded_pieces(docs, path, size, end_id))
     return pack(pieces, size)

@@ -1,12 +1,15 @@
 """Packing: whole documents, no gaps, full pieces, few sequences."""
 
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tarnkit.llm import packing
+from tarnkit.llm import packing, ranks
+from tarnkit.llm.bpe import read_source
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -40,6 +43,46 @@ def test_documents(documents):
     assert sorted(found, key=str) == sorted(crcs, key=str)
 
 
+def test_texts_encode_as_the_library_does():
+    library, own = Tokenizer.from_file(PATH), ranks.encoding(read_source(PATH), special=True)
+    library.no_truncation()
+    draw = random.Random(3)
+    texts = ["".join(draw.choice(["a", "b", " ", "  ", "\n", "\t", "é", "日", "\u3000", "\xa0", "\0", "'ll", ".", "<|endoftext|>", "<|", "12"])
+                     for _ in range(draw.randint(0, 30))) for _ in range(3000)]
+    for text in [*texts, "x" * 5000, "<|endoftext|>" * 3]:
+        assert own.encode(text, allowed_special="all", disallowed_special=()) == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def plain_place(lengths, size):
+    """For each length in falling order every choice is tried; the sum of squares over all gaps of open sequences decides."""
+    gaps, out = [], {}
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        best = None
+        for gap in sorted({g for g in gaps if g >= lengths[k]}):
+            after = list(gaps)
+            after[after.index(gap)] -= lengths[k]
+            total = sum(n * n for g, n in Counter(after).items() if g)
+            best = min(best or (total, gap), (total, gap))
+        if best is None:
+            gaps.append(size - lengths[k])
+            out[k] = 0
+        else:
+            gaps[gaps.index(best[1])] -= lengths[k]
+            out[k] = size - best[1]
+    return len(gaps), sorted(gaps), [out[k] for k in range(len(lengths))]
+
+
+def test_the_gap_with_the_smallest_sum_of_squares_is_taken():
+    draw = np.random.default_rng(8)
+    for _ in range(60):
+        size = int(draw.integers(5, 30))
+        lengths = draw.integers(1, size + 1, int(draw.integers(0, 40)))
+        sequence, offset = packing.place(lengths, size)
+        count, gaps, offsets = plain_place(lengths.tolist(), size)
+        filled = np.bincount(sequence, lengths, minlength=count).astype(int)
+        assert len(filled) == count and sorted((size - filled).tolist()) == gaps and offset.tolist() == offsets
+
+
 def test_several_groups_and_few_sequences(spark):
     draw = np.random.default_rng(3)
     lengths = draw.integers(1, 400, 3000)
