@@ -37,7 +37,7 @@ from tarnkit.llm.runs import spread
 from tarnkit.llm.tables import cut, extended, short_batches, small_side
 
 #: Letters of text whose pairs are counted and answered together; entries of remembered words.
-PART, ENTRIES = 8 << 20, 250_000
+PART, ENTRIES = 8 << 20, 400_000
 #: Fixed value: the sign that the pieces have for a space.
 PIECE_SPACE = "▁"
 
@@ -63,10 +63,12 @@ class Tokenizers:
         """Ids in B of words with a space before each, as 32-bit numbers; the last `ENTRIES` words at least are remembered."""
         found = list(map(self.recent.get, words))
         if None in found:
-            known = {x: self.older.get(x) for x, y in zip(words, found) if y is None}
+            places = [k for k, x in enumerate(found) if x is None]
+            known = {words[k]: self.older.get(words[k]) for k in places}
             new = [x for x, y in known.items() if y is None and x]
             known |= {x: array("i", y).tobytes() for x, y in zip(new, self.b.encode(new, num_threads=1))} | {"": self.space}
-            found = [known[x] if y is None else y for x, y in zip(words, found)]
+            for k in places:
+                found[k] = known[words[k]]
             self.recent.update((x, y) for x, y in known.items() if len(x) <= MEMORY_LETTERS)
             if len(self.recent) >= ENTRIES:
                 self.recent, self.older = {}, self.recent
