@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnkit.llm.tables import cut, extended, small_side
+from tarnkit.llm.tables import cut, extended, small_side, unused
 
 WORDS = re.compile("[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -169,7 +169,13 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tupl
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """`docs` without the rows that the rules reject. Rows equal in key, text and groups share a verdict."""
-    marked = docs.withColumn("__row", F.xxhash64(key, text, *groups))
-    good = judge(marked.select("__row", text, *groups), "__row", text, groups).where("kept").select("__row").distinct()
-    return marked.join(good, "__row", "left_semi").select(*docs.columns)
+    """`docs` without the rows that the rules reject. Rows equal in key, text and groups share a verdict.
+
+    Rows are told apart by 128 bits of a hash of key, text and groups; the rejected ones are taken from the table by them.
+    """
+    row, again = unused(docs, "row", "again")
+    marked = docs.withColumns({row: F.xxhash64(key, text, *groups), again: F.xxhash64(F.lit(1), *[F.col(c) for c in (key, text, *groups)])})
+    place = F.struct(F.col(row).alias("row"), F.col(again).alias("again"))
+    judged = judge(marked.select(place.alias("place"), F.col(text).alias("text"), *groups), "place", "text", groups)
+    gone = cut(judged.where("not kept").select(F.col("place.row").alias(row), F.col("place.again").alias(again)).distinct())
+    return marked.join(small_side(gone, gone.count()), [row, again], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

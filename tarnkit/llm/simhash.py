@@ -11,8 +11,7 @@ text of fewer words than a shingle counts as one shingle of all its words; one w
 like any other. Each row is a document of its own, repeated rows too. A row without an id gets a fingerprint and joins a
 group, but is never its smallest id: a group of such rows alone has a null component. Other columns of the input are ignored.
 
-`keep_one` compares texts by their sets of shingles. Texts with equal sets are one node; nodes that meet in a candidate pair are
-linked only if their exact similarity suffices. Texts without words are copies of each other.
+`keep_one` keeps one document of each group. Texts without words have one fingerprint and are copies of each other.
 """
 
 from __future__ import annotations
@@ -28,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnkit.llm.components import components
-from tarnkit.llm.tables import cut, extended
+from tarnkit.llm.tables import cut, extended, small_side, unused
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 2048
-BANDS, ROWS = 32, 6
-FACTORS, MASKS = np.random.default_rng(8).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64) | np.array([[1], [0]], np.uint64)
 
 
 def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
@@ -167,165 +164,27 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     return prints.join(named, "print").select(key, "print", "component_id")
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """The distinct shingle hashes, sorted."""
-    return np.unique(shingle_hashes(text, width))
-
-
-def band_values(shingles: np.ndarray) -> np.ndarray:
-    """One value for each of `BANDS` bands: a hash of the band number and of its `ROWS` smallest permuted shingles; none without shingles."""
-    if not len(shingles):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for k in range(0, len(shingles), 256):
-        permuted = shingles[None, k:k + 256] * FACTORS[:, None]
-        permuted ^= MASKS[:, None]
-        np.minimum(least, permuted.min(axis=1), out=least)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for one in least.reshape(BANDS, ROWS).T:
-        out = (out ^ one) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
-
-
 def lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
-def traits(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Rows (key, node, size, print, bands): a hash of the text's set of shingles, its size, its fingerprint and its band values."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(x.as_py(), width) for x in batch.column(1)]
-            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
-            prints = np.array([fingerprint(x) for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes), pa.array(list(map(len, found)), pa.int64()), pa.array(prints), lists(list(map(band_values, found)))],
-                names=[key, "node", "size", "print", "bands"])
-
-    return docs.select(key, text).mapInArrow(work, extended(docs, [key], "node long, size long, print long, bands array<long>"))
-
-
-def whole_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of sorted rows, cut between entries (the first column), with each row's rank in its entry and the entry's rows at the end."""
-    held = None
-    for batch in chain((x for x in batches if x.num_rows), [None]):
-        if batch is None:
-            now = held
-        else:
-            now = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            last = now[0] == now[0][-1]
-            held, now = [x[last] for x in now], [x[~last] for x in now]
-        if now is not None and len(now[0]):
-            starts = np.flatnonzero(np.append(True, np.diff(now[0]) != 0))
-            sizes = np.diff(np.append(starts, len(now[0])))
-            yield *now, np.arange(len(now[0])) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
-
-
-def met_in_bands(nodes: DataFrame) -> DataFrame:
-    """Rows (entry, node, size, n): the nodes that share a band value with others, and how many share it."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for entry, node, size, _, n in whole_entries(batches):
-            kept = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (entry, node, size, n)], names=["entry", "node", "size", "n"])
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
+    """`docs` with one row of each of the `groups`: that with the smallest key (null keys last); of rows equal in key and text any one of them.
 
-    rows = nodes.select(F.explode("bands").alias("entry"), "node", "size")
-    return rows.repartition("entry").sortWithinPartitions("entry", "node").mapInArrow(work, "entry long, node long, size long, n long")
-
-
-def entry_candidates(met: DataFrame, low: int, high: int, least: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of an entry's nodes, the first of rank `low` to `high` - 1, that are not joined and whose sizes allow the similarity."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, node, size, root, rank, n in whole_entries(batches):
-            for r in range(low, min(high, int(n.max()) - 1)):
-                other = np.flatnonzero(rank > r)
-                one = other - rank[other] + r
-                small, large = np.minimum(size[one], size[other]), np.maximum(size[one], size[other])
-                open_ = (root[one] != root[other]) & (least[1] * small >= least[0] * large)
-                if open_.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(node[one[open_]]), pa.array(node[other[open_]])], names=["a", "b"])
-
-    rows = met.select("entry", "node", "size", "root").repartition("entry").sortWithinPartitions("entry", "node")
-    return rows.mapInArrow(work, "a long, b long").distinct()
-
-
-def print_candidates(nodes: DataFrame, bits: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose fingerprints deletion variants link, and of nodes of one fingerprint."""
-    first = cut(nodes.groupBy("print").agg(F.min("node").alias("first")))
-    linked = links(first.select("print"), bits)
-    far = linked.join(first.select(F.col("print").alias("a"), F.col("first").alias("x")), "a").join(
-        first.select(F.col("print").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = nodes.select("node", "print").join(first, "print").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    return far.unionByName(same)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs whose sets (node, shingles) have a Jaccard similarity of `least` (numerator, denominator) or more."""
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b").join(
-        sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(least[1] * shared >= least[0] * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
-
-
-def near_groups(docs: DataFrame, row: str, key: str, text: str, width: int, bits: int, least: tuple[int, int]) -> DataFrame:
-    """Rows (place, component): each row's (key, row) and the smallest of those that links of similarity `least` reach from it.
-
-    `row` is a hash of key and text. Candidates are verified before they link. An entry's nodes are compared with its first one,
-    then, as far as they are not joined by then, with more and more of the others until all pairs are joined or compared.
-    """
-    places = docs.select(F.struct(key, row).alias("place"), text)
-    found = cut(traits(places, "place", text, width))
-    nodes = cut(found.groupBy("node").agg(
-        F.min("place").alias("first"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("bands").alias("bands")))
-    met = cut(met_in_bands(nodes))
-    pairs = cut(print_candidates(nodes, bits))
-    wanted = met.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(wanted, "node", "left_semi").select(F.col(f"first.{row}").alias(row)).distinct()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arrays = [shingle_set(x.as_py(), width) for x in batch.column(0)]
-            own = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in arrays], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), lists([x.view(np.int64) for x in arrays])], names=["node", "shingles"])
-
-    texts = docs.select(row, text).join(wanted, row, "left_semi").dropDuplicates([row]).select(text)
-    sets = cut(texts.mapInArrow(work, "node long, shingles array<long>"))
-    roots, joined, low, high = nodes.select("node", F.col("node").alias("root")), None, 0, 1
-    while True:
-        rows = met.join(roots, "node", "left").select("entry", "node", "size", "n", F.coalesce("root", "node").alias("root"))
-        mixed = rows.where(F.col("n") > low + 1).groupBy("entry").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        met = cut(rows.join(mixed.select("entry"), "entry", "left_semi"))
-        if met.isEmpty() and low:
-            break
-        near = entry_candidates(met, low, high, least)
-        good = verified(near if low else near.unionByName(pairs).distinct(), sets, least)
-        joined = cut(good if joined is None else joined.unionByName(good))
-        roots, met = components(joined), met.drop("root")
-        low, high = high, 8 * high
-    rooted = cut(nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "component")
-    return found.join(named, "node").select("place", "component")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, bits: int = 5,
-             least: tuple[int, int] = (4, 5)) -> DataFrame:
-    """`docs` with one row of each group: that with the smallest key; of rows equal in key and text any one of them.
-
-    Texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which is counted for each
-    candidate. Candidates are texts whose fingerprints deletion variants link at five or fewer differing bits, and texts that
-    agree in one of `BANDS` bands of `ROWS` min-wise hashes: of pairs at exactly 0.8 all but 6 in 100,000 do.
+    Rows are told apart by their key and 128 bits of a hash of key and text; only these leave the texts.
     """
-    marked = docs.withColumn("__row", F.xxhash64(key, text))
-    found = near_groups(marked, "__row", key, text, width, bits, least)
-    kept = cut(found.where("place <=> component").groupBy(F.col("place.__row").alias("__row")).agg(F.count("*").alias("rows")))
-    single = marked.join(kept.where("rows = 1"), "__row", "left_semi")
-    repeated = marked.join(kept.where("rows > 1"), "__row", "left_semi").dropDuplicates(["__row"])
-    return single.unionByName(repeated).select(*docs.columns)
+    row, again = unused(docs, "row", "again")
+    marked = docs.withColumns({row: F.xxhash64(key, text), again: F.xxhash64(F.lit(1), F.col(key), F.col(text))})
+    place = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), F.col(row).alias("row"), F.col(again).alias("again"))
+    found = groups(marked.select(place.alias("place"), F.col(text).alias("text")), "place", "text", width, bits)
+    placed = cut(found.groupBy("place").agg(F.first("component_id").alias("component_id"), F.count("*").alias("rows")))
+    names = [F.col("place.row").alias(row), F.col("place.again").alias(again)]
+    twice = placed.where("place = component_id and rows > 1").select(*names)
+    others = placed.where("place <> component_id or rows > 1").select(*names)
+    single = marked.join(small_side(others, others.count()), [row, again], "left_anti")
+    repeated = marked.join(small_side(twice, twice.count()), [row, again], "left_semi").dropDuplicates([row, again])
+    return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hex_print(column: str = "print"):

@@ -61,3 +61,11 @@ def extended(frame: DataFrame, columns: list[str], more: str) -> StructType:
 def small_side(frame: DataFrame, rows: int) -> DataFrame:
     """The frame, marked for broadcast if its counted rows are few enough; else joins shuffle."""
     return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
+
+
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as no column of the frame has."""
+    lead = "__"
+    while any(c.lower() in {f"{lead}{n}".lower() for n in names} for c in frame.columns):
+        lead += "_"
+    return [f"{lead}{n}" for n in names]

@@ -91,3 +91,13 @@ def test_pools(spark):
 def test_no_documents(no_documents):
     assert quality.judge(no_documents).count() == 0
     assert quality.keep_good(no_documents).columns == no_documents.columns
+
+
+def test_stage_keeps_what_the_verdict_keeps_and_clashing_columns(spark, documents):
+    docs = documents.withColumn("__row", F.lit(5)).withColumn("__again", F.lit("x"))
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    verdicts = [r["doc_id"] for r in quality.judge(documents).where("kept").collect()]
+    found = kept.collect()
+    assert sorted(map(str, (r["doc_id"] for r in found))) == sorted(map(str, verdicts))
+    assert all(r["__row"] == 5 and r["__again"] == "x" for r in found)

@@ -90,32 +90,34 @@ def test_keep_one(documents):
     assert {4, 8, 10, 12} <= set(kept)
 
 
-def similarity(a, b):
-    a, b = (set(simhash.shingle_set(x, 5).tolist()) for x in (a, b))
-    return len(a & b) / max(1, len(a | b))
-
-
-def test_keep_one_links_at_four_fifths_and_not_below(spark):
-    draw, rows, low, high = np.random.default_rng(7), [], 0, 0
-    for k in range(200):
-        words = [f"w{x}" for x in draw.integers(0, 5000, 250)]
-        changed = list(words)
-        for at in draw.choice(48, 5 + k % 4, replace=False):
-            changed[int(at) * 5 + 2] = f"new{at}"
-        one, two = " ".join(words), " ".join(changed)
-        low, high = low + (similarity(one, two) < 0.8), high + (0.8 <= similarity(one, two) < 0.85)
-        rows += [(2 * k, one), (2 * k + 1, two)]
-    assert low > 20 and high > 20
-    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for k in range(200):
-        assert 2 * k in kept and (2 * k + 1 in kept) == (similarity(rows[2 * k][1], rows[2 * k + 1][1]) < 0.8), k
-
-
-def test_entries_of_several_groups_are_compared_to_the_end(spark):
-    rows = [(7, node, 10, 40, node) for node in range(40)]
-    met = spark.createDataFrame(rows, "entry long, node long, size long, n long, root long")
-    found = [(r["a"], r["b"]) for low, high in ((0, 1), (1, 8), (8, 64)) for r in simhash.entry_candidates(met, low, high, (4, 5)).collect()]
-    assert sorted(found) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+def plain_kept(rows):
+    """Of each group of linked (key, text) the row with the smallest key, null keys last; equal rows once."""
+    roots = plain_roots([plain_print(x) for _, x in rows], 3)
+    least = {r: min(((k is None, k or 0) for (k, _), q in zip(rows, roots) if q == r)) for r in set(roots)}
+    return least, roots
+
+
+def test_keep_one_against_brute_force(spark, documents):
+    draw, rows = np.random.default_rng(7), [(r["doc_id"], r["text"]) for r in documents.collect()]
+    for k in range(60):
+        words = [f"w{x}" for x in draw.integers(0, 5000, 300)]
+        for copy in range(3):
+            changed = [f"new{x}" if draw.random() < 0.006 * copy else x for x in words]
+            rows.append((1000 + 10 * k + (copy + k) % 3, " ".join(changed)))
+    least, roots = plain_kept(rows)
+    assert 20 < len(set(roots)) < len(rows) - 60
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(least.values())
+    assert {(r["doc_id"], r["text"]) for r in kept} <= set(rows)
+
+
+def test_keep_one_leaves_columns_with_clashing_names(spark):
+    rows = [(1, "one two three four", 7, "x"), (1, "one two three four", 8, "y"), (2, "one two three four", 9, None), (3, None, 10, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row long, ___AGAIN string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = sorted(map(tuple, kept.collect()))
+    assert len(found) == 2 and found[0] in rows[:2] and found[1] == rows[3]
 
 
 def test_components_of_chains_and_loops(spark):
