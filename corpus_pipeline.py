@@ -44,7 +44,7 @@ STAGES = [
     ("repeated_passages", repeated_passages),
     ("packing", sequences),
 ]
-#: SQL expresses no stage here; tests hold the pipeline against brute-force versions.
+#: SQL expresses no stage here; tests hold the stages' operators, not the pipeline as a whole, against plain versions.
 ORACLE_SQL = None
 
 
