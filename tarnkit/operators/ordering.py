@@ -12,6 +12,9 @@ pieces of its group arrives as extra rows unioned into it:
 
 Both give exactly what the plain window gives. Headers and carried rows are bounded by
 groups x pieces (x span) and are found with map-side aggregation or a pre-shuffle group limit.
+
+The order column is a number, a date, a timestamp or text (in byte order). Split points of text are values of a
+random sample of rows; a row finds its piece by binary search among them.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
@@ -30,6 +33,7 @@ from tarnkit.operators.joins import equi_join
 from tarnkit.session import shuffle_pieces
 
 _ORDER, _PIECE, _PART, _KIND = "_order", "_piece", "_part", "_kind"
+_SAMPLED = 8  # sampled texts for each piece
 
 
 def _is_ordinal(df: DataFrame, name: str) -> bool:
@@ -37,12 +41,25 @@ def _is_ordinal(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, kinds)
 
 
-def order_number(df: DataFrame, name: str, descending: bool = False) -> Column:
-    """An increasing number for a numeric, date or timestamp column."""
+def _is_text(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.StringType)
+
+
+def order_number(df: DataFrame, name: str, descending: bool = False, absolute: bool = False) -> Column:
+    """An increasing number for a numeric, date or timestamp column; text as it is, ``descending`` or not.
+
+    ``absolute`` orders numbers by their distance from zero.
+    """
     kind = df.schema[name].dataType
     column = F.col(name)
+    if absolute and not isinstance(kind, T.NumericType):
+        raise TypeError(f"{name} must be a number to be ordered by absolute value")
+    if absolute:
+        column = F.abs(column)
+    if _is_text(df, name):
+        return column
     if not _is_ordinal(df, name):
-        raise TypeError(f"{name} must be a number, date or timestamp to be cut into pieces")
+        raise TypeError(f"{name} must be a number, date, timestamp or text to be cut into pieces")
     if isinstance(kind, T.DateType):
         column = F.unix_date(column)
     elif isinstance(kind, T.TimestampType):
@@ -54,32 +71,68 @@ def order_number(df: DataFrame, name: str, descending: bool = False) -> Column:
     return -column if descending else column
 
 
-def quantile_splits(df: DataFrame, column: str, pieces: int) -> tuple[list[float], dict[float, int]]:
-    """Split points holding about equal row counts, and the values too frequent to share a piece with the
-    number of pieces each of them fills. One scan of one column, which returns at most ``pieces`` numbers.
+def quantile_splits(df: DataFrame, column: str, pieces: int) -> tuple[list, dict, int]:
+    """Split points holding about equal row counts, the values too frequent to share a piece with the number of
+    pieces each of them fills, and the number of pieces that missing values fill (0: they need none of their own).
+
+    One scan of one column, which returns at most ``pieces`` numbers, or ``8 * pieces`` texts.
     """
-    probabilities = [i / pieces for i in range(1, pieces)]
-    sketch = F.percentile_approx(F.col(column).cast("double"), probabilities, 8 * pieces)
-    points = df.agg(sketch.alias("points")).first()["points"] or []
-    points = [v for v in points if math.isfinite(v)]
+    missing = F.count_if(F.col(column).isNull()).alias("missing")
+    rows = F.count(F.lit(1)).alias("rows")
+    if _is_text(df, column):
+        counts = df.agg(missing, rows).first()
+        found = df.select(column).filter(F.col(column).isNotNull()).orderBy(F.rand(1)).limit(_SAMPLED * pieces).collect()
+        sample = sorted(r[0] for r in found)
+        points = [sample[i * len(sample) // pieces] for i in range(1, pieces)] if sample else []
+    else:
+        probabilities = [i / pieces for i in range(1, pieces)]
+        sketch = F.percentile_approx(F.col(column).cast("double"), probabilities, 8 * pieces)
+        counts = df.agg(sketch.alias("points"), missing, rows).first()
+        points = [v for v in counts["points"] or [] if math.isfinite(v)]
     hot = {v: n + 1 for v, n in Counter(points).items() if n > 1}
-    return sorted({*points, *(math.nextafter(v, math.inf) for v in hot)}), hot
+    return sorted({*points, *map(_next, hot)}), hot, counts["missing"] * pieces // max(counts["rows"], 1)
+
 
+def _next(value: float | str) -> float | str:
+    """The smallest value after this one."""
+    return value + "\0" if isinstance(value, str) else math.nextafter(value, math.inf)
 
-def _bucketed(df: DataFrame, column: str, output: str, splits: Sequence[float]) -> DataFrame:
+
+def _splits_up_to(column: Column, splits: Sequence[str]) -> Column:
+    """How many of the sorted texts are not above the value, by binary search in one array."""
+    steps = [1 << i for i in reversed(range(len(splits).bit_length()))]
+    texts = F.array(*[F.lit(t) for t in splits])
+
+    def step(at: Column, size: Column) -> Column:
+        return F.when(F.get(texts, at + size - 1) <= column, at + size).otherwise(at)  # NULL beyond the last: not taken
+
+    return F.aggregate(F.array(*[F.lit(n) for n in steps]), F.lit(0), step)
+
+
+def _bucketed(df: DataFrame, column: str, output: str, splits: Sequence, descending: bool = False) -> DataFrame:
+    """Number of the piece: 0 before the first split; len(splits) + 2 for missing values, which come last.
+
+    Text pieces are counted backwards if ``descending`` (numbers are turned before).
+    """
     if not splits:
-        return df.withColumn(output, F.lit(0.0))
+        return df.withColumn(output, F.when(F.col(column).isNull(), 2.0).otherwise(0.0))
+    last = F.lit(len(splits) + 2.0)
+    if _is_text(df, column):
+        piece = _splits_up_to(F.col(column), splits).cast("double")
+        piece = len(splits) - piece if descending else piece
+        return df.withColumn(output, F.when(F.col(column).isNull(), last).otherwise(piece))
     number = f"{output}_in"
     cut = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=number, outputCol=output, handleInvalid="keep")
     placed = cut.transform(df.withColumn(number, F.col(column).cast("double"))).drop(number)
-    return placed.withColumn(output, F.coalesce(output, F.lit(len(splits) + 2.0)))  # missing after everything
+    return placed.withColumn(output, F.coalesce(output, last))
 
 
 def big_groups(df: DataFrame, keys: Sequence[str], pieces: int) -> DataFrame | None:
     """Keys of the groups with more than 1/pieces of all rows, or None. There are fewer than ``pieces``."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    found = counts.filter(F.col("_n") * pieces > total).select(*keys).collect()
+    total = Observation()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).observe(total, F.sum("_n").alias("rows"))
+    largest = counts.orderBy(F.desc("_n")).limit(pieces).collect()  # one job gives the total and the largest groups
+    found = [tuple(r)[:-1] for r in largest if r["_n"] * pieces > total.get["rows"]]
     schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
     return df.sparkSession.createDataFrame(found, schema) if found else None
 
@@ -98,13 +151,14 @@ def in_pieces(
     ties: Sequence[str] = (),
     pieces: int | None = None,
     weigh: DataFrame | None = None,
+    descending: bool = False,
 ) -> tuple[DataFrame, bool]:
     """Add ``_order``, ``_piece`` and ``_part``; within keys, (piece, part, order, ties) sorts like (order, ties).
 
     Only groups with more than 1/pieces of all rows are cut; the second result tells whether there are any.
-    A value frequent enough to fill a piece gets a piece of its own, subdivided at quantiles of the first
-    tie-break column among its rows when that is a number, date or timestamp. Group sizes and split points
-    come from ``weigh``, a cheaper table with the same keys and order column, if given; they decide the
+    A value frequent enough to fill a piece, and missing values, get a piece of their own, subdivided at quantiles
+    of the first tie-break column among its rows when that is a number, date or timestamp. ``descending`` says that
+    an order column of text is to be read backwards. Group sizes and split points come from ``weigh``, a cheaper table with the same keys and order column, if given; they decide the
     balance of the pieces, not the result.
     """
     pieces = pieces or shuffle_pieces(df.sparkSession)
@@ -114,20 +168,25 @@ def in_pieces(
     if keys and big is None:
         return df.withColumns({_PIECE: F.lit(0.0), _PART: F.lit(0.0)}), False
     df = _mark_big(df, keys, big)
-    splits, hot = quantile_splits(_mark_big(weigh.withColumn(_ORDER, order), keys, big).filter("_big"), _ORDER, pieces)
-    df = _bucketed(df, _ORDER, _PIECE, splits)
+    weighed = _mark_big(weigh.withColumn(_ORDER, order), keys, big).filter("_big")
+    splits, hot, missing = quantile_splits(weighed, _ORDER, pieces)
+    backwards = descending and _is_text(df, _ORDER)
+    df = _bucketed(df, _ORDER, _PIECE, splits, backwards)
     df = df.withColumn(_PIECE, F.when(F.col("_big"), F.col(_PIECE)).otherwise(0.0))
-    if not (hot and ties and _is_ordinal(df, ties[0])):
+    if not ((hot or missing) and ties and _is_ordinal(df, ties[0])):
         return df.withColumn(_PART, F.lit(0.0)).drop("_big"), True
-    is_hot = F.expr(f"array({', '.join(str(s in hot).lower() for s in [None, *splits, None, None])})")
+    own = [s in hot for s in [None, *splits]]
+    own = [*(reversed(own) if backwards else own), False, True]
+    is_hot = F.expr(f"array({', '.join(str(o).lower() for o in own)})")
     df = df.withColumn("_hot", F.col("_big") & is_hot[F.col(_PIECE).cast("int")])
     tie = order_number(df, ties[0]).cast("double")
     ends = df.filter("_hot").agg(F.min(tie), F.max(tie)).first()
     if ends[0] is None:
         return df.drop("_hot", "_big").withColumn(_PART, F.lit(0.0)), True
     share = (tie - F.lit(ends[0])) / F.lit(max(ends[1] - ends[0], 1e-300))
-    df = df.withColumn("_place", F.col(_PIECE) + F.least(share, F.lit(1.0)) * 0.999)
-    points, _ = quantile_splits(df.filter("_hot"), "_place", sum(hot.values()))
+    share = F.least(F.coalesce(share, F.lit(0.0)), F.lit(1.0))  # missing tie-breaks sort first
+    df = df.withColumn("_place", F.col(_PIECE) + share * 0.999)
+    points, _, _ = quantile_splits(df.filter("_hot"), "_place", sum(hot.values()) + missing + 1)
     df = _bucketed(df, "_place", _PART, points)
     df = df.withColumn(_PART, F.when(F.col("_hot"), F.col(_PART)).otherwise(0.0))
     return df.drop("_hot", "_place", "_big"), True
@@ -149,6 +208,7 @@ def running(
     totals: Mapping[str, Column] | None = None,
     peers: Mapping[str, Column] | None = None,
     descending: bool = False,
+    absolute: bool = False,
     pieces: int | None = None,
     weigh: DataFrame | None = None,
 ) -> DataFrame:
@@ -156,15 +216,17 @@ def running(
 
     With ``ties``, (keys, order, ties) identifies a row and rows are taken one by one. Without, rows of equal
     order are taken together, and ``peers`` are sums over them. ``totals`` are sums over the whole group,
-    repeated on each of its rows. Missing order values come last.
+    repeated on each of its rows. Missing order values come last. ``descending`` turns the order of any type,
+    ``absolute`` takes numbers by their distance from zero.
     """
     keys, ties = list(keys), list(ties)
     sums, mins, maxs, totals, peers = (dict(m or {}) for m in (sums, mins, maxs, totals, peers))
     if peers and ties:
         raise ValueError("peers are rows of equal order, so there can be no tie-break")
     inputs = {f"_in_{n}": col for group in (sums, mins, maxs, totals, peers) for n, col in group.items()}
-    rows, cut = in_pieces(df, keys, order_number(df, order, descending), ties, pieces, weigh)
+    rows, cut = in_pieces(df, keys, order_number(df, order, descending, absolute), ties, pieces, weigh, descending)
     rows = rows.withColumns(inputs)
+    along_order = F.desc_nulls_last(_ORDER) if descending and _is_text(df, order) else F.asc_nulls_last(_ORDER)
 
     def along(window: WindowSpec, kept: Mapping[str, WindowSpec]) -> dict[str, Column]:
         local = (window.rowsBetween if ties else window.rangeBetween)(Window.unboundedPreceding, Window.currentRow)
@@ -179,7 +241,7 @@ def running(
 
     if not cut:
         group = Window.partitionBy(*keys)
-        outputs = along(group.orderBy(F.col(_ORDER).asc_nulls_last(), *ties), {"totals": group})
+        outputs = along(group.orderBy(along_order, *ties), {"totals": group})
         return _drop_marks(rows.withColumns(outputs).drop(*inputs))
 
     combine = {f"_in_{n}": F.sum for n in (*sums, *totals)} | {f"_in_{n}": F.min for n in mins}
@@ -200,7 +262,7 @@ def running(
     whole = rows.withColumns({_KIND: F.lit(1)} | {f"_in_{n}": F.lit(None) for n in totals})
     mixed = whole.unionByName(header, allowMissingColumns=True)
     piece = Window.partitionBy(*keys, _PIECE, _PART)
-    outputs = along(piece.orderBy(_KIND, F.col(_ORDER).asc_nulls_last(), *ties), {})
+    outputs = along(piece.orderBy(_KIND, along_order, *ties), {})
     result = mixed.withColumns(outputs).filter(F.col(_KIND) == 1)
     return _drop_marks(result.drop(*inputs))
 
@@ -229,7 +291,7 @@ def midranks(
     splits, hot = [], {}
     if big is not None or not keys:
         rows = _mark_big(rows, keys, big)
-        splits, hot = quantile_splits(rows.filter("_big"), _ORDER, pieces)
+        splits, hot, _ = quantile_splits(rows.filter("_big"), _ORDER, pieces)
         rows = _bucketed(rows, _ORDER, _PIECE, splits)
         rows = rows.withColumn(_PIECE, F.when(F.col("_big"), F.col(_PIECE)).otherwise(-1.0)).drop("_big")
     else:

@@ -204,6 +204,20 @@ def sorted_positions(spark: SparkSession, folder: str) -> DataFrame:
     return ordering.positions(events, [], "value", ["event_id"], descending=True)
 
 
+@query("""SELECT event_id, event_type, ROW_NUMBER() OVER (ORDER BY event_type DESC, event_id) AS position FROM events""")
+def sorted_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every row in a sort by text, from the last value to the first; a few values fill the table."""
+    events = read_table(spark, folder, "events").select("event_id", "event_type")
+    return ordering.positions(events, [], "event_type", ["event_id"], descending=True)
+
+
+@query("""SELECT event_id, value, ROW_NUMBER() OVER (ORDER BY ABS(value) DESC, event_id) AS position FROM events""")
+def sorted_abs(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every row by the size of a value, whatever its sign."""
+    events = read_table(spark, folder, "events").select("event_id", "value")
+    return ordering.positions(events, [], "value", ["event_id"], descending=True, absolute=True)
+
+
 @query("""SELECT * EXCLUDE (r) FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity,
   RANK() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC) AS r FROM lineitem) WHERE r <= 5""")
 def top_k_ties(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnkit.operators import quantiles, timeseries
-from tarnkit.operators.ordering import in_pieces, midranks, order_number, positions, running, trailing
+from tarnkit.operators.ordering import big_groups, in_pieces, midranks, order_number, positions, running, trailing
 
 
 @pytest.fixture(scope="module")
@@ -227,3 +227,60 @@ def test_missing_values_enter_no_window_of_midranks(spark):
     ranked = midranks(df, [], "v", pieces=8)
     assert ranked.where("v IS NULL AND midrank IS NOT NULL").count() == 0
     assert ranked.count() == 4000 and ranked.agg({"midrank": "sum"}).first()[0] == 2400 * 2401 / 2
+
+
+def test_text_is_sorted_both_ways_with_hot_and_missing_values(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(3000):
+        chance = rng.random()
+        text = "same" if chance < 0.33 else None if chance < 0.6 else rng.choice(["", "same\0", "é", "日本", "z"]) + str(rng.randint(0, 300))
+        rows.append((i, rng.choice(["hot", "hot", "hot", "a"]), text))
+    df = spark.createDataFrame(rows, "id bigint, g string, v string").repartition(5)
+    for keys in ([], ["g"]):
+        for descending in (False, True):
+            got = {r["id"]: r["position"] for r in positions(df, keys, "v", ["id"], descending=descending, pieces=8).collect()}
+            for group in {r[1] for r in rows} if keys else {None}:
+                inside = [r for r in rows if not keys or r[1] == group]
+                known = sorted((r for r in inside if r[2] is not None), key=lambda r: r[0])
+                known.sort(key=lambda r: r[2].encode(), reverse=descending)
+                wanted = known + [r for r in inside if r[2] is None]
+                assert [got[r[0]] for r in wanted] == list(range(1, len(inside) + 1))
+
+
+def test_no_piece_of_text_or_missing_values_holds_much_more_than_its_share(spark):
+    rows = [(i, "same" if i % 3 == 0 else None if i % 3 == 1 else f"{i * 7919 % 3000:04d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, v string")
+    for descending in (False, True):
+        placed, _ = in_pieces(df, [], order_number(df, "v"), ["id"], pieces=10, descending=descending)
+        sizes = [r["count"] for r in placed.groupBy("_piece", "_part").count().collect()]
+        assert max(sizes) <= 3000 / 10 * 2 and sum(sizes) == 3000
+
+
+def test_missing_numbers_are_split_too(spark):
+    rows = [(i, None if i % 2 else float(i % 17)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id bigint, v double")
+    placed, _ = in_pieces(df, [], order_number(df, "v"), ["id"], pieces=10)
+    assert max(r["count"] for r in placed.groupBy("_piece", "_part").count().collect()) <= 2 * 2000 / 10
+    got = {r["id"]: r["position"] for r in positions(df, [], "v", ["id"], pieces=10).collect()}
+    wanted = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0.0, r[0]))
+    assert [got[r[0]] for r in wanted] == list(range(1, 2001))
+
+
+def test_order_by_absolute_value(spark):
+    rows = [(i, None if i % 10 == 0 else (-1) ** i * float(i % 40)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id bigint, v double")
+    got = {r["id"]: r["position"] for r in positions(df, [], "v", ["id"], descending=True, absolute=True, pieces=6).collect()}
+    wanted = sorted(rows, key=lambda r: (r[1] is None, -abs(r[1] or 0.0), r[0]))
+    assert [got[r[0]] for r in wanted] == list(range(1, 501))
+    with pytest.raises(TypeError):
+        order_number(spark.createDataFrame([("a",)], "v string"), "v", absolute=True)
+
+
+def test_big_groups_are_found_with_missing_keys_and_empty_tables(spark):
+    df = spark.range(1000).withColumn("g", F.when(F.col("id") < 500, -1).otherwise(F.col("id")))
+    df = df.withColumn("h", F.when(F.col("id") < 500, None).otherwise("x"))
+    assert [tuple(r) for r in big_groups(df, ["g"], 4).collect()] == [(-1,)]
+    assert sorted(map(tuple, big_groups(df, ["h"], 4).collect()), key=str) == [("x",), (None,)]
+    assert big_groups(spark.range(100), ["id"], 4) is None
+    assert big_groups(spark.range(0), ["id"], 4) is None
