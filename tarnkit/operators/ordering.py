@@ -24,7 +24,7 @@ from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
@@ -129,10 +129,10 @@ def _bucketed(df: DataFrame, column: str, output: str, splits: Sequence, descend
 
 def big_groups(df: DataFrame, keys: Sequence[str], pieces: int) -> DataFrame | None:
     """Keys of the groups with more than 1/pieces of all rows, or None. There are fewer than ``pieces``."""
-    total = Observation()
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).observe(total, F.sum("_n").alias("rows"))
-    largest = counts.orderBy(F.desc("_n")).limit(pieces).collect()  # one job gives the total and the largest groups
-    found = [tuple(r)[:-1] for r in largest if r["_n"] * pieces > total.get["rows"]]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # no Dataset.observe here: a session that has observed cannot serialise Spark ML's forests with their summaries
+    total = counts.agg(F.sum("_n")).scalar()
+    found = counts.filter(F.col("_n") * pieces > total).select(*keys).collect()
     schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
     return df.sparkSession.createDataFrame(found, schema) if found else None
 
