@@ -15,10 +15,12 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnkit.models.holdout import Holdout, add_fold, best_parameters, class_weights, regular_grid
+from tarnkit.session import cut
 from tarnkit.sources.tables import save_table
 
 
@@ -91,16 +93,19 @@ def run_holdouts(
     at_once: int = 4,
     path: str | None = None,
     tune: Mapping | None = None,
+    chosen: Mapping[str, tuple[int, int]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit one forest per (hold-out, imputation) and predict its held-out rows.
 
     Returns predictions (model, imp, row_id, truth, score) and importances (model, imp, variable, importance).
     With ``path``, each fit's predictions are written to their own (model, imp) partition there as soon as they
     exist, and its forest is then dropped: the driver holds ``at_once`` forests at most. Running a fit again replaces its partition.
-    With ``tune`` (arguments of ``tune_forest``), each hold-out first chooses mtry and min_n on its own training rows.
+    With ``tune`` (arguments of ``tune_forest``), each hold-out first chooses mtry and min_n on its own training rows;
+    ``chosen`` gives (mtry, min_n) by hold-out, as ``tune_holdouts`` finds them.
     """
     spark = df.sparkSession
-    specs = {h.name: spec for h in holdouts}
+    pairs = chosen or {}
+    specs = {h.name: replace(spec, mtry=pairs[h.name][0], min_n=pairs[h.name][1]) if h.name in pairs else spec for h in holdouts}
     if tune is not None:
         for h in holdouts:
             (mtry, min_n), _ = tune_forest(h.train(df), spec, imputations, row_id, **tune)
@@ -180,3 +185,101 @@ def tune_forest(
     metrics = df.sparkSession.createDataFrame(results, schema)
     best = best_parameters(metrics, metric).first()
     return (best["mtry"], best["min_n"]), metrics
+
+
+_FIT_KEYS = ["model", "imp", "repeat", "fold", "mtry", "min_n"]
+_FIT_SCHEMA = "metric string, value double, model string, imp int, repeat int, fold int, mtry int, min_n int"
+
+
+def tune_holdouts(
+    df: DataFrame,
+    spec: ForestSpec,
+    holdouts: Sequence[Holdout],
+    imputations: Sequence[int],
+    row_id: str,
+    grid: Sequence[tuple[int, int]] | None = None,
+    folds: int = 5,
+    repeats: int = 2,
+    at_once: int = 4,
+    path: str | None = None,
+) -> tuple[dict[str, tuple[int, int]], DataFrame]:
+    """Cross-validate a grid of (mtry, min_n) on the training rows of every hold-out.
+
+    Returns the chosen pair of each hold-out and the table (metric, value, model, imp, repeat, fold, mtry, min_n). Rows are
+    assembled and stored once for all hold-outs and imputations; all fits wait in one queue, ``at_once`` of them in flight.
+    With ``path`` each fit's value is stored there when it exists, and fits found there are not run again, so a
+    driver that was lost goes on where it stopped. A fold without rows on either side has a NULL value.
+    """
+    spark = df.sparkSession
+    grid = list(grid) if grid is not None else regular_grid(len(spec.features))
+    metric = "accuracy" if spec.mode == "classification" else "rmse"
+    rows, weights = _fold_table(df, spec, holdouts, imputations, row_id, folds, repeats)
+    tasks = [
+        (h.name, imp, r, f, m, n)
+        for h in holdouts for imp in imputations for r in range(repeats) for f in range(folds) for m, n in grid
+    ]
+    done = _stored_fits(spark, path)
+    at = {h.name: i for i, h in enumerate(holdouts)}
+
+    def score(task: tuple) -> None:
+        name, imp, repeat, fold, mtry, min_n = task
+        inside = rows.filter((F.col("imp") == imp) & F.col(f"in_{at[name]}"))
+        inside = inside.withColumn("weight", weights(at[name], imp))
+        tested = F.col(f"fold_{repeat}") == fold
+        train, test = inside.filter(~tested), inside.filter(tested)
+        value = None
+        if not train.isEmpty() and not test.isEmpty():
+            scored = fit_forest(train, replace(spec, mtry=mtry, min_n=min_n)).transform(test)
+            error = F.col("prediction") - F.col("label")
+            measure = F.avg((error == 0).cast("int")) if metric == "accuracy" else F.sqrt(F.avg(error * error))
+            value = scored.agg(measure.alias("v")).first()["v"]
+        done[task] = value
+        if path is not None:
+            row = spark.createDataFrame([(metric, value, *task)], _FIT_SCHEMA)
+            save_table(row, path, _FIT_KEYS, replace_partitions=True)
+
+    in_flight([t for t in tasks if t not in done], score, at_once)
+    metrics = spark.createDataFrame([(metric, done[t], *t) for t in tasks], _FIT_SCHEMA)
+    chosen = {}
+    for h in holdouts:
+        if all(done[t] is None for t in tasks if t[0] == h.name):
+            raise ValueError(f"tuning {h.name} gave no results; check the target and the predictors")
+        best = best_parameters(metrics.filter(F.col("model") == h.name), metric).first()
+        chosen[h.name] = (best["mtry"], best["min_n"])
+    return chosen, metrics
+
+
+def _fold_table(df, spec, holdouts, imputations, row_id, folds, repeats):
+    """Assembled rows with their folds and whether each hold-out trains on them (in_0, in_1, ...), stored; and a
+    function that gives the class weights of a hold-out and imputation as a column.
+    """
+    known = df.filter(F.col(spec.target).isNotNull() & F.col("imp").isin(list(imputations))).withColumn("label", spec.label())
+    vectors = VectorAssembler(inputCols=list(spec.features), outputCol="features", handleInvalid="error").transform(known)
+    inside = [h.trains().alias(f"in_{i}") for i, h in enumerate(holdouts)]
+    rows = vectors.select("imp", F.col(row_id).alias("row_id"), "label", "features", *inside)
+    for repeat in range(repeats):
+        rows = add_fold(rows, "row_id", folds, spec.seed + repeat, f"fold_{repeat}")
+    rows = cut(rows)
+    if spec.mode != "classification" or not spec.balanced:
+        return rows, lambda i, imp: F.lit(1.0)
+    sizes = rows.groupBy("imp", "label").agg(*[F.count_if(f"in_{i}").alias(f"n_{i}") for i in range(len(holdouts))])
+    counts = {(r["imp"], r["label"]): r for r in sizes.collect()}  # two rows an imputation
+
+    def weights(i: int, imp: int):
+        ones, zeros = (counts[imp, label][f"n_{i}"] if (imp, label) in counts else 0 for label in (1.0, 0.0))
+        half = 0.5 * (ones + zeros)
+        return F.when(F.col("label") == 1.0, half / max(ones, 1)).otherwise(half / max(zeros, 1))
+
+    return rows, weights
+
+
+def _stored_fits(spark, path: str | None) -> dict[tuple, float | None]:
+    if path is None:
+        return {}
+    try:
+        found = spark.read.schema(_FIT_SCHEMA).parquet(path).collect()  # one row a fit
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {tuple(r[k] for k in _FIT_KEYS): r["value"] for r in found}

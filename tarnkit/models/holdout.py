@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnkit.operators.joins import lookup_join
@@ -25,6 +25,10 @@ class Holdout:
     def train(self, df: DataFrame) -> DataFrame:
         return df.filter(F.col(self.column) != F.lit(self.value))
 
+    def trains(self) -> Column:
+        """Is a row a training row? False where the column is missing, as in ``train``."""
+        return F.coalesce(F.col(self.column) != F.lit(self.value), F.lit(False))
+
     def test(self, df: DataFrame) -> DataFrame:
         return df.filter(F.col(self.column) == F.lit(self.value))
 

@@ -176,3 +176,21 @@ def importance_contract(spark: SparkSession, folder: str) -> DataFrame:
 def tuning_contract(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of the grid has a mean accuracy between zero and one."""
     return tuning_metrics(spark, folder).select("mtry", "min_n", "metric", F.col("avg").between(0, 1).alias("in_range"))
+
+
+_GRID = [(1, 5), (3, 5)]
+
+
+@query(with_sql(SAMPLES, f"""SELECT 'hold_' || region AS model, CAST(1 AS INT) AS imp, {_ROW_ID} AS row_id,
+  CASE WHEN passive > passive_lod THEN 'detected' ELSE 'not_detected' END AS truth, TRUE AS in_range, TRUE AS from_grid
+FROM samples WHERE passive IS NOT NULL"""))
+def tuned_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    """Hold-outs whose forests have the parameters that did best on their own training rows."""
+    table = cut(_completed(spark, folder, 1))
+    splits = [holdout.Holdout(f"hold_{x}", "region", x) for x in ("nb", "ns")]
+    spec = forest.ForestSpec("truth", _FEATURES, trees=5, max_depth=4)
+    chosen, _ = forest.tune_holdouts(table, spec, splits, [1], "row_id", grid=_GRID, folds=2, repeats=1)
+    predictions, _ = forest.run_holdouts(table, spec, splits, [1], "row_id", chosen=chosen)
+    from_grid = all(pair in _GRID for pair in chosen.values())
+    in_range = (F.col("score") >= 0) & (F.col("score") <= 1)
+    return predictions.select("model", "imp", "row_id", "truth", in_range.alias("in_range"), F.lit(from_grid).alias("from_grid"))

@@ -20,15 +20,19 @@ def save_table(
     mode: str = "errorifexists",
     replace_partitions: bool = False,
     max_rows_per_file: int = 5_000_000,
-    files_per_key: int = 8,
+    files_per_key: int | None = None,
 ) -> DataFrame:
     """Write Parquet partitioned by key columns and return the table read back.
 
-    Cuts lineage on storage that survives executor loss. Rows of a key go to ``files_per_key`` writers by a hash of the row, so
-    that no key is gathered in one task and tasks times keys do not make as many files. ``replace_partitions`` replaces
-    just the partitions found in ``df``; several jobs may do so at once for different partitions.
+    Cuts lineage on storage that survives executor loss. Rows are gathered by key so that tasks times keys do not make as
+    many files, and adaptive execution gives a key as many writers as its measured bytes fill
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), whatever its rows hold. ``files_per_key`` fixes the number of
+    writers a key by a hash of the row instead. ``replace_partitions`` replaces just the partitions found in ``df``;
+    several jobs may do so at once for different partitions.
     """
-    if partition_by:
+    if partition_by and files_per_key is None:
+        df = df.hint("rebalance", *partition_by)
+    elif partition_by:
         share = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_key))
         df = df.repartition(*partition_by, share)
     writer = df.write.option("maxRecordsPerFile", max_rows_per_file)

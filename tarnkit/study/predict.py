@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,9 @@ from tarnkit.functions.dates import iso_week, iso_year
 from tarnkit.functions.semantics import divide, in_order, interaction
 from tarnkit.models import bootstrap, draws, forest, holdout, impute, importance, roc
 from tarnkit.operators import cleaning, scaling
+from tarnkit.operators.joins import keep_matching
 from tarnkit.operators.selectors import any_of, column_names, contains
+from tarnkit.operators.summaries import top_with_ties
 from tarnkit.operators.timeseries import lags
 from tarnkit.session import cut
 from tarnkit.sources.tables import save_table
@@ -53,21 +55,34 @@ def study_holdouts(locations: Sequence[str], year: int = 2024, prefix: str = "fu
 
 def forest_report(
     table: DataFrame, spec: forest.ForestSpec, holdouts: Sequence[holdout.Holdout], imputations: Sequence[int],
-    row_id: str, path: str | None = None,
+    row_id: str, path: str | None = None, tune: Mapping | None = None, min_threshold: float | None = None,
+    min_detections: int = 0, top_n: int | None = None,
 ) -> dict[str, DataFrame]:
     """AUC summary, ROC bands and relative importance of all hold-out fits.
 
     The first sample of a site has no previous gene level; such rows cannot be predicted and are left out.
+    ``tune`` (arguments of ``tune_holdouts``) chooses mtry and min_n for each hold-out on its own training rows and adds the
+    table ``tuning``. ``min_threshold`` keeps larger thresholds of the curves only; ``min_detections`` reports AUC and
+    curves of hold-outs with so many detections among their rows; ``top_n`` keeps each model type's best variables, with ties.
     """
     complete = table.dropna(subset=list(spec.features))
-    predictions, importances = forest.run_holdouts(complete, spec, holdouts, imputations, row_id, path=path)
+    chosen, found = None, {}
+    if tune is not None:
+        chosen, found["tuning"] = forest.tune_holdouts(complete, spec, holdouts, imputations, row_id, **tune)
+    predictions, importances = forest.run_holdouts(complete, spec, holdouts, imputations, row_id, path=path, chosen=chosen)
     predictions = predictions if path is not None else cut(predictions)
+    reported = predictions
+    if min_detections:
+        hits = predictions.groupBy("model", "imp").agg(F.count_if(F.col("truth") == spec.positive).alias("n"))
+        enough = hits.groupBy("model").agg(F.min("n").alias("n")).filter(F.col("n") >= min_detections)
+        reported = keep_matching(predictions, enough, "model")
     labels = {h.name: str(h.value) for h in holdouts if h.column == "location"}
-    return {
+    best = importance.importance_summary(importances)
+    return found | {
         "predictions": predictions,
-        "auc": roc.auc_summary(roc.auc(predictions), labels=labels),
-        "roc": roc.roc_bands(roc.roc_curve(predictions)),
-        "importance": importance.importance_summary(importances),
+        "auc": roc.auc_summary(roc.auc(reported, positive=spec.positive), labels=labels),
+        "roc": roc.roc_bands(roc.roc_curve(reported, positive=spec.positive, min_threshold=min_threshold)),
+        "importance": best if top_n is None else top_with_ties(best, ["model_type"], "avg_importance", top_n),
     }
 
 

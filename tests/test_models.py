@@ -354,3 +354,58 @@ def test_many_tied_donors_are_all_used(spark):
     recipients = spark.createDataFrame([(1000 + k, 1.0) for k in range(300)], "id long, prediction double")
     got = impute.match_donors(donors, recipients, "id", "prediction", "observed", k=5).collect()
     assert len(got) == 300 and len({r["observed"] for r in got}) > 100
+
+
+@pytest.fixture(scope="module")
+def tuning_table(spark):
+    rows = [(k, i, ["a", "b", "c", None][k % 4], "yes" if (k * 7) % 5 < 2 else None if k % 13 == 0 else "no", float(k % 11), float(k % 7))
+            for k in range(120) for i in (1, 2)]
+    return spark.createDataFrame(rows, "id int, imp int, location string, target string, x double, y double")
+
+
+def test_no_held_out_row_enters_the_tuning(spark, tuning_table, monkeypatch, tmp_path):
+    fits, grow = [], forest.fit_forest
+
+    def spy(rows, spec):
+        weights = {r["label"]: r["w"] for r in rows.groupBy("label").agg(F.first("weight").alias("w")).collect()}
+        fits.append(({r["row_id"] for r in rows.collect()}, spec.mtry, spec.min_n, weights))
+        return grow(rows, spec)
+
+    monkeypatch.setattr(forest, "fit_forest", spy)
+    spec = forest.ForestSpec("target", ("x", "y"), positive="yes", trees=2, max_depth=3)
+    splits = [holdout.Holdout(f"hold_{x}", "location", x) for x in ("a", "b")]
+    options = dict(grid=[(1, 2), (2, 8)], folds=2, repeats=1, at_once=1, path=str(tmp_path / "fits"))
+    chosen, metrics = forest.tune_holdouts(tuning_table, spec, splits, [1, 2], "id", **options)
+    known = {r["id"]: r["location"] for r in tuning_table.filter("target IS NOT NULL").collect()}
+    assert len(fits) == 2 * 2 * 2 * 2 and metrics.count() == 16
+    for place, (ids, mtry, min_n, _) in enumerate(fits):
+        allowed = {"b", "c"} if place < 8 else {"a", "c"}
+        assert {known[i] for i in ids} == allowed and (mtry, min_n) in [(1, 2), (2, 8)]
+    halves = fits[0][0], fits[2][0]
+    assert not halves[0] & halves[1] and halves[0] | halves[1] == {i for i, x in known.items() if x in ("b", "c")}
+    yes = tuning_table.filter("imp = 1 AND location IN ('b', 'c')").groupBy("target").count().collect()
+    sizes = {r["target"]: r["count"] for r in yes}
+    assert fits[0][3][1.0] * sizes["yes"] == pytest.approx(fits[0][3][0.0] * sizes["no"])
+    assert set(chosen) == {"hold_a", "hold_b"} and set(chosen.values()) <= {(1, 2), (2, 8)}
+    for name, pair in chosen.items():
+        means = {(r["mtry"], r["min_n"]): r["v"] for r in metrics.filter(F.col("model") == name).groupBy("mtry", "min_n").agg(
+            F.avg("value").alias("v")).collect()}
+        assert means[pair] == max(means.values())
+    fits.clear()
+    again, same = forest.tune_holdouts(tuning_table, spec, splits, [1, 2], "id", **options)
+    assert not fits and again == chosen and sorted(same.collect()) == sorted(metrics.collect())
+
+
+def test_chosen_parameters_reach_the_fits(spark, tuning_table, monkeypatch):
+    used, grow = [], forest.fit_forest
+    monkeypatch.setattr(forest, "fit_forest", lambda rows, spec: used.append((spec.mtry, spec.min_n)) or grow(rows, spec))
+    spec = forest.ForestSpec("target", ("x", "y"), positive="yes", trees=2, max_depth=3)
+    splits = [holdout.Holdout(f"hold_{x}", "location", x) for x in ("a", "b")]
+    forest.run_holdouts(tuning_table, spec, splits, [1], "id", at_once=1, chosen={"hold_a": (1, 9)})
+    assert used == [(1, 9), (None, 2)]
+
+
+def test_tuning_without_rows_is_an_error(spark, tuning_table):
+    spec = forest.ForestSpec("target", ("x", "y"), positive="yes", trees=2)
+    with pytest.raises(ValueError, match="no results"):
+        forest.tune_holdouts(tuning_table.limit(0), spec, [holdout.Holdout("h", "location", "a")], [1], "id", grid=[(1, 2)], folds=2, repeats=1)

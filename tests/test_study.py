@@ -111,8 +111,11 @@ def test_forests_from_imputed_stack(table):
     assert stacked.filter(" or ".join(f"{c} is null" for c in features if c in stacked.columns)).count() == 0
     assert rows.filter("lag_mcye is null").count() == 6
     report = predict.forest_report(
-        rows, ForestSpec("truth", features, trees=6, mtry=3, max_depth=4), predict.study_holdouts(["Kearney Lake"], 2023), [1, 2], "id"
+        rows, ForestSpec("truth", features, trees=6, mtry=3, max_depth=4), predict.study_holdouts(["Kearney Lake"], 2023), [1, 2], "id",
+        tune={"grid": [(2, 2), (3, 5)], "folds": 2, "repeats": 1}, min_threshold=0.0, min_detections=3, top_n=4,
     )
+    assert report["tuning"].count() == 2 * 2 * 2 * 2
+    assert 4 <= report["importance"].count() < len(features)
     auc = {r["model"]: r for r in report["auc"].collect()}
     assert set(auc) == {"full_test_2023", "full_test_kearney_lake"} and auc["full_test_kearney_lake"]["location"] == "Kearney Lake"
     assert all(r["auc"] > 0.5 for r in auc.values())

@@ -197,3 +197,16 @@ def test_save_table_spreads_a_hot_key_over_few_files(spark, tmp_path):
     files = {k: len(list((tmp_path / "t" / f"key={k}").glob("*.parquet"))) for k in range(7)}
     assert max(files.values()) <= 3
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4000
+
+
+def test_save_table_gives_a_hot_key_writers_by_its_size(spark, tmp_path):
+    df = spark.range(300_000).selectExpr("repeat('same', 20) AS text", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 200 + 1 END AS key").repartition(16)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        saved = tables.save_table(df, str(tmp_path / "t"), ["key"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = {k: len(list((tmp_path / "t" / f"key={k}").glob("*.parquet"))) for k in range(201)}
+    assert saved.count() == 300_000 and files[0] > 2  # equal rows, too
+    assert sum(files.values()) < 16 * 201 / 2
