@@ -62,6 +62,32 @@ def test_pieces_blocks_and_merges_give_the_same(spark, fitted, monkeypatch):
         assert two[name]["base"] == pytest.approx(r["base"], abs=1e-8) and two[name]["slope"] == pytest.approx(r["slope"], abs=1e-8)
 
 
+def test_small_and_large_locations_together_give_the_same(spark, fitted, monkeypatch):
+    df, found = fitted
+    sizes = [r["count"] for r in df.dropna().groupBy("location").count().collect()]
+    monkeypatch.setattr(bootstrap, "PIECE_ROWS", 10 * sorted(sizes)[3])
+    assert min(sizes) <= bootstrap.PIECE_ROWS // 10 < max(sizes)
+    again = bootstrap.bootstrap_coefficients(df, "id", F.col("found"), "location", "year", "week", "x", 3)
+    one, two = ({r["location"]: r for r in x.by_location.collect()} for x in (found, again))
+    for name, r in one.items():
+        assert two[name]["base"] == pytest.approx(r["base"], abs=1e-8) and two[name]["slope"] == pytest.approx(r["slope"], abs=1e-8)
+
+
+def test_nothing_by_small_location_is_merged_or_stored_in_a_pass(spark, monkeypatch):
+    keys, plain = [], bootstrap.merged
+    monkeypatch.setattr(bootstrap, "merged", lambda parts, by, count: keys.append(by) or plain(parts, by, count))
+    bootstrap.bootstrap_coefficients(table(spark, rows=300, sites=40), "id", F.col("found"), "location", "year", "week", "x", 3)
+    assert keys and all(k == ["block"] for k in keys)
+
+
+def test_own_terms_settle_where_shared_terms_are_far_off():
+    rows = np.column_stack([np.ones(6), np.ones(6), np.zeros((6, 4)), [0.1, -2, 3, 50, 0, 1]])
+    shared = np.array([[-9.0, 0, 0, 0, 0, 0, 0.0]])
+    one = bootstrap.Profile(rows, np.array([0, 4]), np.ones(6), np.ones((1, 6)), shared, np.array([1e-4]))
+    one.settle(1e-9)
+    assert np.isfinite(one.own).all() and np.abs(one.step).max() < 1e-9
+
+
 def test_thousands_of_replicates_in_few_passes(spark):
     df = table(spark, rows=300, sites=3)
     found = bootstrap.bootstrap_coefficients(df, "id", F.col("found"), "location", "year", "week", "x", 4000)
@@ -87,6 +113,13 @@ def test_draws_on_the_grid(spark, fitted):
     assert one["p"] == pytest.approx(1 / (1 + math.exp(-logit)))
 
 
+def test_draws_of_a_small_grid_are_made_in_many_tasks(spark, fitted):
+    _, found = fitted
+    grid = spark.createDataFrame([(f"s{k}", 2021, 10.0, 0.5) for k in range(7)], "location string, year int, week double, x double").coalesce(1)
+    rows = bootstrap.draws_of(found, grid, "location", "year", "week", "x")
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_score_equations_vanish_at_the_fit_only(spark, fitted):
     df, found = fitted
     args = ("id", F.col("found"), "location", "year", "week", "x")
