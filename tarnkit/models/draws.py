@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from tarnkit.functions.dates import week_to_date
 from tarnkit.operators.joins import even_steps, expand_grid
 from tarnkit.operators.quantiles import small_group_quantiles
+from tarnkit.session import shuffle_pieces
 
 CURVE = ("location", "year", "week", "draw")
 TARGETS = (0.5, 0.75, 0.95)
+#: Points of curves that meet in one task.
+POINTS_AT_ONCE = 500_000
 
 
 def prediction_grid(
@@ -51,18 +54,21 @@ def crossing_points(
     p: str = "p",
     targets: Sequence[float] = TARGETS,
     extrapolate: str = "clamp",
+    points_at_once: int = POINTS_AT_ONCE,
 ) -> DataFrame:
     """x at which each curve reaches each target probability: (curve, probability, threshold).
 
     Equal p are merged by their mean x, and x is interpolated linearly in p between the nearest points on
     either side of the target. Outside the range of p the nearest end is taken (``clamp``) or NULL (``none``);
     a flat curve gives NULL. The neighbours are a maximum and a minimum, so nothing is sorted, and one shuffle
-    by curve serves both aggregations.
+    by curve serves both aggregations. The points are counted first, so that a task gets about ``points_at_once`` of them
+    and its memory does not grow with the table.
     """
     if extrapolate not in ("clamp", "none"):
         raise ValueError("extrapolate must be clamp or none")
     points = draws.filter(F.col(p).isNotNull()).select(*curve, F.col(x).alias("_x"), F.col(p).alias("_p"))
-    merged = points.repartition(*curve).groupBy(*curve, "_p").agg(F.avg("_x").alias("_m"))
+    parts = max(shuffle_pieces(draws.sparkSession), -(-draws.select(*curve).count() // points_at_once))
+    merged = points.repartition(parts, *curve).groupBy(*curve, "_p").agg(F.avg("_x").alias("_m"))
     cells = []
     for i, target in enumerate(targets):
         below = F.when(F.col("_p") <= target, F.col("_p"))

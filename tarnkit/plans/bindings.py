@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnkit.functions.semantics import if_else3
+from tarnkit.models.draws import POINTS_AT_ONCE
 from tarnkit.operators.joins import expand_grid
+from tarnkit.session import cut, shuffle_pieces
 from tarnkit.sources.tables import read_table
 
 
@@ -150,8 +152,10 @@ def curve_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def draws(spark: SparkSession, folder: str, n_draws: int = 5, n_x: int = 12, n_weeks: int = 4) -> DataFrame:
+    cells = cut(curve_cells(spark, folder))
+    tasks = max(shuffle_pieces(spark), -(-cells.count() * n_draws * n_x * n_weeks // POINTS_AT_ONCE))
     grid = expand_grid(
-        curve_cells(spark, folder),
+        cells.repartition(tasks, "location", "year"),
         week=F.sequence(F.lit(0), F.lit(n_weeks - 1)),
         draw=F.sequence(F.lit(0), F.lit(n_draws - 1)),
         i=F.sequence(F.lit(0), F.lit(n_x - 1)),

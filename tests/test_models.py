@@ -264,6 +264,15 @@ def test_imputation_of_complete_columns(spark):
     assert sorted(tuple(r) for r in impute.impute_once(df, "id", ["y", "s"]).collect()) == [(1, 2.0, "a"), (2, 3.0, "b")]
 
 
+def test_curves_are_dealt_out_by_their_number_of_points(spark):
+    rows = [(k, 2020 + k % 3, k % 2, k % 5, float(i), (i + 0.5) / 10) for k in range(40) for i in range(10)]
+    table = spark.createDataFrame(rows, "location int, year int, week int, draw int, x double, p double")
+    few, many = draws.crossing_points(table), draws.crossing_points(table, points_at_once=10)
+    tasks = [x.select("location", F.spark_partition_id().alias("task")).distinct().groupBy("task").count().count() for x in (few, many)]
+    assert tasks[0] <= 4 < tasks[1]
+    assert sorted(many.collect()) == sorted(few.collect())
+
+
 def test_holdout_forest_learns_and_reports_importance(gappy):
     df, _ = gappy
     table = df.withColumn("imp", F.lit(1)).withColumn("noise", F.abs(F.hash("id")) % 7)
