@@ -30,31 +30,33 @@ def _training_table(spark: SparkSession, folder: str) -> DataFrame:
     })
 
 
-def _completed(spark: SparkSession, folder: str, imputations: int = 2) -> DataFrame:
-    return impute.impute_multiple(
-        _training_table(spark, folder), "row_id", _GAPS, _COMPLETE, ["site", "region", "sample_date", "truth"],
+def _completed(table: DataFrame, imputations: int = 2) -> DataFrame:
+    """The completed stack, stored: what follows reads it several times, and its joins would run each time."""
+    return cut(impute.impute_multiple(
+        table, "row_id", _GAPS, _COMPLETE, ["site", "region", "sample_date", "truth"],
         imputations=imputations, sweeps=1, trees=10, depth=5,
-    )
+    ))
 
 
 @query()
 def impute_multiple(spark: SparkSession, folder: str) -> DataFrame:
-    return _completed(spark, folder).select("imp", "row_id", "site", "sample_date", *_FEATURES, "truth")
+    return _completed(cut(_training_table(spark, folder))).select("imp", "row_id", "site", "sample_date", *_FEATURES, "truth")
 
 
 @query()
 def imputation_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     """Quantiles of each variable before and after imputation, per region."""
+    table = cut(_training_table(spark, folder))
     sources = {
-        "original": _training_table(spark, folder).select("region", *_GAPS),
-        "imputed": _completed(spark, folder, 1).select("region", *_GAPS),
+        "original": table.select("region", *_GAPS),
+        "imputed": _completed(table, 1).select("region", *_GAPS),
     }
     long = longer(stack(sources, "source"), ["source", "region"], _GAPS)
     return group_quantiles(long, ["source", "region", "name"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
 
 
 def _forests(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    table = _completed(spark, folder, 1)
+    table = _completed(cut(_training_table(spark, folder)), 1)
     holdouts = [holdout.Holdout("hold_nb", "region", "nb"), holdout.Holdout("hold_ns", "region", "ns")]
     spec = forest.ForestSpec("truth", _FEATURES, trees=20, mtry=2, min_n=5, max_depth=6)
     return forest.run_holdouts(table, spec, holdouts, [1], "row_id", at_once=2)
@@ -143,8 +145,9 @@ _ROW_ID = "site * 100000 + (sample_date - DATE '1970-01-01')"
 FROM samples CROSS JOIN (SELECT range AS imp FROM range(1, 3))"""))
 def impute_contract(spark: SparkSession, folder: str) -> DataFrame:
     """Each completed row keeps what was observed, and its other values are observed ones of other rows."""
-    completed = cut(_completed(spark, folder))
-    before = _training_table(spark, folder).select("row_id", *[F.col(c).alias(f"_{c}") for c in _GAPS])
+    table = cut(_training_table(spark, folder))
+    completed = _completed(table)
+    before = table.select("row_id", *[F.col(c).alias(f"_{c}") for c in _GAPS])
     joined = completed.join(before, "row_id")
     for c in _GAPS:
         seen = before.select(F.col(f"_{c}").alias(c)).dropna().distinct().withColumn(f"_seen_{c}", F.lit(True))
@@ -186,7 +189,7 @@ _GRID = [(1, 5), (3, 5)]
 FROM samples WHERE passive IS NOT NULL"""))
 def tuned_holdout(spark: SparkSession, folder: str) -> DataFrame:
     """Hold-outs whose forests have the parameters that did best on their own training rows."""
-    table = cut(_completed(spark, folder, 1))
+    table = _completed(cut(_training_table(spark, folder)), 1)
     splits = [holdout.Holdout(f"hold_{x}", "region", x) for x in ("nb", "ns")]
     spec = forest.ForestSpec("truth", _FEATURES, trees=5, max_depth=4)
     chosen, _ = forest.tune_holdouts(table, spec, splits, [1], "row_id", grid=_GRID, folds=2, repeats=1)
