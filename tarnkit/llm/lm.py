@@ -42,6 +42,8 @@ OWN, CLASSES, CONTEXT, WIDTH = 191, 64, 3, 16
 UNITS, END = OWN + 1 + CLASSES, OWN
 LISTED, LETTERS, ADDED = 150_000, 64, 0.1
 BATCH, NOISE, RATE, COUNTED, FAN_IN = 2048, 64, 0.15, 400_000, 256
+#: Places of a unit's numbers in a flat table.
+CELLS = np.arange(UNITS * WIDTH).reshape(UNITS, WIDTH)
 #: Tokens that are scored at once, so that the products with all units stay in the processor's cache.
 SCORED = 1024
 
@@ -157,7 +159,14 @@ class Model:
             at += size
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
-        return (self.seen[context] * self.weight).sum(axis=1)
+        return self.added([self.seen[context[:, i]] for i in range(CONTEXT)])
+
+    def added(self, vectors: list[np.ndarray]) -> np.ndarray:
+        """The weighted sum of the context's vectors, position by position."""
+        total = vectors[0] * self.weight[0]
+        for i in range(1, CONTEXT):
+            total += vectors[i] * self.weight[i]
+        return total
 
     def log_probabilities(self, context: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of units after their contexts."""
@@ -184,12 +193,17 @@ class Trainer:
     def step(self, context: np.ndarray, units: np.ndarray) -> None:
         m, n = self.model, len(units)
         noise = self.draw.choice(UNITS, NOISE, p=m.noise)
-        vectors = m.seen[context]
-        h = (vectors * m.weight).sum(axis=1)
+        vectors = [m.seen[context[:, i]] for i in range(CONTEXT)]
+        h = m.added(vectors)
         own, others = m.out[units], m.out[noise]
         data = (h * own).sum(axis=1) + m.bias[units] - self.offset[units]
-        fake = h @ others.T + (m.bias[noise] - self.offset[noise])
-        up, down = 1 / (1 + np.exp(np.clip(data, -30, 30))), -1 / (1 + np.exp(-np.clip(fake, -30, 30)))
+        down = h @ others.T
+        down += m.bias[noise] - self.offset[noise]
+        np.clip(down, -30, 30, out=down)
+        np.exp(np.negative(down, out=down), out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        up = 1 / (1 + np.exp(np.clip(data, -30, 30)))
         toward = up[:, None] * own + down @ others
         gradient = {n: np.zeros_like(getattr(m, n)) for n in m.names()}
         gradient["bias"] += np.bincount(units, up, UNITS).astype(np.float32)
@@ -198,7 +212,7 @@ class Trainer:
         np.add.at(gradient["out"], noise, down.T @ h)
         for i in range(CONTEXT):
             gradient["seen"] += summed(context[:, i], toward * m.weight[i])
-            gradient["weight"][i] = (toward * vectors[:, i]).sum(axis=0)
+            gradient["weight"][i] = (toward * vectors[i]).sum(axis=0)
         for name, g in gradient.items():
             g /= n
             self.past[name] += g * g
@@ -208,16 +222,18 @@ class Trainer:
 def summed(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of value rows by unit."""
     width = values.shape[1]
-    cells = (rows[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(cells, values.ravel(), UNITS * width).reshape(UNITS, width).astype(np.float32)
+    return np.bincount(CELLS[rows].ravel(), values.ravel(), UNITS * width).reshape(UNITS, width).astype(np.float32)
 
 
 def contexts(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Contexts (the unit before first) and units of texts, one after another; before a text stands the end."""
     flat = np.concatenate(units).astype(np.int64)
-    lengths = np.array([len(x) for x in units])
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    context = np.stack([np.where(place > i, np.concatenate([np.full(i + 1, END), flat[:-i - 1]])[:len(flat)], END) for i in range(CONTEXT)], axis=1)
+    starts = np.cumsum([0, *map(len, units)])[:-1]
+    context = np.empty((len(flat), CONTEXT), np.int64)
+    for i in range(CONTEXT):
+        context[i + 1:, i] = flat[:max(len(flat) - i - 1, 0)]
+        for k in range(i + 1):
+            context[np.minimum(starts + k, len(flat) - 1)[starts + k < np.append(starts[1:], len(flat))], i] = END
     return context, flat
 
 
