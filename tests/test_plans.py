@@ -77,3 +77,9 @@ def test_top_rows_are_not_shuffled(spark):
 def test_zscores_compute_their_constants_once(spark):
     text = plan(all_queries()["zscores"](spark, FOLDER), run=True)
     assert len(set(re.findall(r"Subquery subquery#(\d+)", text))) == 1
+
+
+@pytest.mark.parametrize("name", ["holdout_forest", "imputation_quantiles"])
+def test_completed_tables_are_joined_once(spark, name):
+    text = plan(all_queries()[name](spark, FOLDER))
+    assert "Join" not in text and "FileScan" not in text
